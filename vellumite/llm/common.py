@@ -26,6 +26,11 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df, to be broadcast if it has at most so many rows; else Spark shuffles, and splits what is skewed."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def crc_bucket(key: Column, n: int) -> Column:
     """crc32 of the key's text, modulo n."""
     return F.crc32(key.cast("string").cast("binary")) % F.lit(n)

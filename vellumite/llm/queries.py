@@ -5,10 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality_classifier, toxicity
+from . import langid, mixing, quality_classifier, quality_rules, sharding, toxicity
 from .common import crc_bucket, table
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.assess(table(spark, sf_dir, "documents")).drop("char_distance", "common_distance")
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+SHARDS, SLOTS = [f"shard-{i:02d}" for i in range(64)], 6553
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS, SLOTS)
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = crc_bucket(F.col("doc_id"), 5) == 0
@@ -34,5 +49,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), F.col("language.best").alias("lang_pred"), "language.score", "language.rejected")
 
 
-QUERIES = {f.__name__: f for f in (op8_quality_classifier, op9_toxicity, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op4_quality_rules, op5_mixing, op7_sharding, op8_quality_classifier, op9_toxicity, op10_language_id)}
 ORACLES: dict[str, str] = {}
