@@ -66,3 +66,16 @@ def sample_by_class(rows: DataFrame, label: str, key: str, per_class: int, colum
         if seen[r["_label"]] <= 1.25 * per_class:
             kept.append(r)
     return kept
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, text: str, key: str, per_class: int, seed: int = 11) -> tuple[list[str], list[int]]:
+    """Texts and 0/1 labels of at most 1.25 per_class rows of each class that are in docs and not null.
+
+    Rows are drawn from the labels alone; that list has a fixed bound, so it is broadcast and texts aren't shuffled."""
+    drawn = sample_by_class(labels.where(F.col(label).isin(0, 1)), label, key, per_class, [], seed)
+    if not drawn:
+        return [], []
+    listed = docs.sparkSession.createDataFrame([(r["_key"], int(r["_label"])) for r in drawn], "_k long, _y int").dropDuplicates(["_k"])
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(listed), F.col("_id") == F.col("_k"))
+    found = sorted(rows.select(F.xxhash64("_id", F.lit(seed)).alias("_order"), "_id", "_text", "_y").collect())
+    return [r["_text"] for r in found], [r["_y"] for r in found]
