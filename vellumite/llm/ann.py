@@ -110,12 +110,12 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, vector: str = "embe
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = good.select("_id", "_v", deal(blocks, 1).alias("_block"), each(groups).alias("_group"))
     right = asked.select("_id", "_v", deal(groups, 2).alias("_group")).select("_id", "_v", "_group", each(blocks).alias("_block"))
-    shared = spark.sparkContext.broadcast(forest)
+    shared = spark.sparkContext.broadcast((forest.planes, forest.cuts))
 
     def run(items: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         if not len(items) or not len(wanted):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return search_block(shared.value, items["_id"].to_numpy(), np.stack(items["_v"].to_numpy()), wanted["_id"].to_numpy(), np.stack(wanted["_v"].to_numpy()), k, share, least)
+        return search_block(Forest(*shared.value), items["_id"].to_numpy(), np.stack(items["_v"].to_numpy()), wanted["_id"].to_numpy(), np.stack(wanted["_v"].to_numpy()), k, share, least)
 
     found = left.groupBy("_block", "_group").cogroup(right.groupBy("_block", "_group")).applyInPandas(run, schema)
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sample_by_class
+from .common import labelled_sample
 
 REPEAT = 0
 
@@ -120,21 +120,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
     """Learns from a bounded sample: at most 1.25 per_class labelled texts of each class, chosen by hashed key.
 
     Labels other than 0 and 1 and null texts teach nothing. Without rows the model answers by its starting vectors."""
-    known = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("_id"), F.col(label).cast("int").alias("_y"))
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(known, "_id")
-    drawn = sample_by_class(rows, "_y", "_id", per_class, ["_text"])
-    return train([r["_text"] for r in drawn], [r["_label"] for r in drawn], **options)
+    return train(*labelled_sample(docs, labels, label, text, key, per_class), **options)
 
 
 def score(docs: DataFrame, model: SubwordModel, text: str = "text", into: str = "quality_score") -> DataFrame:
     """docs with a double column `into`: the probability of label 1. Null, empty and blank texts score by the bias alone.
 
     A column named `into` is replaced; the model reads no column but text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.vectors, model.output, model.bias, model.low, model.high))
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        run = shared.value.scorer()
+        run = SubwordModel(*shared.value).scorer()
         for batch in batches:
             yield pd.Series(run(batch.tolist()))
 

@@ -27,7 +27,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = crc_bucket(F.col("doc_id"), 5) == 0
-    model = quality_classifier.fit(docs.where(~held_out), labels)
+    model = quality_classifier.fit(docs.where(~held_out), labels.where(~held_out))
     scored = quality_classifier.score(docs.select("doc_id", "text"), model, into="score")
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
@@ -35,7 +35,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = crc_bucket(F.col("doc_id"), 3) == 1
-    model = toxicity.fit(docs.where(~held_out), labels)
+    model = toxicity.fit(docs.where(~held_out), labels.where(~held_out))
     scored = toxicity.score(docs.select("doc_id", "text"), model, into="score")
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
