@@ -16,13 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder all executors share, and read from there.
-
-    The folder is spark.checkpoint.dir; only where that is unset (tests, local runs) a temporary one is made."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; only where that is unset (tests, local runs) a temporary folder."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="vellumite-"))
+    return context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder all executors share, and read from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -116,7 +116,7 @@ def train(texts: list[str], labels: list[int], buckets: int = 1 << 17, dim: int
     return SubwordModel(vectors, output, bias, low, high)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", key: str = "doc_id", per_class: int = 3000, **options) -> SubwordModel:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", key: str = "doc_id", per_class: int = 2000, **options) -> SubwordModel:
     """Learns from a bounded sample: at most 1.25 per_class labelled texts of each class, chosen by hashed key.
 
     Labels other than 0 and 1 and null texts teach nothing. Without rows the model answers by its starting vectors."""

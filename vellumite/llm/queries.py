@@ -5,10 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, quality_classifier, quality_rules, sharding, toxicity
+from . import ann, langid, minhash, mixing, packing, pii, quality_classifier, quality_rules, sharding, toxicity
 from .common import crc_bucket, table
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.search(rows, rows.where(F.col("vec_id") % 100 == 0))
+
+
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def pieces(packed: DataFrame) -> DataFrame:
+    """The pieces with a checksum in place of their ids."""
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces(packing.pack(table(spark, sf_dir, "documents"), tokenizer_file()))
+
+
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(table(spark, sf_dir, "documents")).drop("char_distance", "common_distance")
 
@@ -17,6 +41,14 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+#: A deployment sets its own secret; surrogates can't be foreseen without it.
+PII_SECRET = "example-secret"
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_SECRET)
+
+
 SHARDS, SLOTS = [f"shard-{i:02d}" for i in range(64)], 6553
 
 
@@ -49,5 +81,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), F.col("language.best").alias("lang_pred"), "language.score", "language.rejected")
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op5_mixing, op7_sharding, op8_quality_classifier, op9_toxicity, op10_language_id)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_nearest_neighbours, op2_packing, op3_minhash, op4_quality_rules, op5_mixing, op6_pii, op7_sharding, op8_quality_classifier, op9_toxicity, op10_language_id)
+}
 ORACLES: dict[str, str] = {}
