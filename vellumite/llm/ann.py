@@ -44,7 +44,9 @@ def fit(rows: DataFrame, vector: str = "embedding", key: str = "vec_id", trees:
         return None
     drawn = rows.where(unit(F.col(key), seed=seed) < min(1.0, sample / n)).select(F.col(key).alias("_id"), F.col(vector).cast("array<double>").alias("_v")).limit(sample * 5 // 4).collect()
     drawn = drawn or rows.select(F.col(key).alias("_id"), F.col(vector).cast("array<double>").alias("_v")).limit(100).collect()
-    learned = np.array([r["_v"] for r in sorted(drawn, key=lambda r: r["_id"])])
+    lengths = [len(r["_v"]) for r in drawn]
+    usual = max(set(lengths), key=lambda n: (lengths.count(n), -n))
+    learned = np.array([r["_v"] for r in sorted(drawn, key=lambda r: (r["_id"], r["_v"])) if len(r["_v"]) == usual])
     planes = np.random.default_rng(seed).standard_normal((trees, bits, learned.shape[1]))
     return Forest(planes, np.stack([np.median(learned @ p.T, axis=0) for p in planes]))
 
@@ -94,9 +96,10 @@ def search_block(forest: Forest, ids: np.ndarray, vectors: np.ndarray, query_ids
 def search(rows: DataFrame, queries: DataFrame, k: int = 10, vector: str = "embedding", key: str = "vec_id", share: float = 0.4, least: int = 256, block_rows: int = 16384, query_rows: int = 2048, **options) -> DataFrame:
     """Per query: query_id, rank (from 1), vec_id, score (Euclidean distance), the k nearest found among rows of other ids.
 
-    Vectors that are null, zero, not finite or of another length than the first take no part, as rows or as queries.
+    Vectors that are null, zero, not finite or of another length than most of the sample, and rows of a null id, take no part.
     Repeated rows of one id count once. An empty side gives an empty result."""
     schema = "query_id long, vec_id long, score double"
+    rows, queries = rows.where(F.col(key).isNotNull()), queries.where(F.col(key).isNotNull())
     good = rows.where(usable(F.col(vector)))
     forest = fit(good, vector, key, **options)
     spark = rows.sparkSession

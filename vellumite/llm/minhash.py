@@ -182,12 +182,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     """Per row: key, n_shingles, component_id, kept (the row's key is its component's).
 
     Null, empty and blank texts have no shingles and no links: each is its own component. Rows of a repeated key are one
-    node: its first set stands for links, and all of its rows are returned. Keys must be integers and not null.
+    node: its first set stands for links, and all of its rows are returned. Keys are integers; rows of a null key are linked
+    with nothing and kept.
     At similarity 0.8 a pair shares no band with probability (1 - 0.8**rows)**bands, 5e-8 by default; slack is how far
     below the threshold an estimate may lie, about 7 standard errors by default, before a pair is left unconfirmed."""
     signed = durable(signatures(docs, key, text, width, bands, rows, bits))
     # classes of equal sets; node: the smallest key of the class
-    classes = durable(signed.where("_fp is not null").groupBy("_fp").agg(F.min("_id").alias("node"), F.first("n_shingles").alias("n"), F.first("_packed").alias("_packed"), F.first("_bands").alias("_bands")))
+    classes = durable(signed.where("_fp is not null and _id is not null").groupBy("_fp").agg(F.min("_id").alias("node"), F.first("n_shingles").alias("n"), F.first("_packed").alias("_packed"), F.first("_bands").alias("_bands")))
     nodes = classes.select("node", "n", "_packed")
     banded = classes.select("node", F.posexplode("_bands").alias("_band", "_hash")).select("node", F.xxhash64("_band", "_hash").alias("group"))
     least = banded.groupBy("group").agg(F.min("node").alias("rep"), F.count("*").alias("members")).where("members > 1")
@@ -218,8 +219,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     roots = classes.join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("_fp", F.coalesce("root", "node").alias("_root"))
     # a class of very many equal texts meets one row here: Spark splits it where it is skewed
     out = signed.select("_id", "n_shingles", "_fp").join(roots, "_fp", "left")
-    component = F.coalesce("_root", "_id")
-    return out.select(F.col("_id").alias(key), "n_shingles", component.alias("component_id"), (F.col("_id") == component).alias("kept"))
+    component = F.when(F.col("_id").isNotNull(), F.coalesce("_root", "_id"))
+    return out.select(F.col("_id").alias(key), "n_shingles", component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept"))
 
 
 def stray_pairs(placed: DataFrame, k: int, bits: int, percent: int, threshold: float, block: int) -> DataFrame:
@@ -253,7 +254,9 @@ def stray_pairs(placed: DataFrame, k: int, bits: int, percent: int, threshold: f
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The documents that stay: of each component the one with the smallest key, and of a repeated key one row."""
-    kept = near_duplicates(docs, key, **options).where("kept").select(F.col(key).alias("_kept")).distinct()
-    left = docs.join(broadcast_if_small(durable(kept), 500_000), docs[key] == F.col("_kept"), "left_semi")
-    repeated = docs.groupBy(key).count().where("count > 1").limit(1).count()
-    return left.dropDuplicates([key]) if repeated else left
+    kept = durable(near_duplicates(docs, key, **options).where("kept").select(F.col(key).alias("_kept")).distinct())
+    left = docs.join(broadcast_if_small(kept, 500_000), docs[key].eqNullSafe(kept["_kept"]), "left_semi")
+    known = docs.where(docs[key].isNotNull())
+    if not known.groupBy(key).count().where("count > 1").limit(1).count():
+        return left
+    return left.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(left.where(F.col(key).isNull()))

@@ -129,5 +129,6 @@ def apply_mix(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """docs with each row as often as the mix takes it: absent, once or twice. Rows of one key are taken alike, as the
     one that is taken most."""
     taken = mix(docs, key=key, **options).groupBy(F.col(key).alias("_key")).agg(F.max("copies").cast("int").alias("_copies"))
-    joined = docs.join(broadcast_if_small(durable(taken), 500_000), docs[key].eqNullSafe(F.col("_key"))).where("_copies > 0")
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    taken = durable(taken.where("_copies > 0"))
+    joined = docs.join(broadcast_if_small(taken, 500_000), docs[key].eqNullSafe(taken["_key"]))
+    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), taken["_copies"])).alias("_copy")).select(*[docs[c] for c in docs.columns])

@@ -169,21 +169,22 @@ def pseudonymize(docs: DataFrame, secret: str, text: str = "text", into: str = "
 
     Null stays null; texts without entities stay as they are; repeated rows are each treated. With the same secret an
     entity that needs no further attempt has the same surrogate in every run and table."""
-    found = with_forms(docs.withColumn("_found", entities(F.col(text))), "_found", "_forms")
+    # the row travels as one struct, so that no column of docs meets one of this function's
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != into]).alias("_row"), F.col(text).alias("_text"))
+    found = with_forms(base.withColumn("_found", entities(F.col("_text"))), "_found", "_forms")
     listed = found.select(F.explode("_forms").alias("x")).groupBy("x.form").agg(F.min("x.entity").alias("entity"))
     again = durable(attempts(durable(listed), secret))
-    columns = [c for c in docs.columns if c != into]
 
     def replaced(df: DataFrame, tries) -> DataFrame:
-        df = with_surrogates(df, "_forms", "_made", secret, tries).withColumn("_pieces", F.when(F.size("_found") > 0, F.split(F.col(text), ANY)))
+        df = with_surrogates(df, "_forms", "_made", secret, tries).withColumn("_pieces", F.when(F.size("_found") > 0, F.split("_text", ANY)))
         woven = F.array_join(F.transform("_made", lambda m, i: F.concat(m, F.element_at("_pieces", i + 2))), "")
-        df = df.withColumn(text, F.when(F.size("_found") > 0, F.concat(F.element_at("_pieces", 1), woven)).otherwise(F.col(text)))
-        return df.withColumn(into, F.size("_found").cast("long")).select(*columns, into)
+        text_ = F.when(F.size("_found") > 0, F.concat(F.element_at("_pieces", 1), woven)).otherwise(F.col("_text"))
+        return df.select(F.col("_row").withField(f"`{text}`", text_).alias("_row"), F.size("_found").cast("long").alias(into)).select("_row.*", into)
 
     if not again.limit(1).count():
         return replaced(found, lambda i: F.lit(0))
     # mentions of entities that have attempts are looked up; rows are told apart by a number, since keys may repeat
-    numbered = durable(found.withColumn("_row", F.monotonically_increasing_id()))
-    mentions = numbered.select("_row", F.posexplode("_forms").alias("_i", "x")).select("_row", "_i", "x.form")
-    tries = mentions.join(broadcast_if_small(again), "form").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_i", "attempt"))).alias("_tries"))
-    return replaced(numbered.join(tries, "_row", "left"), lambda i: F.coalesce(F.element_at("_tries", i), F.lit(0)))
+    numbered = durable(found.withColumn("_n", F.monotonically_increasing_id()))
+    mentions = numbered.select("_n", F.posexplode("_forms").alias("_i", "x")).select("_n", "_i", "x.form")
+    tries = mentions.join(broadcast_if_small(again), "form").groupBy("_n").agg(F.map_from_entries(F.collect_list(F.struct("_i", "attempt"))).alias("_tries"))
+    return replaced(numbered.join(tries, "_n", "left"), lambda i: F.coalesce(F.element_at("_tries", i), F.lit(0)))
