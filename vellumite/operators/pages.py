@@ -194,3 +194,25 @@ def reading_order(spans: DataFrame, page: Sequence[str] = PAGE) -> DataFrame:
         return made.assign(**{c: pdf[c].iloc[0] for c in page})[[*page, "region", "position", *lines.columns, "confidence"]]
 
     return spans.groupBy(*page).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in page) + ", region int, position int, " + LINE_SCHEMA + ", confidence double")
+
+
+def palettes(rows: DataFrame, by: str, key: str, vector: str, colors: int) -> DataFrame:
+    """by, color, members, center: the points of each group cut into boxes by median cut and refined by k-means.
+
+    A group's points are first summed by rounded place in the JVM, so that a group's task holds places, not rows."""
+    from pyspark.sql import functions as F
+
+    from .quantize import median_cut, refine
+
+    place = F.transform(F.slice(vector, 1, 4), lambda v: F.round(v, 2).cast("double"))
+    summed = rows.select(by, place.alias("place")).groupBy(by, "place").agg(F.count("*").alias("n"))
+    kinds = dict(rows.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("place", key=lambda s: s.map(tuple)).reset_index(drop=True)
+        points, weight = np.stack(pdf["place"].to_numpy()), pdf["n"].to_numpy(float)
+        centers, label = refine(points, weight, median_cut(points, weight, colors))
+        mass = np.bincount(label, weight, minlength=len(centers)).astype(int)
+        return pd.DataFrame({by: pdf[by].iloc[0], "color": np.arange(len(centers), dtype=np.int32), "members": mass, "center": [c.round(6).tolist() for c in centers]})
+
+    return summed.groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, color int, members long, center array<double>")

@@ -67,3 +67,31 @@ def sample_window(df: DataFrame, by: Sequence[str], seconds: str, order: Sequenc
 def first_of(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row of each combination of keys."""
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_k = 1").drop("_k")
+
+
+def hierarchical_numbers(df: DataFrame, by: Sequence[str], order: Sequence[str], level: str, depth: int) -> DataFrame:
+    """Adds `label`: counters of levels 0 .. level, joined by dots, with a dot after a lone one. A counter starts over
+    after each item of a smaller level; one count and one island per level, no fold."""
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    for k in range(depth):
+        df = df.withColumn(f"_i{k}", F.sum((F.col(level) < k).cast("int")).over(w))
+    for k in range(depth):
+        inner = Window.partitionBy(*by, f"_i{k}").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        df = df.withColumn(f"_c{k}", F.sum((F.col(level) == k).cast("int")).over(inner))
+    parts = F.slice(F.array(*[F.col(f"_c{k}").cast("string") for k in range(depth)]), F.lit(1), F.col(level).cast("int") + 1)
+    label = F.concat(F.array_join(parts, "."), F.when(F.col(level) == 0, ".").otherwise(""))
+    return df.withColumn("label", label).drop(*[f"_{x}{k}" for x in "ic" for k in range(depth)])
+
+
+def page_numbers(lines: DataFrame, by: str, page: str, text: str = "text") -> DataFrame:
+    """by, page, position, value, is_page_number: numbers of a running line that change between its variants.
+
+    Numbers are compared place by place among the lines with equally many; a lone line has a page number only if it is
+    nothing else."""
+    found = lines.withColumn("_ns", F.regexp_extract_all(text, F.lit("([0-9]{1,4})"), F.lit(1)))
+    each = found.select(by, page, F.size("_ns").alias("_k"), text, F.posexplode("_ns").alias("position", "value"))
+    varied = each.groupBy(by, "_k", "position").agg((F.count_distinct("value") > 1).alias("_varied"))
+    alone = lines.groupBy(by).agg((F.count("*") == 1).alias("_alone"))
+    joined = each.join(varied, [by, "_k", "position"]).join(alone, by)
+    pure = F.col(text).rlike(r"\A[-—–\s]*[0-9]{1,4}[-—–\s]*\z")
+    return joined.select(by, page, F.col("position").cast("long").alias("position"), "value", F.when(F.col("_alone"), pure).otherwise(F.col("_varied")).alias("is_page_number"))

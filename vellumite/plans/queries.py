@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import documents as D
 from ..functions import geometry as G
 from ..functions import images as I
 from ..functions import numbers as N
+from ..functions import ocr as O
 from ..functions import text as T
 from ..operators import aggregates as A
 from ..operators import blocks as B
@@ -17,6 +19,11 @@ from ..operators import boilerplate as R
 from ..operators import joins as J
 from ..operators import pages as P
 from ..operators import sequences as S
+from ..operators.tables import ruled_tables as ruled
+from ..sinks import markdown as M
+from ..sinks.archives import archives
+from ..sinks.pdf import text_documents
+from ..sources.html import pages_to_markdown
 from ..sources.lines import text_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -232,8 +239,6 @@ def _warnings(spark, sf) -> DataFrame:
 
 @query(f"WITH {WARN_SQL} SELECT doc_id, code, count(*) AS pages, min(seq) AS first_seq, rank() OVER (PARTITION BY doc_id ORDER BY count(*)) AS rarity FROM u GROUP BY doc_id, code")
 def warning_summary(spark, sf):
-    from pyspark.sql import Window
-
     counted = _warnings(spark, sf).groupBy("doc_id", "code").agg(F.count("*").alias("pages"), F.min("seq").alias("first_seq"))
     return counted.withColumn("rarity", F.rank().over(Window.partitionBy("doc_id").orderBy("pages")))
 
@@ -384,8 +389,6 @@ HEAD_SQL = f"""WITH {LINES_SQL},
 @query(HEAD_SQL)
 def repeated_boilerplate(spark, sf):
     """Documents taken as pages of 25 books: the first line of each becomes a running title, the second a page number."""
-    from pyspark.sql import Window
-
     lines = text_lines(table(spark, sf, "documents")).where("page_index = 0")
     d, n = F.col("doc_id"), F.col("n")
     text = F.when(n == 0, F.concat(F.lit("Chapter "), (d % 3).cast("string"), F.lit(" Title 7"))).when(n == 1, d.cast("string")).otherwise(F.col("text"))
@@ -485,4 +488,123 @@ def xy_cut(spark, sf):
     return P.reading_order(_spans(spark, sf))
 
 
-CATALOG = (QUERIES, ORACLES)
+# --- documents --------------------------------------------------------------------------------------------------------
+
+NUMBERING_SQL = """WITH t AS (SELECT conv_id, turn, turn % 3 AS level FROM conversations),
+ g AS (SELECT *, sum(CASE WHEN level < 1 THEN 1 ELSE 0 END) OVER o AS i1, sum(CASE WHEN level < 2 THEN 1 ELSE 0 END) OVER o AS i2 FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn)),
+ c AS (SELECT *, i1 AS c0, sum(CASE WHEN level = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, i1 ORDER BY turn) AS c1, sum(CASE WHEN level = 2 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, i2 ORDER BY turn) AS c2 FROM g)
+ SELECT conv_id, turn, CASE level WHEN 0 THEN CAST(c0 AS VARCHAR) || '.' WHEN 1 THEN CAST(c0 AS VARCHAR) || '.' || CAST(c1 AS VARCHAR) ELSE CAST(c0 AS VARCHAR) || '.' || CAST(c1 AS VARCHAR) || '.' || CAST(c2 AS VARCHAR) END AS label FROM c"""
+
+
+@query(NUMBERING_SQL)
+def numbering(spark, sf):
+    items = table(spark, sf, "conversations").select("conv_id", "turn", (F.col("turn") % 3).alias("level"))
+    return S.hierarchical_numbers(items, ["conv_id"], ["turn"], "level", 3).select("conv_id", "turn", "label")
+
+
+FIELDS_SQL = """WITH f AS (SELECT doc_id % 50 AS book, doc_id AS page, 'Report ' || (2020 + doc_id % 50 % 3) || ' - ' || (doc_id // 50 + 1) || ' -' AS text FROM documents),
+ d AS (SELECT *, regexp_extract_all(text, '[0-9]{1,4}') AS ns FROM f), e AS (SELECT book, page, len(ns) AS k, unnest(range(len(ns))) AS pos, unnest(ns) AS v FROM d),
+ v AS (SELECT book, k, pos, count(DISTINCT v) > 1 AS flagged FROM e GROUP BY book, k, pos), o AS (SELECT book, count(*) AS pages FROM f GROUP BY book)
+ SELECT e.book, e.page, e.pos AS position, e.v AS value, CASE WHEN o.pages = 1 THEN false ELSE v.flagged END AS is_page_number FROM e JOIN v USING (book, k, pos) JOIN o USING (book)"""
+
+
+@query(FIELDS_SQL)
+def page_number_fields(spark, sf):
+    d = F.col("doc_id")
+    text = F.concat(F.lit("Report "), (F.lit(2020) + d % 50 % 3).cast("string"), F.lit(" - "), (F.floor(d / 50) + 1).cast("string"), F.lit(" -"))
+    return S.page_numbers(table(spark, sf, "documents").select((d % 50).alias("book"), d.alias("page"), text.alias("text")), "book", "page")
+
+
+@query()
+def markdown_documents(spark, sf):
+    return M.documents(_blocks(spark, sf))
+
+
+@query()
+def markdown_manifest(spark, sf):
+    return M.manifest(_blocks(spark, sf))
+
+
+@query()
+def html_to_markdown(spark, sf):
+    return pages_to_markdown(table(spark, sf, "pages")).select("page_id", "markdown", "removed")
+
+
+@query()
+def text_pdf(spark, sf):
+    return text_documents(text_lines(table(spark, sf, "documents")))
+
+
+@query()
+def crc_manifest(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.octet_length("text").alias("bytes"), F.crc32(F.col("text").cast("binary")).alias("crc32"))
+
+
+@query()
+def zip_archives(spark, sf):
+    docs = table(spark, sf, "documents")
+    files = docs.select((F.col("doc_id") % 100).alias("bundle"), F.concat("lang", F.lit(".txt")).alias("name"), F.col("text").cast("binary").alias("content"), F.col("doc_id").alias("seq"))
+    return archives(files, "bundle")
+
+
+@query("""WITH c AS (SELECT doc_id, n_chars % 90 AS chars, (doc_id * 7 % 100) / 100.0::DOUBLE AS cov, doc_id % 11 = 0 AS susp, doc_id % 5 = 0 AS deco FROM documents)
+ SELECT doc_id, (chars = 0 AND cov > 0.1::DOUBLE) OR (chars < 24 AND cov > 0.35::DOUBLE) OR (cov > 0.6::DOUBLE AND chars < 300 AND deco) OR susp AS recognize FROM c""")
+def should_recognize(spark, sf):
+    d = F.col("doc_id")
+    made = O.should_recognize("auto", F.col("n_chars") % 90, (d * 7 % 100) / F.lit(100.0), d % 11 == 0, d % 5 == 0)
+    return table(spark, sf, "documents").select("doc_id", made.alias("recognize"))
+
+
+@query("""WITH l AS (SELECT doc_id, list_sort(list_filter(list_transform(string_split(left(text, 200), ' '), lambda w: length(w)), lambda n: n > 0)) AS ls FROM documents)
+ SELECT doc_id, coalesce(list_sum(ls), 0) < 40 OR (list_sum(ls) < 300 AND ls[len(ls) // 2 + 1] <= 6) AS sparse FROM l""")
+def sparse_pages(spark, sf):
+    lengths = F.transform(F.split(F.substring("text", 1, 200), " "), lambda w: F.length(w).cast("long"))
+    return table(spark, sf, "documents").select("doc_id", O.sparse(lengths).alias("sparse"))
+
+
+@query(f"""WITH {SIZE_SQL} SELECT p_partkey, CASE WHEN w <= 1584 AND h <= 1584 THEN w WHEN h > 1584 AND (w <= 595.28::DOUBLE * 1.05::DOUBLE OR h / w::DOUBLE > 2) THEN 595.28::DOUBLE ELSE round(w * (1584.0::DOUBLE / greatest(w, h)), 6) END::DOUBLE AS width, NOT (w <= 1584 AND h <= 1584) AS clamped FROM t""")
+def word_pages(spark, sf):
+    made = _sizes(spark, sf).select("p_partkey", O.word_page(F.col("w"), F.col("h")).alias("p"))
+    return made.select("p_partkey", rounded(F.col("p.width")).alias("width"), "p.clamped")
+
+
+@query("""WITH t AS (SELECT p_partkey, CAST(p_size * 130 AS DOUBLE) AS h FROM part), s AS (SELECT p_partkey, h, unnest(CASE WHEN h <= 1080 THEN [0] ELSE range(0, CAST(ceil((h - 720) / 690.0::DOUBLE) AS BIGINT) * 690 + 1, 690) END) AS top FROM t)
+ SELECT p_partkey, CAST(top AS DOUBLE) AS top, CASE WHEN h <= 1080 THEN h ELSE least(720, h - top) END AS height FROM s""")
+def page_strips(spark, sf):
+    cut = table(spark, sf, "part").select("p_partkey", F.explode(O.strips((F.col("p_size") * 130).cast("double"))).alias("s"))
+    return cut.select("p_partkey", "s.top", "s.height")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'cancelled' WHEN event_id % 5 = 1 THEN 'password-required' WHEN event_id % 5 = 2 THEN 'invalid-pdf' WHEN event_id % 5 = 3 THEN 'out-of-memory' ELSE 'unknown' END AS code,
+ CASE WHEN event_id * 977 // 3600000 > 0 THEN CAST(event_id * 977 // 3600000 AS VARCHAR) || ':' || lpad(CAST(event_id * 977 // 60000 % 60 AS VARCHAR), 2, '0') ELSE CAST(event_id * 977 // 60000 AS VARCHAR) END || ':' || lpad(CAST(event_id * 977 // 1000 % 60 AS VARCHAR), 2, '0') AS clock FROM events""")
+def error_codes(spark, sf):
+    k = F.col("event_id")
+    name = F.when(k % 5 == 0, "CancelledError").when(k % 5 == 1, "PasswordException").otherwise("Error")
+    message = F.when(k % 5 == 2, "Invalid PDF structure").when(k % 5 == 3, "WASM memory: Out of memory").otherwise("No password given")
+    return table(spark, sf, "events").select("event_id", D.error_code(name, message, F.lit(False)).alias("code"), D.clock(k * 977).alias("clock"))
+
+
+@query("""WITH f AS (SELECT p_partkey, ['SimSun','ABCDEE+Arial-Bold','KaiTi','Georgia','Foo','Courier New'][p_partkey % 6 + 1] AS n, ['serif','sans-serif','monospace'][p_partkey % 3 + 1] AS fam FROM part)
+ SELECT p_partkey, CASE n WHEN 'SimSun' THEN 'Times New Roman' WHEN 'ABCDEE+Arial-Bold' THEN 'Arial' WHEN 'KaiTi' THEN 'Times New Roman' WHEN 'Georgia' THEN 'Times New Roman' WHEN 'Courier New' THEN 'Consolas'
+  ELSE CASE fam WHEN 'monospace' THEN 'Consolas' WHEN 'serif' THEN 'Times New Roman' ELSE 'Arial' END END AS latin, regexp_replace(n, '^[A-Z]{6}\\+', '') AS clean FROM f""".replace("\\\\+", "\\+"))
+def font_names(spark, sf):
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n + 1).cast("int"))
+    name, family = pick(["SimSun", "ABCDEE+Arial-Bold", "KaiTi", "Georgia", "Foo", "Courier New"], F.col("p_partkey") % 6), pick(["serif", "sans-serif", "monospace"], F.col("p_partkey") % 3)
+    return table(spark, sf, "part").select("p_partkey", D.font(name, family)["latin"].alias("latin"), D.clean_font_name(name).alias("clean"))
+
+
+@query()
+def palette(spark, sf):
+    """Vectors as colours: the first four dimensions of each label's vectors cut to 16 colours and refined."""
+    return P.palettes(table(spark, sf, "embeddings").select("label", "vec_id", "embedding"), "label", "vec_id", "embedding", 16)
+
+
+@query()
+def ruled_tables(spark, sf):
+    """A grid of regions by nations' first letters, drawn as rules and spans on a page for each region."""
+    n = table(spark, sf, "nation").select(F.col("n_regionkey").cast("long").alias("doc_id"), F.lit(0).alias("page_index"), "n_name", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")).alias("k"))
+    spans = n.select("doc_id", "page_index", F.col("n_name").alias("text"), (F.lit(110.0) + (F.col("k") - 1) % 2 * 100).alias("x"), (F.lit(110.0) + F.floor((F.col("k") - 1) / 2) * 30).alias("y"), F.lit(40.0).alias("w"), F.lit(10.0).alias("h"), (F.lit(118.0) + F.floor((F.col("k") - 1) / 2) * 30).alias("baseline"))
+    pages = n.select("doc_id", "page_index").distinct()
+    rule = lambda o, p, a, b: F.struct(F.lit(o).alias("orientation"), F.lit(float(p)).alias("position"), F.lit(float(a)).alias("start"), F.lit(float(b)).alias("end"), F.lit(False).alias("raster"))
+    drawn = F.array(*[rule("horizontal", y, 100, 300) for y in (100, 130, 160, 190)], *[rule("vertical", x, 100, 190) for x in (100, 200, 300)])
+    return ruled(pages.select("doc_id", "page_index", F.explode(drawn).alias("r")).select("doc_id", "page_index", "r.*"), spans)
