@@ -178,14 +178,14 @@ def confirm(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int,
     return both.where(F.lit(100) * common >= F.lit(percent) * (F.size("_sa") + F.size("_sb") - common)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, percent: int = 80, bands: int = 32, rows: int = 4, bits: int = 4, slack: float = 0.25, block: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, percent: int = 80, bands: int = 32, rows: int = 4, bits: int = 4, slack: float = 0.18, block: int = 512) -> DataFrame:
     """Per row: key, n_shingles, component_id, kept (the row's key is its component's).
 
     Null, empty and blank texts have no shingles and no links: each is its own component. Rows of a repeated key are one
     node: its first set stands for links, and all of its rows are returned. Keys are integers; rows of a null key are linked
     with nothing and kept.
     At similarity 0.8 a pair shares no band with probability (1 - 0.8**rows)**bands, 5e-8 by default; slack is how far
-    below the threshold an estimate may lie, about 7 standard errors by default, before a pair is left unconfirmed."""
+    below the threshold an estimate may lie, about 5 standard errors by default, before a pair is left unconfirmed."""
     signed = durable(signatures(docs, key, text, width, bands, rows, bits))
     # classes of equal sets; node: the smallest key of the class
     classes = durable(signed.where("_fp is not null and _id is not null").groupBy("_fp").agg(F.min("_id").alias("node"), F.first("n_shingles").alias("n"), F.first("_packed").alias("_packed"), F.first("_bands").alias("_bands")))
@@ -206,16 +206,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     links = linked(groups.where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct())
     found = components(links)
-    # what the stars leave: groups that hold more than one component
-    of = groups.join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("group", "node", "rep", "members", F.coalesce("root", "node").alias("root"))
-    rep_root = of.where("node = rep").select("group", F.col("root").alias("rep_root"))
-    placed = of.join(rep_root, "group").withColumn("stray", F.col("root") != F.col("rep_root"))
-    mixed = placed.where("stray").select("group").distinct()
-    placed = durable(placed.join(mixed, "group").join(nodes, "node"))
-    rest = durable(stray_pairs(placed, bands * rows, bits, percent, threshold, block).distinct())
-    if rest.limit(1).count():
+    # what the stars leave: groups that hold more than one component. First each stray meets the likeliest member of every
+    # other component, which joins most of them; then those still apart meet everyone
+    for nearest in (True, False):
+        of = groups.join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("group", "node", "rep", "members", F.coalesce("root", "node").alias("root"))
+        rep_root = of.where("node = rep").select("group", F.col("root").alias("rep_root"))
+        placed = of.join(rep_root, "group").withColumn("stray", F.col("root") != F.col("rep_root"))
+        mixed = placed.where("stray").select("group").distinct()
+        placed = durable(placed.join(mixed, "group").join(nodes, "node"))
+        rest = durable(stray_pairs(placed, bands * rows, bits, percent, threshold, block, nearest).distinct())
         more = durable(confirm(rest, docs, key, text, width, percent))
-        found = components(links.unionByName(more))
+        if more.limit(1).count():
+            links = links.unionByName(more)
+            found = components(links)
     roots = classes.join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("_fp", F.coalesce("root", "node").alias("_root"))
     # a class of very many equal texts meets one row here: Spark splits it where it is skewed
     out = signed.select("_id", "n_shingles", "_fp").join(roots, "_fp", "left")
@@ -223,33 +226,44 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return out.select(F.col("_id").alias(key), "n_shingles", component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept"))
 
 
-def stray_pairs(placed: DataFrame, k: int, bits: int, percent: int, threshold: float, block: int) -> DataFrame:
+def stray_pairs(placed: DataFrame, k: int, bits: int, percent: int, threshold: float, block: int, nearest: bool, per_task: int = 20_000) -> DataFrame:
     """Pairs (a, b) of different components in a group, one of them outside the component of the group's smallest class.
 
     A group is dealt to blocks of about `block` members; strays go to every block of their group as well. Each block
-    compares its strays with its own members by packed bits; only likely pairs come out."""
+    compares its strays with its own members by packed bits; only likely pairs come out, or with `nearest` the likeliest
+    of each other component. Blocks are many and mostly tiny, so that they go in batches of about per_task rows."""
     repeated = np.uint64(sum(1 << (i * bits) for i in range(64 // bits)))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        own, strays = pdf[pdf.own], pdf[pdf.stray]
-        packed, n, root, node = np.stack(own["_packed"].to_numpy()).view(np.uint64), own["n"].to_numpy(), own["root"].to_numpy(), own["node"].to_numpy()
-        out = []
-        for s in strays.itertuples(index=False):
-            x = packed ^ np.asarray(s[pdf.columns.get_loc("_packed")]).view(np.uint64)
-            folded = x.copy()
-            for i in range(1, bits):
-                folded |= x >> np.uint64(i)
-            unlike = np.bitwise_count(folded & repeated).sum(1)
-            guess = ((1 - unlike / k) - 2.0**-bits) / (1 - 2.0**-bits)
-            hit = (guess >= threshold) & (root != s.root) & (np.minimum(n, s.n) * 100 >= np.maximum(n, s.n) * percent)
-            out.append(pd.DataFrame({"a": np.minimum(node[hit], s.node), "b": np.maximum(node[hit], s.node)}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        pdf = pdf.sort_values(["group", "_block"], kind="stable")
+        packed, n, root, node = np.stack(pdf["_packed"].to_numpy()).view(np.uint64), pdf["n"].to_numpy(), pdf["root"].to_numpy(), pdf["node"].to_numpy()
+        group, part, own, stray = (pdf[c].to_numpy() for c in ("group", "_block", "own", "stray"))
+        ends = np.flatnonzero(np.concatenate(((group[1:] != group[:-1]) | (part[1:] != part[:-1]), [True]))) + 1
+        out, start = [], 0
+        for end in ends:
+            mine = start + np.flatnonzero(own[start:end])
+            for s in start + np.flatnonzero(stray[start:end]):
+                x = packed[mine] ^ packed[s]
+                folded = x.copy()
+                for i in range(1, bits):
+                    folded |= x >> np.uint64(i)
+                unlike = np.bitwise_count(folded & repeated).sum(1)
+                guess = ((1 - unlike / k) - 2.0**-bits) / (1 - 2.0**-bits)
+                ok = (guess >= threshold) & (root[mine] != root[s]) & (np.minimum(n[mine], n[s]) * 100 >= np.maximum(n[mine], n[s]) * percent)
+                hit = mine[ok]
+                if nearest and len(hit):
+                    hit = hit[np.lexsort((node[hit], -guess[ok], root[hit]))]
+                    hit = hit[np.unique(root[hit], return_index=True)[1]]
+                out += [(min(node[m], node[s]), max(node[m], node[s])) for m in hit]
+            start = end
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64").drop_duplicates()
 
     blocks = F.ceil(F.col("members") / F.lit(block)).cast("int")
     home = F.pmod(F.xxhash64("node"), blocks).cast("int")
     rows = placed.select("group", "node", "n", "root", "stray", "_packed", home.alias("_home"), F.explode(F.when(F.col("stray"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(home))).alias("_block"))
     rows = rows.withColumn("own", F.col("_home") == F.col("_block")).drop("_home")
-    return rows.groupBy("group", "_block").applyInPandas(compare, "a long, b long")
+    batches = max(1, -(-rows.count() // per_task))
+    return rows.groupBy(F.pmod(F.xxhash64("group", "_block"), F.lit(batches)).alias("_batch")).applyInPandas(compare, "a long, b long")
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
