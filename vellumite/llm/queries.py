@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, minhash, mixing, packing, pii, quality_classifier, quality_rules, sharding, toxicity
+from . import ann, langid, minhash, mixing, oracles, packing, pii, quality_classifier, quality_rules, sharding, toxicity
 from .common import crc_bucket, table
 
 
@@ -85,4 +85,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_nearest_neighbours, op2_packing, op3_minhash, op4_quality_rules, op5_mixing, op6_pii, op7_sharding, op8_quality_classifier, op9_toxicity, op10_language_id)
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op4_quality_rules": oracles.quality_rules()}
