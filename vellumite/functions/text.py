@@ -81,13 +81,21 @@ def join_action(left: Column, right: Column) -> Column:
     return F.when((left != "") & hyphen, "dehyphen").when(plain, "none").otherwise("space")
 
 
-def join_pair(left: Column, right: Column) -> Column:
-    action = join_action(left, right)
-    return F.when(action == "dehyphen", F.concat(F.substring(left, F.lit(1), F.length(left) - 1), right)).when(action == "space", F.concat_ws(" ", left, right)).otherwise(F.concat(left, right))
+def join_lines(lines: Column) -> Column:
+    """Lines of a paragraph as one text. How two lines meet depends on the end of one and the start of the next only, so
+    that every line is looked at beside its neighbours, and nothing is folded."""
+    kept = F.filter(lines, lambda x: x != "")
 
+    def met(a: Column, b: Column) -> Column:
+        return join_action(F.right(a, F.lit(2)), F.substring(b, 1, 1))
 
-def join_lines(lines: Column) -> Column:
-    return F.aggregate(lines, F.lit(""), join_pair)
+    def piece(x: Column, i: Column) -> Column:
+        before, after = F.get(kept, i - 1), F.get(kept, i + 1)
+        lead = F.when((i > 0) & (met(before, x) == "space"), " ").otherwise("")
+        cut = F.when(F.coalesce(met(x, after) == "dehyphen", F.lit(False)), F.substring(x, F.lit(1), F.length(x) - 1)).otherwise(x)
+        return F.concat(lead, cut)
+
+    return F.array_join(F.transform(kept, piece), "")
 
 
 def repeat_key(text: Column) -> Column:

@@ -6,7 +6,9 @@ and a page that goes through both steps goes through them in one function, after
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from statistics import median
 
 import numpy as np
 import pandas as pd
@@ -23,14 +25,14 @@ WIDE_PAGE, WIDE_TEXT, CROSSING, EDGE = 0.6, 0.75, 0.04, 0.15
 GUTTER_EM, GUTTER_PT, BESIDE_EM, BESIDE, LONG_LINES, LONG_CHARS, SIDE_BY_SIDE_EM = 0.5, 6.0, 1.2, 4, 3, 15, 2.5
 COLUMN_EM, COLUMN_SHARE, ROW_EM, ROW_PT, DEPTH = 1.6, 0.035, 1.35, 6.0, 8
 
-_RANGES = [tuple(int(x, 16) for x in pair.split("-")) for pair in _CJK.replace("\\x{", "").replace("}", " ").replace(" -", "-").split()]
+_CJK_CHAR = re.compile("[" + re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), _CJK) + "]")
 
 
 def _is_cjk(char: str) -> bool:
-    return any(a <= ord(char) <= b for a, b in _RANGES)
+    return char >= "\u1100" and _CJK_CHAR.match(char) is not None
 
 
-def join_spans(texts: Sequence[str], x: np.ndarray, w: np.ndarray, size: np.ndarray) -> str:
+def join_spans(texts: Sequence[str], x: Sequence[float], w: Sequence[float], size: Sequence[float]) -> str:
     """Spans of a line, left to right, with a space where the gap is wide for the neighbouring scripts."""
     out = texts[0]
     for i in range(1, len(texts)):
@@ -80,11 +82,22 @@ def page_lines(spans: pd.DataFrame) -> tuple[pd.DataFrame, list[tuple[float, flo
     """Lines of one page (seq, text, x, y, w, h, baseline, font_size, spans) in reading order, and its gutters.
 
     spans: seq, text, x, y, w, h, baseline, font_size, and where known page_width, rotation, vertical."""
-    s = spans[spans["text"].str.strip() != ""].sort_values("seq", kind="stable")
-    turned = (s["vertical"].fillna(False).astype(bool) if "vertical" in s else pd.Series(False, s.index)) | (s["rotation"].between(1, 359) if "rotation" in s else False)
-    flat, other = s[~turned].sort_values(["baseline", "x"], kind="stable"), s[turned]
-    x, y, w, h, base, size = (flat[c].to_numpy(float) for c in ("x", "y", "w", "h", "baseline", "font_size"))
-    scale, texts = np.maximum(size, h), flat["text"].tolist()
+    blank = np.array([not t.strip() for t in spans["text"]], bool)
+    s = spans[~blank].sort_values("seq", kind="stable")
+    turned = np.zeros(len(s), bool)
+    if "vertical" in s:
+        turned |= s["vertical"].fillna(False).to_numpy(bool)
+    if "rotation" in s:
+        turned |= s["rotation"].between(1, 359).to_numpy()
+    columns = {c: s[c].to_numpy(float) for c in ("x", "y", "w", "h", "baseline", "font_size")}
+    flat = np.flatnonzero(~turned)
+    flat = flat[np.lexsort((columns["x"][flat], columns["baseline"][flat]))]
+    arrays = [columns[c][flat] for c in ("x", "y", "w", "h", "baseline", "font_size")]
+    every = s["text"].tolist()
+    texts = [every[i] for i in flat]
+    # plain lists: the folds below read single numbers
+    x, y, w, h, base, size = (a.tolist() for a in arrays)
+    scale = [max(a, b) for a, b in zip(size, h, strict=True)]
     groups: list[list[int]] = []
     total = top = low = tall = 0.0
     for i in range(len(flat)):
@@ -100,10 +113,10 @@ def page_lines(spans: pd.DataFrame) -> tuple[pd.DataFrame, list[tuple[float, flo
         groups.append([i])
         total, tall, top, low = base[i], scale[i], y[i], y[i] + h[i]
     width = float(spans["page_width"].iloc[0]) if "page_width" in spans and len(spans) else None
-    bands = gutters(x, y, w, h, size, np.array([len(t.strip()) for t in texts]), width) if len(flat) else []
+    bands = gutters(*arrays[:4], arrays[5], np.array([len(t.strip()) for t in texts]), width) if texts else []
     cut: list[list[int]] = []
     for group in groups:
-        group = sorted(group, key=lambda i: x[i])
+        group = sorted(group, key=x.__getitem__)
         cut.append([group[0]])
         for a, b in zip(group, group[1:], strict=False):
             end = x[a] + w[a]
@@ -111,14 +124,14 @@ def page_lines(spans: pd.DataFrame) -> tuple[pd.DataFrame, list[tuple[float, flo
                 cut.append([])
             cut[-1].append(b)
     rows = []
-    for group in cut:
-        g = np.array(group)
-        rows.append((join_spans([texts[i] for i in group], x[g], w[g], size[g]), x[g].min(), y[g].min(), (x[g] + w[g]).max(), (y[g] + h[g]).max(), base[g].mean(), float(np.median(size[g])), len(g)))
-    for r in other.itertuples():
-        rows.append((r.text, r.x, r.y, r.x + r.w, r.y + r.h, r.baseline, r.font_size, 1))
+    for g in cut:
+        joined = join_spans([texts[i] for i in g], [x[i] for i in g], [w[i] for i in g], [size[i] for i in g])
+        left, high = min(x[i] for i in g), min(y[i] for i in g)
+        rows.append((joined, left, high, max(x[i] + w[i] for i in g) - left, max(y[i] + h[i] for i in g) - high, sum(base[i] for i in g) / len(g), median(size[i] for i in g), len(g)))
+    for i in np.flatnonzero(turned):
+        rows.append((every[i], *(float(columns[c][i]) for c in ("x", "y", "w", "h", "baseline", "font_size")), 1))
+    rows.sort(key=lambda r: (r[5], r[1]))
     lines = pd.DataFrame(rows, columns=["text", "x", "y", "w", "h", "baseline", "font_size", "spans"])
-    lines["w"], lines["h"] = lines["w"] - lines["x"], lines["h"] - lines["y"]
-    lines = lines.sort_values(["baseline", "x"], kind="stable").reset_index(drop=True)
     lines.insert(0, "seq", np.arange(len(lines)))
     return lines, bands
 
