@@ -182,3 +182,23 @@ def test_islands_keep_first_row_apart(spark):
     df = spark.createDataFrame([(1, 1, "a"), (1, 2, "a"), (1, 3, None), (1, 4, "a")], "d int, n int, v string")
     got = S.islands(df, ["d"], ["n"], lambda prev: ~F.col("v").eqNullSafe(prev("v")))
     assert [r.island for r in got.orderBy("n").collect()] == [1, 1, 2, 3]
+
+
+def test_three_line_table():
+    rules = pd.DataFrame([rule("horizontal", y, 72, 400) for y in (100, 118, 170)])
+    rows = [span(f"c{r}{c}", x, y) for r, y in enumerate((95, 113, 130, 145)) for c, x in enumerate((80, 200, 320))]
+    cells = G.row_tables(rules, pd.DataFrame(rows))
+    assert (cells.row.max() + 1, cells.col.max() + 1, len(cells)) == (4, 3, 12) and cells.confidence.iloc[0] >= 0.6
+
+
+def test_statement_with_a_wrapped_cell():
+    rules = pd.DataFrame([rule("horizontal", y, 72, 400) for y in (100, 130, 160)])
+    rows = [span("A long", 80, 112), span("name", 80, 124), span("10", 200, 112), span("20", 320, 112), span("B", 80, 148), span("30", 200, 148), span("40", 320, 148)]
+    cells = G.row_tables(rules, pd.DataFrame(rows))
+    assert len(cells) == 6 and cells.text.iloc[0] == "A long name"
+
+
+def test_plain_text_between_rules_is_no_table():
+    rules = pd.DataFrame([rule("horizontal", y, 72, 400) for y in (100, 170)])
+    rows = [span("plain text runs across the page here", 80, y, width=300) for y in (115, 130, 145)]
+    assert len(G.row_tables(rules, pd.DataFrame(rows))) == 0
