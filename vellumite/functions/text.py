@@ -153,3 +153,16 @@ def counter(n: Column, style: str) -> Column:
         "cjk-decimal": F.when(n >= 0, cjk_decimal(n)).otherwise(plain),
     }
     return made.get(style, plain)
+
+
+# Code page 1252 beyond Latin-1, from byte 0x80 on; a full stop stands where it has no character.
+WIN_ANSI = "€.‚ƒ„…†‡ˆ‰Š‹Œ.Ž..‘’“”•–—˜™š›œ.žŸ"
+
+
+def win_ansi_hex(text: Column) -> Column:
+    """Bytes of code page 1252 as hexadecimal; null if a character has none."""
+    chars = F.split(text, "")
+    place = lambda c: F.instr(F.lit(WIN_ANSI), c)
+    code = lambda c: F.when((place(c) > 0) & (c != "."), place(c) + 127).when(c.rlike("[\\x20-\\x7E\\xA0-\\xFF]"), F.ascii(c))
+    codes = F.transform(F.filter(chars, lambda c: c != ""), code)
+    return F.when(F.forall(codes, lambda n: n.isNotNull()), F.lower(F.array_join(F.transform(codes, lambda n: F.hex(n)), "")))

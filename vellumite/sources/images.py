@@ -157,14 +157,14 @@ def sniff(data: bytes | None) -> tuple:
     return _made("svg" if head.startswith("<") and re.search(r"<svg[\s>]", head, re.I) else "unknown")
 
 
-@F.pandas_udf(HEADER)
-def header(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def _sniff_all(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for content in batches:
         yield pd.DataFrame([sniff(c) for c in content], columns=[c.split()[0] for c in HEADER.split(", ")])
 
 
 def image_headers(files: DataFrame, content: str = "content") -> DataFrame:
     """Adds `header` to a table with binary content; only the first bytes go to Python."""
+    header = F.pandas_udf(_sniff_all, HEADER)
     return files.withColumn("header", header(F.substring(F.col(content), 1, HEAD)))
 
 
