@@ -29,6 +29,8 @@ RESULT = "best string, lang string, score double, margin double, rejected boolea
 def normalized(text: str | None) -> bytes:
     """The distinct words of a text in the order of their first use; empty if it has no letter."""
     found = dict.fromkeys(LETTERS.findall((text or "").lower()))
+    if not any(c.isalpha() for w in found for c in w):  # LETTERS also takes signs such as a raised two
+        return b""
     return f" {' '.join(found)} ".encode("utf-8", "ignore") if found else b""
 
 
