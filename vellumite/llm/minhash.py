@@ -124,6 +124,20 @@ def shingle_sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")).mapInArrow(sets, "_id long, _set array<long>")
 
 
+def fine_signatures(docs: DataFrame, ids: DataFrame, key: str, text: str, width: int, k: int, bits: int) -> DataFrame:
+    """node, n, _packed: signatures of k minima for the named documents."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, signer = Words(), Signer(1, k, bits, seed=2)
+        for batch in batches:
+            sets = [shingles(t, width, known) for t in batch.column(1).to_pylist()]
+            packed = pa.array([signer.sign(s)[1] if len(s) else None for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), packed], names=["node", "n", "_packed"])
+
+    named = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")).join(broadcast_if_small(ids, 500_000), "_id", "left_semi")
+    return named.mapInArrow(sign, "node long, n long, _packed array<long>").where("_packed is not null").dropDuplicates(["node"])
+
+
 def estimate(a: Column, b: Column, k: int, bits: int) -> Column:
     """Similarity of two packed signatures: the share of minima whose kept bits all agree, corrected for chance."""
     repeated = sum(1 << (i * bits) for i in range(64 // bits))  # the lowest bit of every field
@@ -178,14 +192,15 @@ def confirm(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int,
     return both.where(F.lit(100) * common >= F.lit(percent) * (F.size("_sa") + F.size("_sb") - common)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, percent: int = 80, bands: int = 32, rows: int = 4, bits: int = 4, slack: float = 0.18, block: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, percent: int = 80, bands: int = 32, rows: int = 4, bits: int = 4, slack: float = 0.18, fine: int = 1024, fine_slack: float = 0.06, block: int = 512) -> DataFrame:
     """Per row: key, n_shingles, component_id, kept (the row's key is its component's).
 
     Null, empty and blank texts have no shingles and no links: each is its own component. Rows of a repeated key are one
     node: its first set stands for links, and all of its rows are returned. Keys are integers; rows of a null key are linked
     with nothing and kept.
     At similarity 0.8 a pair shares no band with probability (1 - 0.8**rows)**bands, 5e-8 by default; slack is how far
-    below the threshold an estimate may lie, about 5 standard errors by default, before a pair is left unconfirmed."""
+    below the threshold an estimate may lie before a pair is left unconfirmed, fine_slack the same for the signatures of
+    `fine` minima; both are about 5 standard errors by default."""
     signed = durable(signatures(docs, key, text, width, bands, rows, bits))
     # classes of equal sets; node: the smallest key of the class
     classes = durable(signed.where("_fp is not null and _id is not null").groupBy("_fp").agg(F.min("_id").alias("node"), F.first("n_shingles").alias("n"), F.first("_packed").alias("_packed"), F.first("_bands").alias("_bands")))
@@ -206,15 +221,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     links = linked(groups.where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct())
     found = components(links)
-    # what the stars leave: groups that hold more than one component. First each stray meets the likeliest member of every
-    # other component, which joins most of them; then those still apart meet everyone
+    # what the stars leave: groups that hold more than one component. Their members get signatures of `fine` minima, since
+    # in a large group very many pairs lie close below the threshold. First each stray meets its likeliest partner, which
+    # joins most of those that belong together; then those still apart meet everyone
+    finer = None
     for nearest in (True, False):
         of = groups.join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("group", "node", "rep", "members", F.coalesce("root", "node").alias("root"))
         rep_root = of.where("node = rep").select("group", F.col("root").alias("rep_root"))
         placed = of.join(rep_root, "group").withColumn("stray", F.col("root") != F.col("rep_root"))
         mixed = placed.where("stray").select("group").distinct()
-        placed = durable(placed.join(mixed, "group").join(nodes, "node"))
-        rest = durable(stray_pairs(placed, bands * rows, bits, percent, threshold, block, nearest).distinct())
+        placed = durable(placed.join(mixed, "group"))
+        if finer is None:
+            finer = durable(fine_signatures(docs, durable(placed.select(F.col("node").alias("_id")).distinct()), key, text, width, fine, bits))
+        rest = durable(stray_pairs(placed.join(finer, "node"), fine, bits, percent, percent / 100 - fine_slack, block, nearest).distinct())
         more = durable(confirm(rest, docs, key, text, width, percent))
         if more.limit(1).count():
             links = links.unionByName(more)
@@ -230,8 +249,8 @@ def stray_pairs(placed: DataFrame, k: int, bits: int, percent: int, threshold: f
     """Pairs (a, b) of different components in a group, one of them outside the component of the group's smallest class.
 
     A group is dealt to blocks of about `block` members; strays go to every block of their group as well. Each block
-    compares its strays with its own members by packed bits; only likely pairs come out, or with `nearest` the likeliest
-    of each other component. Blocks are many and mostly tiny, so that they go in batches of about per_task rows."""
+    compares its strays with its own members by packed bits; only likely pairs come out, or with `nearest` each
+    stray's likeliest. Blocks are many and mostly tiny, so that they go in batches of about per_task rows."""
     repeated = np.uint64(sum(1 << (i * bits) for i in range(64 // bits)))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -252,8 +271,7 @@ def stray_pairs(placed: DataFrame, k: int, bits: int, percent: int, threshold: f
                 ok = (guess >= threshold) & (root[mine] != root[s]) & (np.minimum(n[mine], n[s]) * 100 >= np.maximum(n[mine], n[s]) * percent)
                 hit = mine[ok]
                 if nearest and len(hit):
-                    hit = hit[np.lexsort((node[hit], -guess[ok], root[hit]))]
-                    hit = hit[np.unique(root[hit], return_index=True)[1]]
+                    hit = hit[np.lexsort((node[hit], -guess[ok]))][:1]
                 out += [(min(node[m], node[s]), max(node[m], node[s])) for m in hit]
             start = end
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64").drop_duplicates()
