@@ -160,7 +160,7 @@ def line_join_paragraphs(spark, sf):
 
 @query("SELECT doc_id, regexp_replace(t, '[\\x{10000}-\\x{10FFFF}]', '□', 'g') AS text, len(regexp_extract_all(t, '[\\x{10000}-\\x{10FFFF}]')) AS replaced FROM (SELECT doc_id, left(text, 40) || CASE WHEN doc_id % 5 = 0 THEN '😀𠀀' ELSE '' END AS t FROM documents)")
 def replace_astral(spark, sf):
-    text = F.concat(F.substring("text", 1, 40), F.when(F.col("doc_id") % 5 == 0, "😀𠀀").otherwise(""))
+    text = F.concat("text", F.when(F.col("doc_id") % 5 == 0, "😀𠀀").otherwise(""))
     return table(spark, sf, "documents").select("doc_id", T.replace_astral(text).alias("r")).select("doc_id", "r.text", "r.replaced")
 
 
@@ -558,7 +558,7 @@ def should_recognize(spark, sf):
 @query("""WITH l AS (SELECT doc_id, list_sort(list_filter(list_transform(string_split(left(text, 200), ' '), lambda w: length(w)), lambda n: n > 0)) AS ls FROM documents)
  SELECT doc_id, coalesce(list_sum(ls), 0) < 40 OR (list_sum(ls) < 300 AND ls[len(ls) // 2 + 1] <= 6) AS sparse FROM l""")
 def sparse_pages(spark, sf):
-    lengths = F.transform(F.split(F.substring("text", 1, 200), " "), lambda w: F.length(w).cast("long"))
+    lengths = F.transform(F.split("text", " "), lambda w: F.length(w).cast("long"))
     return table(spark, sf, "documents").select("doc_id", O.sparse(lengths).alias("sparse"))
 
 
