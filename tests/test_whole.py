@@ -14,3 +14,15 @@ def test_marks_and_sparse_pages_see_the_whole_text(spark, tmp_path):
     assert texts[1] == ("ab " * 30 + "□ end □", 2) and texts[5] == ("x" * 50 + "□□", 2) and texts[2] == (rows[2][1], 0)
     sparse = {r.doc_id: r.sparse for r in run(spark, tmp_path, "sparse_pages", "documents", rows, "doc_id long, text string")}
     assert sparse == {1: True, 5: False, 2: False, 3: True, 4: False}
+
+
+def test_every_word_is_in_a_line_and_a_region(spark, tmp_path):
+    long = " ".join(f"somewhatlong{i}" for i in range(700))
+    rows = [(1, f"{long}\n\nsecond line of the text with more than six words\n{'w' * 90} after"), (2, "alone")]
+    want = sorted(w for r in rows for w in r[1].split())
+    for name in ("build_lines", "xy_cut"):
+        made = run(spark, tmp_path, name, "documents", rows, "doc_id long, text string")
+        assert sorted(w for r in made for w in r.text.split()) == want
+        # two of these words a row: 350 rows, 48 a page
+        assert {r.page_index for r in made if r.doc_id == 1} == set(range(8))
+        assert all(r.x + r.w <= (292 if r.x < 300 else 562) + 1e-6 and r.y + r.h <= 842 for r in made)

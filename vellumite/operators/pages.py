@@ -12,7 +12,7 @@ from statistics import median
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from ..functions.text import CJK as _CJK
 
@@ -182,6 +182,30 @@ def regions(lines: pd.DataFrame, page_width: float, bands: Sequence[tuple[float,
 LINE_SCHEMA = "seq int, text string, x double, y double, w double, h double, baseline double, font_size double, spans int"
 
 
+def wrapped(text: Column, advance: float, width: float) -> Column:
+    """Words of a line (array of struct(text, row, x)), filled into rows of a width; each character and space is `advance`
+    wide. A word goes on a new row if it doesn't fit behind the last one."""
+    from pyspark.sql import functions as F
+
+    @F.pandas_udf("array<struct<text:string,row:int,x:double>>")
+    def fill(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            row, x, made = 0, 0.0, []
+            for word in t.split(" "):
+                if not word:
+                    continue
+                w = len(word) * advance
+                if made and x + w > width:
+                    row, x = row + 1, 0.0
+                made.append({"text": word, "row": row, "x": x})
+                x += w + advance
+            out.append(made)
+        return pd.Series(out, dtype=object)
+
+    return fill(text)
+
+
 def build_lines(spans: DataFrame, page: Sequence[str] = PAGE) -> DataFrame:
     """page, LINE_SCHEMA."""
     kinds = dict(spans.dtypes)

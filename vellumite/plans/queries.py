@@ -468,14 +468,28 @@ def box_iou(spark, sf):
 # --- pages ------------------------------------------------------------------------------------------------------------
 
 
+ADVANCE, SPAN_ROWS, SPAN_WIDTH = 5.5, 48, 232.0
+
+
 def _spans(spark, sf) -> DataFrame:
-    """Two-column pages from documents: words of a line as spans, odd lines in the right column."""
-    lines = text_lines(table(spark, sf, "documents"))
-    words = F.posexplode(F.filter(F.split("text", " "), lambda w: w != ""))
-    spans = lines.select("doc_id", "page_index", "n", "seq", words.alias("k", "word")).where("k < 6")
-    row = F.floor(F.col("n") / 2)
-    x = F.lit(60.0) + (F.col("n") % 2) * 270 + F.col("k") * 38
-    return spans.select("doc_id", "page_index", (F.col("seq") * 6 + F.col("k")).alias("seq"), F.substring("word", 1, 6).alias("text"), x.alias("x"), (F.lit(92.0) + row * 14 - 8).alias("y"), (F.length(F.substring("word", 1, 6)) * 5.5).alias("w"), F.lit(10.0).alias("h"), (F.lit(92.0) + row * 14).alias("baseline"), F.lit(10.0).alias("font_size"), F.lit(595.0).alias("page_width"))
+    """Two-column pages from documents: words of a line as spans, odd lines in the right column.
+
+    A line takes as many rows as its words need; a column goes on down the pages of its document, 48 rows a page. A word
+    wider than a column has a row to itself, in a type small enough to fit."""
+    lines = text_lines(table(spark, sf, "documents")).select("doc_id", "seq", (F.col("n") % 2).alias("side"), P.wrapped(F.col("text"), ADVANCE, SPAN_WIDTH).alias("ws"))
+    column = Window.partitionBy("doc_id", "side").orderBy("seq")
+    # words of earlier lines of the text, and rows of earlier lines of the column
+    placed = lines.withColumn("first", F.sum(F.size("ws")).over(Window.partitionBy("doc_id").orderBy("seq")) - F.size("ws"))
+    rows = F.element_at("ws", -1)["row"] + 1
+    placed = placed.withColumn("top", F.sum(rows).over(column) - rows)
+    spans = placed.select("doc_id", "side", "first", "top", F.posexplode("ws").alias("k", "w"))
+    row = F.col("top") + F.col("w.row")
+    baseline = F.lit(92.0) + row % SPAN_ROWS * 14
+    size = F.least(F.lit(10.0), F.lit(10 * SPAN_WIDTH / ADVANCE) / F.length("w.text"))
+    return spans.select(
+        "doc_id", F.floor(row / SPAN_ROWS).cast("int").alias("page_index"), (F.col("first") + F.col("k")).alias("seq"), "w.text", (F.lit(60.0) + F.col("side") * 270 + F.col("w.x")).alias("x"),
+        (baseline - size * 0.8).alias("y"), (F.length("w.text") * size * (ADVANCE / 10)).alias("w"), size.alias("h"), baseline.alias("baseline"), size.alias("font_size"), F.lit(595.0).alias("page_width"),
+    )
 
 
 @query()
