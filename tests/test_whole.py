@@ -26,3 +26,16 @@ def test_every_word_is_in_a_line_and_a_region(spark, tmp_path):
         # two of these words a row: 350 rows, 48 a page
         assert {r.page_index for r in made if r.doc_id == 1} == set(range(8))
         assert all(r.x + r.w <= (292 if r.x < 300 else 562) + 1e-6 and r.y + r.h <= 842 for r in made)
+
+
+def test_overlaps_of_boxes_far_apart_in_key(spark, tmp_path):
+    rows = [(40 * k * 17 % 28000, k * 7 % 50 + 1) for k in range(1, 700)]
+    box = {i: (i % 40, i * 37 % 500, i * 91 % 700, 5 + s, 8 + s % 9) for i, s in rows}
+    want = {}
+    for i, (p, x, y, w, h) in box.items():
+        for j, (q, u, v, m, n) in box.items():
+            common = max(0, min(x + w, u + m) - max(x, u)) * max(0, min(y + h, v + n) - max(y, v))
+            if i < j and p == q and common:
+                want[p, i, j] = round(common / (w * h + m * n - common), 9)
+    made = run(spark, tmp_path, "box_iou", "part", rows, "p_partkey long, p_size int")
+    assert len(made) == len(want) > 500 and {(r.page, r.a, r.b): r.iou for r in made} == want

@@ -34,6 +34,20 @@ def inside(boxes: DataFrame, covers: DataFrame, by: Sequence[str], outset: float
     return boxes.join(right, equal & G.center_inside(a, b, outset))
 
 
+def overlapping(boxes: DataFrame, by: Sequence[str], key: str, cell: tuple[float, float] = (64.0, 32.0)) -> DataFrame:
+    """Pairs of boxes of a page with area in common, each once: the box of the smaller key, the other's columns prefixed
+    `_r_`. A box lies in every grid cell that it touches, and a pair counts in the cell of its common part's first corner."""
+
+    def cells(start: str, length: str, size: float) -> Column:
+        return F.explode(F.sequence(F.floor(F.col(start) / size), F.floor((F.col(start) + F.col(length)) / size)))
+
+    put = boxes.withColumn("_cx", cells("x", "w", cell[0])).withColumn("_cy", cells("y", "h", cell[1]))
+    right, equal, a, b = _sides(put, put, [*by, "_cx", "_cy"])
+    corner = [F.floor(F.greatest(a[c], b[c]) / size) == F.col(f"_c{c}") for c, size in zip("xy", cell, strict=True)]
+    pairs = put.join(right, equal & (F.col(key) < F.col(f"_r_{key}")) & corner[0] & corner[1] & (G.intersection(a, b) > 0))
+    return pairs.drop("_cx", "_cy", "_r__cx", "_r__cy")
+
+
 def ruled(spans: DataFrame, rules: DataFrame, by: Sequence[str], position: str, start: str, end: str, near: float = 2.5, slack: float = 3.0) -> DataFrame:
     """Spans (with columns position, start, end) that have a rule within `near` which covers them, with slack."""
     right = rules.select([F.col(c).alias(f"_r_{c}") for c in rules.columns])

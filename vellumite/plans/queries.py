@@ -460,9 +460,7 @@ def quality_search(spark, sf):
 @query(f"WITH {BOXES_SQL} SELECT a.page, a.id AS a, b.id AS b, round(greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) / (a.w * a.h + b.w * b.h - greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))), 9) AS iou FROM bx a JOIN bx b ON a.page = b.page AND b.id BETWEEN a.id + 1 AND a.id + 80")
 def box_iou(spark, sf):
     boxes = _boxes(spark, sf)
-    other = boxes.select(*[F.col(c).alias(f"_r_{c}") for c in boxes.columns])
-    pairs = boxes.join(other, (F.col("page") == F.col("_r_page")) & F.col("_r_id").between(F.col("id") + 1, F.col("id") + 80))
-    return pairs.select("page", F.col("id").alias("a"), F.col("_r_id").alias("b"), rounded(G.iou(G.columns(), G.columns("_r_")), 9).alias("iou"))
+    return J.overlapping(boxes, ["page"], "id").select("page", F.col("id").alias("a"), F.col("_r_id").alias("b"), rounded(G.iou(G.columns(), G.columns("_r_")), 9).alias("iou"))
 
 
 # --- pages ------------------------------------------------------------------------------------------------------------
