@@ -1,5 +1,7 @@
 """Queries take whole texts, pages and tables: small tables whose ends matter."""
 
+import zlib
+
 from vellumite.catalog import QUERIES
 
 
@@ -39,3 +41,11 @@ def test_overlaps_of_boxes_far_apart_in_key(spark, tmp_path):
                 want[p, i, j] = round(common / (w * h + m * n - common), 9)
     made = run(spark, tmp_path, "box_iou", "part", rows, "p_partkey long, p_size int")
     assert len(made) == len(want) > 500 and {(r.page, r.a, r.b): r.iou for r in made} == want
+
+
+def test_letters_of_code_page_1252_stay_in_pdf_files(spark, tmp_path):
+    made = run(spark, tmp_path, "text_pdf", "documents", [(1, "Größe „é“ €5\nplain (x)\n中 😀 a−b")], "doc_id long, text string")[0]
+    stream = next(s for s in bytes(made.pdf).split(b"stream\n") if s[:1] == b"x")
+    shown = zlib.decompressobj().decompress(stream)
+    assert b"<%s> Tj" % "Größe „é“ €5".encode("cp1252").hex().encode() in shown
+    assert b"(plain \\(x\\)) Tj" in shown and b"(? ? a-b) Tj" in shown and made.lost == 2

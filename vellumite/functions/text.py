@@ -159,6 +159,15 @@ def counter(n: Column, style: str) -> Column:
 WIN_ANSI = "€.‚ƒ„…†‡ˆ‰Š‹Œ.Ž..‘’“”•–—˜™š›œ.žŸ"
 
 
+NOT_WIN_ANSI = "[^\\x20-\\x7E\\xA0-\\xFF" + WIN_ANSI.replace(".", "") + "]"
+# Characters that the code page lacks, and those that look like them.
+LOOKALIKES = ("\u2007\u202f\u2009\u200a\u2010\u2011\u2212\u2032\u02bc\u2033", "    ---''\"")
+
+
+def near_win_ansi(text: Column) -> Column:
+    return F.translate(text, *LOOKALIKES)
+
+
 def win_ansi_hex(text: Column) -> Column:
     """Bytes of code page 1252 as hexadecimal; null if a character has none."""
     chars = F.split(text, "")
