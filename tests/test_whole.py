@@ -49,3 +49,10 @@ def test_letters_of_code_page_1252_stay_in_pdf_files(spark, tmp_path):
     shown = zlib.decompressobj().decompress(stream)
     assert b"<%s> Tj" % "Größe „é“ €5".encode("cp1252").hex().encode() in shown
     assert b"(plain \\(x\\)) Tj" in shown and b"(? ? a-b) Tj" in shown and made.lost == 2
+
+
+def test_heads_are_found_on_later_pages(spark, tmp_path):
+    rows = [(25, "\n".join(f"line {i}" for i in range(135))), (50, "one\ntwo")]
+    made = run(spark, tmp_path, "repeated_boilerplate", "documents", rows, "doc_id long, text string")
+    assert {(r.page_index, r.line_id, r.band) for r in made if r.band == "footer"} == {(1, 1, "footer"), (2, 46, "footer"), (3, 91, "footer"), (4, 1, "footer")}
+    assert {(r.page_index, r.line_id) for r in made if r.band == "header"} >= {(1, 0), (2, 45), (3, 90)}

@@ -388,12 +388,12 @@ HEAD_SQL = f"""WITH {LINES_SQL},
 
 @query(HEAD_SQL)
 def repeated_boilerplate(spark, sf):
-    """Documents taken as pages of 25 books: the first line of each becomes a running title, the second a page number."""
-    lines = text_lines(table(spark, sf, "documents")).where("page_index = 0")
+    """Pages of documents taken as pages of 25 books: the first line of each becomes a running title, the second a number."""
+    lines = text_lines(table(spark, sf, "documents"))
     d, n = F.col("doc_id"), F.col("n")
     text = F.when(n == 0, F.concat(F.lit("Chapter "), (d % 3).cast("string"), F.lit(" Title 7"))).when(n == 1, d.cast("string")).otherwise(F.col("text"))
     y = F.when(n == 0, F.lit(40.0) + d % 5).when(n == 1, 780.0).otherwise(300.0)
-    page = F.dense_rank().over(Window.partitionBy(d % 25).orderBy("doc_id"))
+    page = F.dense_rank().over(Window.partitionBy(d % 25).orderBy("doc_id", "page_index"))
     pages = lines.select((d % 25).alias("doc_id"), page.cast("long").alias("page_index"), F.col("seq").cast("long").alias("line_id"), text.alias("text"), F.lit(72.0).alias("x"), y.alias("y"), F.lit(100.0).alias("w"), F.lit(10.0).alias("h"), F.lit(595.0).alias("page_width"), F.lit(842.0).alias("page_height"), F.lit(False).alias("rotated"))
     return R.repeated_lines(pages).select("doc_id", "page_index", "line_id", "band")
 
