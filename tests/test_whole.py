@@ -56,3 +56,13 @@ def test_heads_are_found_on_later_pages(spark, tmp_path):
     made = run(spark, tmp_path, "repeated_boilerplate", "documents", rows, "doc_id long, text string")
     assert {(r.page_index, r.line_id, r.band) for r in made if r.band == "footer"} == {(1, 1, "footer"), (2, 46, "footer"), (3, 91, "footer"), (4, 1, "footer")}
     assert {(r.page_index, r.line_id) for r in made if r.band == "header"} >= {(1, 0), (2, 45), (3, 90)}
+
+
+def test_counters_and_ranges_take_every_row(spark, tmp_path):
+    made = run(spark, tmp_path, "counters", "part", [(0,), (3999,), (4000,), (18279,)], "p_partkey long")
+    assert {tuple(r) for r in made} == {
+        (0, "0", "0", "〇", "00"), (3999, "mmmcmxcix", "ewu", "三九九九", "3999"),
+        (4000, "mmmm", "ewv", "四〇〇〇", "4000"), (18279, "m" * 18 + "cclxxix", "aaaa", "一八二七九", "18279"),
+    }
+    made = run(spark, tmp_path, "format_ranges", "lineitem", [(1, 1), (1, 2), (1, 3), (2, 2), (2, 6), (502, 4)], "l_orderkey long, l_linenumber int")
+    assert {(r.doc_id, r.ranges) for r in made} == {(1, "2-4"), (2, "3, 5, 7")}
