@@ -4,7 +4,9 @@ Two histograms of each whole text are compared with its language's reference by
 of the divergence in bits, 0 to 1): the shares of character classes, and the shares of words that are each of the
 language's common words or none of them. References are the sums over all documents of the language that pass the base
 rules; documents of a null or unlisted language are compared with the sums over all languages, and by characters only.
-A histogram of too few characters or words says little, so each comparison has a minimum length below which it passes.
+A histogram of too few characters says little, so that comparison has a minimum length below which it passes. The
+words' one covers all texts that pass the base rules; below `least_words` its limit widens as the square root of the
+length falls, to `short_limit` at most.
 
 All of it is DataFrame and SQL functions; nothing but the small table of references is joined, and texts never move.
 """
@@ -101,7 +103,7 @@ def distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(halves, F.lit(0.0), lambda a, b: a + b), F.lit(0.0)))
 
 
-def assess(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", char_limit: float = 0.26, common_limit: float = 0.24, least_chars: int = 200, least_words: int = 150, least_base_words: int = 50, common: dict[str, list[str]] | None = None) -> DataFrame:
+def assess(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", char_limit: float = 0.26, common_limit: float = 0.24, least_chars: int = 200, least_words: int = 150, least_base_words: int = 50, common: dict[str, list[str]] | None = None, short_limit: float = 0.32) -> DataFrame:
     """Per row: key, the base counts, base_failed, char_distance, common_distance, kept.
 
     Null and blank texts have no words and fail the base rules. Rows are judged one by one, repeated keys too. With no
@@ -122,6 +124,8 @@ def assess(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     as_double = lambda c: F.col(c).cast("array<double>")
     df = df.withColumn("_ref", F.coalesce("_rc", "_pc"))
     df = df.withColumn("char_distance", F.when(F.col("word_chars") >= least_chars, distance(as_double("chars"), F.col("_ref"))))
-    df = df.withColumn("common_distance", F.when((n >= least_words) & F.col("_rw").isNotNull(), distance(as_double("common"), F.col("_rw"))))
-    fine = F.coalesce(F.col("char_distance") <= char_limit, F.lit(True)) & F.coalesce(F.col("common_distance") <= common_limit, F.lit(True))
+    df = df.withColumn("common_distance", F.when((n >= least_base_words) & F.col("_rw").isNotNull(), distance(as_double("common"), F.col("_rw"))))
+    widened = F.lit(common_limit) * F.sqrt(F.lit(float(least_words)) / F.greatest(n, F.lit(1)))
+    words_limit = F.when(n >= least_words, common_limit).otherwise(F.greatest(F.lit(common_limit), F.least(F.lit(short_limit), widened)))
+    fine = F.coalesce(F.col("char_distance") <= char_limit, F.lit(True)) & F.coalesce(F.col("common_distance") <= words_limit, F.lit(True))
     return df.select(F.col("_key").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), "char_distance", "common_distance", (~base_failed & fine).alias("kept"))
