@@ -3,7 +3,6 @@
 import zlib
 
 from vellumite.catalog import QUERIES
-from vellumite.llm import quality_rules
 
 
 def run(spark, folder, name, table, rows, schema):
@@ -67,12 +66,3 @@ def test_counters_and_ranges_take_every_row(spark, tmp_path):
     }
     made = run(spark, tmp_path, "format_ranges", "lineitem", [(1, 1), (1, 2), (1, 3), (2, 2), (2, 6), (502, 4)], "l_orderkey long, l_linenumber int")
     assert {(r.doc_id, r.ranges) for r in made} == {(1, "2-4"), (2, "3, 5, 7")}
-
-
-def test_short_texts_are_compared_by_common_words(spark):
-    prose = "the cat of a man and a dog in that house is to be on it with his friend for this was"
-    good = [(k, " ".join((prose.split() * 9)[k : k + 60 + 3 * k]) + f" end {k}", "en") for k in range(20)]
-    good = [(k, " ".join(f"{w} word{k}x{i}" if i % 2 else w for i, w in enumerate(t.split())), "en") for k, t, _ in good]
-    rows = [*good, (100, "\n".join(f"alpha{i} | beta{i} gamma{i} delta{i} epsilon{i} zeta{i}" for i in range(16)), "en")]
-    made = quality_rules.assess(spark.createDataFrame(rows, "doc_id long, text string, lang string"), char_limit=1.0).collect()
-    assert {r.doc_id for r in made if not r.kept} == {100} and all(50 <= r.n_words < 150 or r.doc_id < 100 for r in made)
