@@ -1,21 +1,23 @@
 """Approximate nearest neighbours by a hash-prefix forest.
 
-Vectors are dealt by hashed id to blocks of about `block_rows`. In a block every tree holds the block's vectors as a sorted
+Vectors are dealt by hash to blocks of about `block_rows`. In a block every tree holds the block's vectors as a sorted
 array of long hash strings: bit i says on which side of its i-th hyperplane a vector lies, hyperplanes being drawn at
 random and cut at the median of a bounded sample. For a query each tree descends to the longest prefix it shares with an
 entry, which is a pair of binary searches for each length; then all trees ascend together, one bit at a time, until the
 entries that share the prefixes number at least the wanted share of the block. Candidates are ranked by their exact
 distance, and the blocks' best are merged. Blocks hold their vectors once, however many trees there are.
 
-Queries go to every block in groups of `query_rows`, so that neither side is held whole anywhere.
+Every vector travels once, to its block; queries travel to every block. A task reads a block's vectors, then lets its
+queries pass in batches, so that it holds one block and one batch, however many queries there are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,17 +39,17 @@ class Forest:
         return out
 
 
-def fit(rows: DataFrame, vector: str = "embedding", key: str = "vec_id", trees: int = 32, bits: int = 32, sample: int = 8192, seed: int = 9) -> Forest | None:
-    """Learns the cuts from at most 1.25 sample rows, chosen by hashed key. None without rows."""
-    n = rows.count()
-    if not n:
+def fit(rows: DataFrame, n: int, vector: str = "embedding", key: str = "vec_id", trees: int = 32, bits: int = 32, sample: int = 8192, seed: int = 9) -> Forest | None:
+    """Learns the cuts from at most `sample` of the n rows, those of the least hashed keys. None without rows."""
+    v = F.col(vector).cast("array<double>").alias("_v")
+    picked = rows.where(unit(F.col(key), seed=seed) < min(1.0, 1.25 * sample / n)) if n else rows
+    drawn = picked.select(F.xxhash64(key, F.lit(seed)).alias("_order"), F.col(key).alias("_id"), v).orderBy("_order", "_id", "_v").limit(sample).collect()
+    if not drawn:
         return None
-    drawn = rows.where(unit(F.col(key), seed=seed) < min(1.0, sample / n)).select(F.col(key).alias("_id"), F.col(vector).cast("array<double>").alias("_v")).limit(sample * 5 // 4).collect()
-    drawn = drawn or rows.select(F.col(key).alias("_id"), F.col(vector).cast("array<double>").alias("_v")).limit(100).collect()
     lengths = [len(r["_v"]) for r in drawn]
     usual = max(set(lengths), key=lambda n: (lengths.count(n), -n))
-    learned = np.array([r["_v"] for r in sorted(drawn, key=lambda r: (r["_id"], r["_v"])) if len(r["_v"]) == usual])
-    planes = np.random.default_rng(seed).standard_normal((trees, bits, learned.shape[1]))
+    learned = np.array([r["_v"] for r in drawn if len(r["_v"]) == usual])
+    planes = np.random.default_rng(seed).standard_normal((trees, bits, usual))
     return Forest(planes, np.stack([np.median(learned @ p.T, axis=0) for p in planes]))
 
 
@@ -59,68 +61,97 @@ def usable(vector: Column, dimensions: int | None = None) -> Column:
     return F.coalesce(fine & some & ((F.size(v) == dimensions) if dimensions else F.lit(True)), F.lit(False))
 
 
-def search_block(forest: Forest, ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, share: float, least: int) -> pd.DataFrame:
-    """The k nearest candidates that the forest of one block has for each query."""
-    trees, bits, _ = forest.planes.shape
-    want = min(len(ids), max(least, int(np.ceil(share * len(ids)))))
-    strings, asked = forest.strings(vectors), forest.strings(queries)
-    order = np.argsort(strings, axis=1, kind="stable")
-    arrays = np.take_along_axis(strings, order, 1)
-    # where each query's prefix of each length begins and ends in each tree's array
-    first = np.empty((bits + 1, trees, len(queries)), np.int64)
-    last = np.empty_like(first)
-    for length in range(bits + 1):
-        free = np.uint64((1 << (bits - length)) - 1)
-        for t in range(trees):
-            first[length, t] = np.searchsorted(arrays[t], asked[t] & ~free, "left")
-            last[length, t] = np.searchsorted(arrays[t], asked[t] | free, "right")
-    within = (last - first).sum(1)
-    out = []
-    for q in range(len(queries)):
-        length = int(np.flatnonzero(within[:, q] >= want)[-1])
-        while True:
-            mark = np.zeros(len(ids), bool)
+class Block:
+    """One block's vectors as sorted arrays of hash strings, one for each tree."""
+
+    def __init__(self, forest: Forest, ids: np.ndarray, vectors: np.ndarray):
+        self.forest, self.ids, self.vectors = forest, ids, vectors
+        strings = forest.strings(vectors)
+        self.order = np.argsort(strings, axis=1, kind="stable")
+        self.arrays = np.take_along_axis(strings, self.order, 1)
+
+    def nearest(self, query_ids: np.ndarray, queries: np.ndarray, k: int, share: float, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query id, row id and distance of the k nearest candidates for each query."""
+        ids, (trees, bits, _) = self.ids, self.forest.planes.shape
+        want = min(len(ids), max(least, int(np.ceil(share * len(ids)))))
+        asked = self.forest.strings(queries)
+        # where each query's prefix of each length begins and ends in each tree's array
+        first = np.empty((bits + 1, trees, len(queries)), np.int64)
+        last = np.empty_like(first)
+        for length in range(bits + 1):
+            free = np.uint64((1 << (bits - length)) - 1)
             for t in range(trees):
-                mark[order[t, first[length, t, q] : last[length, t, q]]] = True
-            if length == 0 or np.count_nonzero(mark) >= want:
-                break
-            length -= 1
-        at = np.flatnonzero(mark & (ids != query_ids[q]))
-        distance = np.sqrt(((vectors[at] - queries[q]) ** 2).sum(1))
-        near = at[np.lexsort((ids[at], distance))]
-        near = near[np.sort(np.unique(ids[near], return_index=True)[1])][:k]
-        out.append(pd.DataFrame({"query_id": query_ids[q], "vec_id": ids[near], "score": np.sqrt(((vectors[near] - queries[q]) ** 2).sum(1))}))
-    return pd.concat(out)
-
-
-def search(rows: DataFrame, queries: DataFrame, k: int = 10, vector: str = "embedding", key: str = "vec_id", share: float = 0.4, least: int = 256, block_rows: int = 16384, query_rows: int = 2048, **options) -> DataFrame:
+                first[length, t] = np.searchsorted(self.arrays[t], asked[t] & ~free, "left")
+                last[length, t] = np.searchsorted(self.arrays[t], asked[t] | free, "right")
+        within = (last - first).sum(1)
+        out = []
+        for q in range(len(queries)):
+            length = int(np.flatnonzero(within[:, q] >= want)[-1])
+            while True:
+                mark = np.zeros(len(ids), bool)
+                for t in range(trees):
+                    mark[self.order[t, first[length, t, q] : last[length, t, q]]] = True
+                if length == 0 or np.count_nonzero(mark) >= want:
+                    break
+                length -= 1
+            at = np.flatnonzero(mark & (ids != query_ids[q]))
+            distance = np.sqrt(((self.vectors[at] - queries[q]) ** 2).sum(1))
+            near = np.lexsort((ids[at], distance))
+            near = near[np.sort(np.unique(ids[at][near], return_index=True)[1])][:k]
+            out.append((np.full(len(near), query_ids[q]), ids[at][near], distance[near]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def search(rows: DataFrame, queries: DataFrame, k: int = 10, vector: str = "embedding", key: str = "vec_id", share: float = 0.5, least: int = 2048, block_rows: int = 8192, query_rows: int = 1024, **options) -> DataFrame:
     """Per query: query_id, rank (from 1), vec_id, score (Euclidean distance), the k nearest found among rows of other ids.
 
+    share of a block's vectors, `least` at least, are candidates: a block of no more than `least` is searched whole.
     Vectors that are null, zero, not finite or of another length than most of the sample, and rows of a null id, take no part.
-    Repeated rows of one id count once. An empty side gives an empty result."""
+    Repeated rows of one id count once, by their nearest vector. An empty side gives an empty result."""
     schema = "query_id long, vec_id long, score double"
     rows, queries = rows.where(F.col(key).isNotNull()), queries.where(F.col(key).isNotNull())
     good = rows.where(usable(F.col(vector)))
-    forest = fit(good, vector, key, **options)
+    n = good.count()
+    forest = fit(good, n, vector, key, **options)
     spark = rows.sparkSession
     if forest is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dims = forest.planes.shape[2]
     columns = [F.col(key).cast("long").alias("_id"), F.col(vector).cast("array<double>").alias("_v")]
     good, asked = good.where(usable(F.col(vector), dims)).select(*columns), queries.where(usable(F.col(vector), dims)).select(*columns)
-    blocks, groups = max(1, -(-good.count() // block_rows)), max(1, -(-asked.count() // query_rows))
-    deal = lambda n, seed: F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = good.select("_id", "_v", deal(blocks, 1).alias("_block"), each(groups).alias("_group"))
-    right = asked.select("_id", "_v", deal(groups, 2).alias("_group")).select("_id", "_v", "_group", each(blocks).alias("_block"))
+    if good.groupBy("_id").count().where("count > 1").limit(1).count():
+        good = good.dropDuplicates(["_id", "_v"])  # before the shuffle, so that copies of a row don't fill a block
+    blocks = max(1, -(-n // block_rows))
+    # vectors of one id are dealt apart, so that a hot id doesn't fill a block
+    left = good.select(F.pmod(F.xxhash64("_id", "_v"), F.lit(blocks)).cast("int").alias("_block"), F.lit(0).alias("_query"), "_id", "_v")
+    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"), F.lit(1).alias("_query"), "_id", "_v")
+    dealt = left.unionByName(right).repartition(blocks, "_block").sortWithinPartitions("_block", "_query")
     shared = spark.sparkContext.broadcast((forest.planes, forest.cuts))
 
-    def run(items: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        if not len(items) or not len(wanted):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return search_block(Forest(*shared.value), items["_id"].to_numpy(), np.stack(items["_v"].to_numpy()), wanted["_id"].to_numpy(), np.stack(wanted["_v"].to_numpy()), k, share, least)
-
-    found = left.groupBy("_block", "_group").cogroup(right.groupBy("_block", "_group")).applyInPandas(run, schema)
-    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, now, held, block = Forest(*shared.value), None, [], None
+        for batch in batches:
+            numbers = batch.column(0).to_numpy() * 2 + batch.column(1).to_numpy()
+            ids = batch.column(2).to_numpy()
+            vectors = batch.column(3).flatten().to_numpy().reshape(-1, dims)
+            cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                number, query = divmod(int(numbers[a]), 2)
+                if number != now:
+                    now, held, block = number, [], None
+                if not query:
+                    held.append((ids[a:b], vectors[a:b]))
+                    continue
+                if held:
+                    block, held = Block(made, *(np.concatenate(x) for x in zip(*held, strict=True))), []
+                if block is None:
+                    continue
+                for c in range(a, b, query_rows):
+                    d = min(b, c + query_rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in block.nearest(ids[c:d], vectors[c:d], k, share, least)], names=["query_id", "vec_id", "score"])
+
+    found = dealt.mapInArrow(run, schema).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
