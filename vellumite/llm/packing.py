@@ -1,19 +1,20 @@
 """Mixture-controlled packing by deficit round-robin.
 
-Documents are tokenized, each ended by one id, and wait in a queue for each source. Every window of `window` tokens is
-credited to the queues by their target proportions (a queue's share of all tokens, so that all of them drain together);
-a queue gives the whole tokens of its credit and carries the rest, its deficit, to the next window. Queues are served in
-turn, so that after w windows the first k queues together have given floor(w * window * share of the first k): a queue's
-deficit always stays within one token, and since that is a function of w alone, every partition works out its windows
-by itself, deficits included, and none waits for another. Only the last window is not full.
-
-Sources that would get less than one token a window share one queue.
+Documents are tokenized, each ended by one id, and wait in a queue for each source as units: a document, or a piece of at
+most `unit` tokens of a longer one. Round after round each queue is credited its share of a window, by target
+proportions, and gives whole units while its credit lasts; what is left, its deficit, is carried to the next round. So the
+round of a unit is known from where it ends in its queue, and all of them can be put in order at once: by round, queue and
+place. That order is cut into windows of `window` tokens, all of them full but the last; a document is cut only where it
+is longer than `unit` or meets a window's end.
+
+The order is a distributed sort of the units' places, a few numbers each; places in it are sums over partitions of sums
+over rows, so that deficits and offsets carry from each partition to the next, and none waits for another.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -65,88 +66,105 @@ class Encoder:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def tokenize(docs: DataFrame, key: str, text: str, source: str, tokenizer_file: str, end_id: int, rows: int = 256) -> DataFrame:
-    """_id, _source, _part, _at (tokens of the source before it in its partition), _n (with end_id), _ids (bytes)."""
+def tokenize(docs: DataFrame, key: str, text: str, source: str, tokenizer_file: str, end_id: int, unit: int, rows: int = 256) -> DataFrame:
+    """A row for each unit: _row (its number), _id, _source, _part, _end (tokens of the source up to its end, in its
+    partition), _start (ids of the document before it), _n (its tokens), _doc (tokens of the document), _ids (bytes).
+
+    The last unit of a document holds end_id."""
+    names = ["_row", "_id", "_source", "_part", "_end", "_start", "_n", "_doc", "_ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(tokenizer_file), TaskContext.get().partitionId()
+        encoder, part, made = Encoder(tokenizer_file), TaskContext.get().partitionId(), 0
         given: dict[str | None, int] = {}
-        end = np.array([end_id], encoder.kind).tobytes()
+        end, size = np.array([end_id], encoder.kind).tobytes(), encoder.kind.itemsize
         for whole in batches:
             for k in range(0, whole.num_rows, rows):
-                batch = whole.slice(k, rows)
-                at, n, ids = [], [], encoder.encode([t or "" for t in batch.column(2).to_pylist()])
-                for s, data in zip(batch.column(1).to_pylist(), ids, strict=True):
-                    at.append(given.get(s, 0))
-                    n.append(len(data) // encoder.kind.itemsize + 1)
-                    given[s] = at[-1] + n[-1]
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array([part] * len(n), pa.int32()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array([d + end for d in ids], pa.binary())], names=["_id", "_source", "_part", "_at", "_n", "_ids"])
-
-    return docs.select(F.col(key).cast("long").alias("_id"), F.col(source).cast("string").alias("_source"), F.col(text).alias("_text")).mapInArrow(run, "_id long, _source string, _part int, _at long, _n long, _ids binary")
-
-
-def windows_of(start: int, length: int, before: int, own: int, total: int, window: int) -> Iterator[tuple[int, int, int, int]]:
-    """Tokens start .. start + length of a queue -> (window, offset there, queue position, length) of each piece.
-
-    before: tokens of the queues served earlier; own: tokens of this queue; total: tokens of all."""
-
-    def given(w: int) -> tuple[int, int]:
-        """Tokens that this queue, and those before it, gave in w windows."""
-        x = min(w * window, total)
-        low = before * x // total
-        return (before + own) * x // total - low, low
-
-    w = start * total // (own * window)
-    while w and given(w)[0] > start:
-        w -= 1
-    while given(w + 1)[0] <= start:
-        w += 1
-    at, end = start, start + length
-    (have, low), (most, high) = given(w), given(w + 1)
-    while at < end:
-        take = min(end, most) - at
-        if take > 0:
-            yield w, high - low + at - have, at, take
-            at += take
-        w += 1
-        (have, low), (most, high) = (most, high), given(w + 1)
-
-
-def pack(docs: DataFrame, tokenizer_file: str, key: str = "doc_id", text: str = "text", source: str = "source", window: int = 2048, end_id: int = 1) -> DataFrame:
+                batch, out = whole.slice(k, rows), []
+                ids = encoder.encode([t or "" for t in batch.column(2).to_pylist()])
+                for i, (s, data) in enumerate(zip(batch.column(1).to_pylist(), ids, strict=True)):
+                    data += end
+                    n = len(data) // size
+                    for start in range(0, n, unit):
+                        piece = min(unit, n - start)
+                        given[s] = given.get(s, 0) + piece
+                        out.append((part << 40 | made, i, s, given[s], start, piece, n, data[size * start : size * (start + piece)]))
+                        made += 1
+                number, of, s, ends, start, piece, n, data = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), batch.column(0).cast(pa.int64()).take(pa.array(of)), pa.array(s, pa.string()), pa.array([part] * len(of), pa.int32()), *[pa.array(x, pa.int64()) for x in (ends, start, piece, n)], pa.array(data, pa.binary())], names=names)
+
+    return docs.select(F.col(key).cast("long").alias("_id"), F.col(source).cast("string").alias("_source"), F.col(text).alias("_text")).mapInArrow(run, "_row long, _id long, _source string, _part int, _end long, _start long, _n long, _doc long, _ids binary")
+
+
+def served(units: DataFrame, window: int, weights: Mapping[str | None, float] | None) -> DataFrame:
+    """units (_row, _source, _part, _end, _n) -> _row, _round, _at: the unit's round and the tokens served before it.
+
+    A queue's quantum is window * weight / all weights; a unit goes in the first round whose credits reach its end."""
+    sums = durable(units.groupBy("_source", "_part").agg(F.sum("_n").alias("_sum")))
+    order = Window.partitionBy("_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(F.col("_source").alias("_s"), F.col("_part").alias("_p"), F.coalesce(F.sum("_sum").over(order), F.lit(0)).alias("_base"))
+    queues = sums.groupBy("_source").agg(F.sum("_sum").cast("double").alias("_weight"))
+    if weights is not None:
+        weigh = F.lit(1.0)
+        for name, w in weights.items():
+            weigh = F.when(F.col("_source").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(weigh)
+        queues = queues.withColumn("_weight", weigh)
+    total = queues.agg(F.sum("_weight")).first()[0] or 1.0
+    known = base.join(queues.select(F.col("_source").alias("_q"), (F.col("_weight") * window / total).alias("_quantum")), F.col("_s").eqNullSafe(F.col("_q"))).select("_s", "_p", "_base", "_quantum")
+    placed = units.join(broadcast_if_small(durable(known)), F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_p")))
+    end = F.col("_base") + F.col("_end")
+    rounds = placed.select("_row", "_n", "_source", F.ceil(end / F.col("_quantum")).cast("long").alias("_round"), end.alias("_last"))
+    # a unit's end in its queue tells units of one round and queue apart, so that no sort key repeats
+    ordered = rounds.repartitionByRange("_round", "_source", "_last").sortWithinPartitions("_round", "_source", "_last")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, before = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            n = batch.column(1).to_numpy()
+            ends = before + np.cumsum(n)
+            if len(n):
+                before = int(ends[-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(n), part, np.int32)), batch.column(2), pa.array(ends - n, pa.int64()), pa.array(ends, pa.int64())], names=["_row", "_of", "_round", "_local", "_until"])
+
+    local = durable(ordered.select("_row", "_n", "_round").mapInArrow(add, "_row long, _of int, _round long, _local long, _until long"))
+    # a row for each partition
+    sizes = local.groupBy("_of").agg(F.max("_until").alias("_size"))
+    ahead = F.coalesce(F.sum("_size").over(Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = durable(sizes.select(F.col("_of").alias("_o"), ahead.alias("_ahead")))
+    return local.join(broadcast_if_small(offsets), F.col("_of") == F.col("_o")).select("_row", "_round", (F.col("_ahead") + F.col("_local")).alias("_at"))
+
+
+def pack(docs: DataFrame, tokenizer_file: str, key: str = "doc_id", text: str = "text", source: str = "source", window: int = 2048, end_id: int = 1, unit: int | None = None, weights: Mapping[str | None, float] | None = None) -> DataFrame:
     """Per piece: key, source, start, length, ids (binary: unsigned little-endian 32-bit), doc_tokens, sequence_id, offset.
 
-    Null and empty texts are documents of end_id alone. Repeated keys are packed as often as they occur. Null sources have
-    a queue of their own. Tokens are written once, two bytes each for small vocabularies, and never shuffled."""
-    tokens = durable(tokenize(docs, key, text, source, tokenizer_file, end_id))
-    parts = durable(tokens.groupBy("_source", "_part").agg(F.sum("_n").alias("_sum")))
-    everything = Window.partitionBy()
-    totals = parts.groupBy("_source").agg(F.sum("_sum").alias("_own")).withColumn("_total", F.sum("_own").over(everything))
-    # one row for each source; queue 0 is shared by those below one token a window, and by the largest if that is too few
-    rank = F.row_number().over(Window.orderBy(F.col("_own").desc(), F.col("_source").asc_nulls_last()))
-    tiny = F.col("_own") * window < F.col("_total")
-    small = F.sum(F.when(tiny, F.col("_own")).otherwise(0)).over(everything)
-    queues = totals.withColumn("_rank", rank).withColumn("_small", small)
-    queues = queues.withColumn("_queue", F.when(tiny | ((F.col("_rank") == 1) & (F.col("_small") > 0) & (F.col("_small") * window < F.col("_total"))), 0).otherwise(F.col("_rank")))
-    sizes = queues.groupBy("_queue", "_total").agg(F.sum("_own").alias("_own"))
-    sizes = sizes.withColumn("_before", F.sum("_own").over(Window.orderBy("_queue").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_own"))
-    known = queues.select(F.col("_source").alias("_s"), "_queue").join(F.broadcast(sizes), "_queue")
-    base = parts.join(broadcast_if_small(durable(known)), F.col("_source").eqNullSafe(F.col("_s")))
-    order = Window.partitionBy("_queue").orderBy("_part", "_source").rowsBetween(Window.unboundedPreceding, 0)
-    base = durable(base.withColumn("_base", F.sum("_sum").over(order) - F.col("_sum")).select(F.col("_source").alias("_s"), F.col("_part").alias("_p"), "_base", "_before", "_own", "_total"))
-    placed = tokens.join(broadcast_if_small(base), F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_p")))
+    weights are the sources' target proportions, 1 for those not named; by default a source weighs as many tokens as it
+    has, so that all queues drain together. Queues that are empty leave their share to the others. unit is `window` by
+    default. Null and empty texts are documents of end_id alone. Repeated keys are packed as often as they occur. Null
+    sources have a queue of their own. Tokens are written once, two bytes each for small vocabularies."""
+    if weights is not None and not all(w > 0 for w in weights.values()):
+        raise ValueError("weights must be above 0")
+    tokens = durable(tokenize(docs, key, text, source, tokenizer_file, end_id, unit or window))
+    places = served(tokens.select("_row", "_source", "_part", "_end", "_n"), window, weights).select("_row", "_at")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = ("_id", "_source", "_n", "_ids", "_start", "_before", "_own", "_total")
-            out: list[list] = [[] for _ in range(8)]
-            for id_, source_, n, ids, start, before, own, total in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                wide = np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype("<u4").tobytes()
-                for w, offset, at, length in windows_of(start, n, before, own, total, window):
-                    i = at - start
-                    for column, value in zip(out, (id_, source_, i, length, wide[4 * i : 4 * (i + length)], n, w, offset), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["_id", "_source", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
-
-    rows = placed.select("_id", "_source", "_n", "_ids", (F.col("_base") + F.col("_at")).alias("_start"), "_before", "_own", "_total")
+            of, starts, lengths, ids, numbers, offsets = [], [], [], [], [], []
+            for i, (n, data, start, at) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_n", "_ids", "_start", "_at")), strict=True)):
+                wide = np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4").astype("<u4").tobytes()
+                done = 0
+                while done < n:
+                    number, offset = divmod(at + done, window)
+                    take = min(n - done, window - offset)
+                    of.append(i)
+                    starts.append(start + done)
+                    lengths.append(take)
+                    ids.append(wide[4 * done : 4 * (done + take)])
+                    numbers.append(number)
+                    offsets.append(offset)
+                    done += take
+            row = pa.array(of, pa.int64())
+            long = [pa.array(x, pa.int64()) for x in (starts, lengths, numbers, offsets)]
+            yield pa.RecordBatch.from_arrays([batch.column("_id").take(row), batch.column("_source").take(row), long[0], long[1], pa.array(ids, pa.binary()), batch.column("_doc").take(row), long[2], long[3]], names=["_id", "_source", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+
+    rows = tokens.join(places, "_row").select("_id", "_source", "_n", "_ids", "_start", "_doc", "_at")
     pieces = rows.mapInArrow(cut, "_id long, _source string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
     return pieces.withColumnRenamed("_id", key).withColumnRenamed("_source", source)
