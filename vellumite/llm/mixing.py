@@ -1,13 +1,15 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 A source's target words over its words is the number of copies its documents get, r. Each document has floor(r) copies
-for certain and one more with probability r - floor(r). Those fractions are rounded by pivoting: two documents pass
-probability between each other, in words, until one's becomes 0 or 1, in a direction drawn so that each one's expectation
-stays. The words of the pair never change, so a source ends within one document of its target.
+for certain and one more with probability r - floor(r). Those fractions are rounded by pivoting: a document and its partner
+pass probability between each other, in words, until one's becomes 0 or 1, in a direction drawn so that each one's
+expectation stays. The partner of a block's largest open document is the rest of the block together, which gives or takes
+in proportion; so large documents settle first, against many smaller ones, and what stays open in the end is the
+smallest. The words of the pair never change, so a source ends within one small document of its target.
 
 Pairing runs as a reduction tree: documents are dealt by hash to blocks of about `fan_in`, each block folds its documents
 into decisions and at most one document that is still fractional, and these go up to the next level's blocks, until a
-source has one left, which is drawn by itself. No block grows with the source; each level has fan_in times fewer rows.
+source has one left, which is rounded to the nearer side. No block grows with the source; each level has fan_in times fewer rows.
 
 All of it is DataFrame and SQL functions.
 """
@@ -53,57 +55,63 @@ def targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float =
     return open_.select("source", F.col("source_size").cast("long").alias("source_size"), target.alias("target"))
 
 
-def _fold(units: Column, seed: int) -> Column:
-    """Array of structs (id, size, p) -> struct(open: the one still fractional or null, done: array of (id, extra)).
-
-    open and each next unit pivot: x moves p_open up and p_next down by the same words, or the other way."""
-    kind = "struct<open:struct<id:bigint,size:bigint,p:double>,done:array<struct<id:bigint,extra:int>>>"
-
-    def settle(unit_: Column, p: Column) -> Column:
-        return F.struct(unit_["id"].alias("id"), F.when(p > 0.5, 1).otherwise(0).cast("int").alias("extra"))
-
-    def carry(unit_: Column, p: Column) -> Column:
-        return F.struct(unit_["id"].alias("id"), unit_["size"].alias("size"), p.alias("p"))
-
-    def step(state: Column, b: Column) -> Column:
-        a = state["open"]
-        wa, wb = a["size"].cast("double"), b["size"].cast("double")
-        up = F.least((1 - a["p"]) * wa, b["p"] * wb)  # words that can go from b to a
-        down = F.least(a["p"] * wa, (1 - b["p"]) * wb)
-        moved = F.when(unit(a["id"], b["id"], seed=seed) * (up + down) < down, up).otherwise(-down)
-        pa, pb = a["p"] + moved / wa, b["p"] - moved / wb
-        a_done = (pa < NEAR) | (pa > 1 - NEAR)
-        b_done = (pb < NEAR) | (pb > 1 - NEAR)
-        paired = F.struct(
-            F.when(~a_done, carry(a, pa)).when(~b_done, carry(b, pb)).alias("open"),
-            F.concat(state["done"], F.when(a_done, F.array(settle(a, pa))).otherwise(F.array().cast("array<struct<id:bigint,extra:int>>")), F.when(b_done, F.array(settle(b, pb))).otherwise(F.array().cast("array<struct<id:bigint,extra:int>>"))).alias("done"),
-        )
-        return F.when(a.isNull(), F.struct(b.alias("open"), state["done"].alias("done")).cast(kind)).otherwise(paired.cast(kind))
-
-    start = F.struct(F.lit(None).cast("struct<id:bigint,size:bigint,p:double>").alias("open"), F.array().cast("array<struct<id:bigint,extra:int>>").alias("done")).cast(kind)
+def _fold(units: Column, seed: int, last: bool) -> Column:
+    """Array of structs (id, size, p), largest first -> struct(open: the one still fractional or null, done: array of (id, extra)).
+
+    Each unit pivots with the rest of the array, the partner: words go from the rest to it or back until it has 0 or 1, or
+    the rest has nothing left to give or take. The rest's probabilities are a + b * p with a and b of the state, for units
+    not yet met; words and mass are sums of size and of size * p over these. In the last fold of a source, where no other
+    block can make up for it, a unit that the rest can settle one way only goes that way."""
+    kind = "struct<a:double,b:double,words:double,mass:double,open:struct<id:bigint,size:bigint,p:double>,done:array<struct<id:bigint,extra:int>>>"
+    none = F.array().cast("array<struct<id:bigint,extra:int>>")
+
+    def step(state: Column, u: Column) -> Column:
+        size = u["size"].cast("double")
+        p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), state["a"] + state["b"] * u["p"]))
+        words, mass = state["words"] - size, state["mass"] - size * u["p"]
+        given = F.greatest(F.lit(0.0), state["a"] * words + state["b"] * mass)  # words the rest has to give
+        room = F.greatest(F.lit(0.0), words - given)
+        # an array's last unit has no partner
+        up, down = F.least((1 - p) * size, given), F.least(p * size, room)
+        rises = unit(u["id"], seed=seed) * (up + down) < down
+        if last:
+            settles = [(1 - p) * size <= given, p * size <= room]
+            rises = F.when(settles[0] != settles[1], settles[0]).otherwise(rises)
+        moved = F.when(up + down <= NEAR, 0.0).when(rises, up).otherwise(-down)
+        now = p + moved / size
+        less, more = F.when(given > 0, F.greatest(moved, F.lit(0.0)) / given).otherwise(0.0), F.when(room > 0, F.greatest(-moved, F.lit(0.0)) / room).otherwise(0.0)
+        a = F.when(moved > 0, state["a"] * (1 - less)).otherwise(state["a"] + more * (1 - state["a"]))
+        b = F.when(moved > 0, state["b"] * (1 - less)).otherwise(state["b"] * (1 - more))
+        settled = (now < NEAR) | (now > 1 - NEAR)
+        open_ = F.when(settled, state["open"]).otherwise(F.struct(u["id"].alias("id"), u["size"].alias("size"), now.alias("p")))
+        done = F.concat(state["done"], F.when(settled, F.array(F.struct(u["id"].alias("id"), F.when(now > 0.5, 1).otherwise(0).cast("int").alias("extra")))).otherwise(none))
+        return F.struct(a.alias("a"), b.alias("b"), words.alias("words"), mass.alias("mass"), open_.alias("open"), done.alias("done")).cast(kind)
+
+    total = lambda f: F.aggregate(units, F.lit(0.0), lambda s, u: s + f(u))
+    start = F.struct(F.lit(0.0).alias("a"), F.lit(1.0).alias("b"), total(lambda u: u["size"].cast("double")).alias("words"), total(lambda u: u["size"] * u["p"]).alias("mass"), F.lit(None).cast("struct<id:bigint,size:bigint,p:double>").alias("open"), none.alias("done")).cast(kind)
     return F.aggregate(units, start, step)
 
 
 def round_copies(units: DataFrame, fan_in: int = 256, seed: int = 1) -> DataFrame:
-    """units (source, id long and distinct, size long > 0, p double strictly between 0 and 1) -> id, extra (0 or 1)."""
+    """units (source, id long and distinct in its source, size long > 0, p double strictly between 0 and 1) -> source, id,
+    extra (0 or 1)."""
     largest = units.groupBy("source").count().agg(F.max("count")).first()[0] or 0
     if not largest:
-        return units.select("id", F.lit(0).alias("extra"))
+        return units.select("source", "id", F.lit(0).alias("extra"))
     done, left, level = None, units, 0
     while largest > 0:
         blocks = max(1, -(-largest // fan_in))
         block = F.pmod(F.xxhash64("id", F.lit(seed * 1000 + level)), F.lit(blocks))
-        # largest first, so that what stays fractional in the end tends to be small
         grouped = left.groupBy("source", block.alias("_block")).agg(F.sort_array(F.collect_list(F.struct("size", "id", "p")), asc=False).alias("_units"))
         units_ = F.transform("_units", lambda u: F.struct(u["id"].alias("id"), u["size"].alias("size"), u["p"].alias("p")))
-        folded = durable(grouped.select("source", _fold(units_, seed + level).alias("_state")))
-        settled = folded.select(F.explode("_state.done").alias("d")).select("d.id", "d.extra")
+        folded = durable(grouped.withColumn("_units", units_).select("source", _fold(F.col("_units"), seed + level, blocks == 1).alias("_state")))
+        settled = folded.select("source", F.explode("_state.done").alias("d")).select("source", "d.id", "d.extra")
         done = settled if done is None else done.unionByName(settled)
         left = folded.where("_state.open is not null").select("source", "_state.open.id", "_state.open.size", "_state.open.p")
         if blocks == 1:
             break
         largest, level = blocks, level + 1
-    last = left.select("id", F.when(unit("id", seed=seed + 77) < F.col("p"), 1).otherwise(0).alias("extra"))
+    last = left.select("source", "id", F.when(F.col("p") > 0.5, 1).otherwise(0).alias("extra"))
     return done.unionByName(last)
 
 
@@ -119,9 +127,9 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     known = durable(known.withColumn("_base", F.floor(ratio + NEAR).cast("long")).withColumn("_p", ratio - F.col("_base")).withColumn("_id", F.xxhash64("_key", "source", "size")))
     fractional = known.where((F.col("size") > 0) & (F.col("_p") > NEAR) & (F.col("_p") < 1 - NEAR))
     units = fractional.groupBy(F.col("_id").alias("id"), "source", F.col("_p").alias("p")).agg(F.sum("size").alias("size"))
-    extra = round_copies(units, fan_in, seed).withColumnRenamed("id", "_id")
+    extra = round_copies(units, fan_in, seed).select(F.col("source").alias("_source"), F.col("id").alias("_extra_id"), "extra")
     copies = F.col("_base") + F.coalesce(F.col("extra"), F.lit(0))
-    out = known.join(extra, "_id", "left")
+    out = known.join(extra, (F.col("_id") == F.col("_extra_id")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     return out.select(F.col("_key").alias(key), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
