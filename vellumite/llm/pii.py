@@ -1,13 +1,16 @@
 """PII: surrogates for detected entities.
 
-Found are e-mail addresses, secrets (32 to 64 hexadecimal digits), payment card numbers, IPv4 addresses, phone numbers,
-social security numbers and names after a courtesy title. Each gets a replacement of the same type and form that depends
-on a key and on the entity's normal form only, so that an entity has one surrogate in all documents (coreference):
-digits stay digits and letters stay letters of their script and case, separators and country codes stay, card numbers
-stay valid or invalid by their check digit, address bytes stay in range, names keep gender (told by the title) and script.
+Found are e-mail addresses, secrets (32 to 64 hexadecimal digits), payment card numbers, IBANs with a right check sum, IPv4
+and IPv6 addresses, phone numbers, social security numbers and names after a courtesy title. Each gets a replacement of
+the same type and form that depends on a key and on the entity's normal form only, so that an entity has one surrogate in
+all documents (coreference): digits stay digits and letters stay letters of their script and case, separators and country
+codes stay, card numbers stay valid or invalid by their check digit, IBANs stay valid, address bytes stay in range. A
+name's words are entities of their own: a surname has one surrogate with any title, with or without a given name; a given
+name keeps its gender (told by the title), and both keep their script. Initials become other initials.
 
 Distinctness: all distinct entities and their surrogates are compared across the documents. Of entities that share a
-surrogate, or whose surrogate is another entity, all but one take the next attempt, until none clash. Entities that need
+surrogate, or whose surrogate is another entity, all but one take the next attempt, until none clash. Later attempts have
+more room: surnames get further syllables, given names further names, e-mail addresses further letters. Entities that need
 attempts are joined to the documents that hold them; others are replaced in place, without a shuffle.
 
 All of it is DataFrame and SQL functions.
@@ -20,41 +23,77 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, durable
 
-# Courtesy titles by gender, given names by script and gender.
+# Courtesy titles by gender (x: either), words inside names, given names by script and gender, syllables.
 TITLES = {
-    "m": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "г-н"],
-    "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "г-жа"],
+    "m": ["Mr", "Mister", "Sir", "Herr", "Herrn", "Monsieur", "M", "Señor", "Sr", "Don", "г-н", "κ", "Κος"],
+    "f": ["Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mlle", "Señora", "Señorita", "Sra", "Srta", "Doña", "г-жа", "Κα"],
+    "x": ["Dr", "Prof", "Doctor", "Professor", "Doktor", "Docteur", "Dra", "Mx"],
 }
+PARTICLES = "von van de der den di da du la le del zu".split()
 GIVEN = {
     ("latin", "m"): "Adam Bruno Carl David Erik Felix Georg Hugo Ivan Jonas Karl Leo Max Noel Oscar Paul".split(),
     ("latin", "f"): "Anna Berta Clara Diana Elsa Flora Greta Helen Irma Julia Karin Laura Maria Nora Olga Petra".split(),
     ("cyrillic", "m"): "Антон Борис Виктор Глеб Денис Егор Иван Кирилл Лев Максим Николай Олег Павел Роман Сергей Юрий".split(),
     ("cyrillic", "f"): "Анна Вера Галина Дарья Елена Жанна Зоя Инна Ксения Лидия Мария Нина Ольга Полина Раиса Юлия".split(),
+    ("greek", "m"): "Άγγελος Γιώργος Δημήτρης Ηλίας Θωμάς Κώστας Λευτέρης Μάρκος Νίκος Πέτρος Σπύρος Φώτης".split(),
+    ("greek", "f"): "Άννα Βασιλική Γεωργία Δήμητρα Ελένη Ζωή Ιωάννα Κατερίνα Μαρία Νίκη Σοφία Χριστίνα".split(),
 }
 SYLLABLES = {
     "latin": "ba be bi bo da de di do fa fe ga go ka ke ki ko la le li lo ma me mi mo na ne ra ri sa so ta to".split(),
     "cyrillic": "ба бе би бо да де ди до фа фе га го ка ке ки ко ла ле ли ло ма ме ми мо на не ра ри са со та то".split(),
+    "greek": "βα βε βι βο δα δε δι δο φα φε γα γο κα κε κι κο λα λε λι λο μα με μι μο να νε ρα ρι σα σο τα το".split(),
+}
+#: Letters that stand in for those of a script; ranges of code points where the script has no case.
+LETTERS = {
+    "Latin": "abcdefghijklmnopqrstuvwxyz",
+    "Cyrillic": "абвгдежзиклмнопрстуфхцшэюя",
+    "Greek": "αβγδεζηθικλμνξοπρστυφχψω",
+    "Armenian": "".join(map(chr, range(0x561, 0x587))),
+    "Hebrew": "".join(map(chr, range(0x5D0, 0x5EB))),
+    "Arabic": "".join(map(chr, range(0x628, 0x63B))),
+    "Devanagari": "".join(map(chr, range(0x915, 0x93A))),
+    "Thai": "".join(map(chr, range(0xE01, 0xE2F))),
+    "Hangul": "".join(map(chr, range(0xAC00, 0xAC00 + 28 * 100, 28))),
+    "Hiragana": "".join(map(chr, range(0x304B, 0x3094))),
+    "Katakana": "".join(map(chr, range(0x30AB, 0x30F4))),
+    "Han": "".join(map(chr, range(0x4E00, 0x4E00 + 500))),
 }
-LATIN, CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцшэюя"
 
-_NAME = r"(?<![\p{L}])(?:" + "|".join(t for g in TITLES.values() for t in g) + r")\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?"
+_ALL_TITLES = "|".join(sorted((t for g in TITLES.values() for t in g), key=len, reverse=True))
+#: Titles as listed, with or without a period; in any case with one.
+_TITLE = rf"(?:(?:{_ALL_TITLES})\.?|(?iu:{_ALL_TITLES})\.) "
+#: Where a title may begin: at a word of titles' first letters and length that a capital or another short word follows.
+_BEGIN = rf"(?<![\p{{L}}\p{{N}}-])(?=[{''.join(sorted({f(t[0]) for g in TITLES.values() for t in g for f in (str.lower, str.upper)}))}])(?=[\p{{L}}-]{{1,9}}\.? (?:\p{{Lu}}|[\p{{L}}-]{{1,9}}\. ))"
+_WORD = r"(?:\p{Lu}\.|\p{Lu}\p{L}*(?:-\p{Lu}\p{L}*|['’]\p{Lu}\p{L}+)*)"
+_HEX = "[0-9A-Fa-f]{1,4}"
 PATTERNS = {
-    "email": r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
     "secret": r"(?<![\p{L}\p{N}])[0-9A-Fa-f]{32,64}(?![\p{L}\p{N}])",
+    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "card": r"(?<![\p{L}\p{N}])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![\p{L}\p{N}])",
+    "ipv6": rf"(?<![\p{{L}}\p{{N}}:.])(?=[0-9A-Fa-f:]*[0-9])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}(?::{_HEX}){{0,5}})?::(?:{_HEX}(?::{_HEX}){{0,5}}))(?![\p{{L}}\p{{N}}:])",
     "ip": r"(?<![\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\p{N}]|\.[0-9])",
     "ssn": r"(?<![\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{N}-])",
     "phone": r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}(?![\p{N}])|(?<![\p{L}\p{N}])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![\p{N}])",
-    "name": _NAME,
+    "name": rf"{_BEGIN}(?:{_TITLE}){{1,3}}{_WORD}(?: (?:(?:{'|'.join(PARTICLES)}) ){{0,2}}{_WORD})?",
 }
 ANY = "|".join(PATTERNS.values())
-#: What a text must hold to be worth a search for all patterns.
-HINT = r"[0-9@]|" + "|".join(t for g in TITLES.values() for t in g)
+#: What a text must hold to be worth a search for all patterns: each of them has one of these in every match.
+HINT = rf"[0-9@]|[A-Fa-f]{{32}}|{_BEGIN}(?iu:{_ALL_TITLES})\.? "
+
+
+def _mod97(number: Column) -> Column:
+    """The remainder by 97 of an IBAN's digits, letters being 10 to 35, the first four characters last."""
+    plain = F.replace(number, F.lit(" "), F.lit(""))
+    turned = F.split(F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4)), "")
+    return F.aggregate(turned, F.lit(0), lambda s, c: F.when(c.rlike("[0-9]"), (s * 10 + c.cast("int")) % 97).otherwise((s * 100 + F.ascii(c) - 55) % 97))
 
 
 def kind_of(entity: Column) -> Column:
-    """The type of a match of ANY, in the order in which the patterns are tried."""
-    kind = F.when(entity.contains("@"), "email").when(entity.rlike(r"\A[0-9A-Fa-f]{32,64}\z"), "secret").when(entity.rlike(r"\p{L}"), "name")
+    """The type of a match of ANY, in the order in which the patterns are tried; `literal` for an IBAN that is none."""
+    kind = F.when(entity.contains("@"), "email").when(entity.rlike(r"\A[0-9A-Fa-f]{32,64}\z"), "secret")
+    kind = kind.when(entity.rlike(r"\A[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"), F.when(_mod97(entity) == 1, "iban").otherwise("literal"))
+    kind = kind.when(entity.rlike(r"\A[0-9A-Fa-f:]+\z") & entity.contains(":"), "ipv6").when(entity.rlike(r"\p{L}"), "name")
     kind = kind.when(entity.rlike(r"\A[0-9]{1,3}(?:\.[0-9]{1,3}){3}\z"), "ip").when(entity.rlike(r"\A[0-9]{3}-[0-9]{2}-[0-9]{4}\z"), "ssn")
     return kind.when(~entity.startswith("+") & (F.length(F.regexp_replace(entity, "[^0-9]", "")) >= 13), "card").otherwise("phone")
 
@@ -64,16 +103,34 @@ def entities(text: Column) -> Column:
     return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
 
 
-def with_forms(df: DataFrame, found: str, into: str) -> DataFrame:
-    """Adds `into`: for each entity of the array `found` a struct of entity, kind and form. Mentions of one form are the
-    same entity: in it letters are in lower case, and separators of numbers don't count."""
-    df = df.withColumn(into, F.transform(found, lambda e: F.struct(e.alias("entity"), kind_of(e).alias("kind"))))
+def _form(kind: Column, gender: Column, entity: Column) -> Column:
+    """What tells entities apart: letters in lower case, numbers without separators. Null for what stays or isn't told."""
+    told = F.lower(entity)
+    plain = F.when(kind == "given", F.concat(gender, F.lit(":"), told)).when(kind.isin("email", "surname", "ip", "ipv6"), told)
+    form = F.concat(kind, F.lit(":"), plain.otherwise(F.regexp_replace(told, r"[^0-9a-z+]", "")))
+    return F.when(~kind.isin("literal", "initial"), form)
+
+
+def atoms(found: Column, pieces: Column) -> Column:
+    """Entities of a text and the text's pieces between them -> array of structs: pre (the text before it), entity, kind,
+    gender, form. A name is one struct a word."""
+    genders = {g: rf"(?iu)(?:\A| )(?:{'|'.join(TITLES[g])})\.? " for g in "fm"}
+
+    def of(e: Column, i: Column) -> Column:
+        before, kind = F.element_at(pieces, i + 1), kind_of(e)
+        title = F.regexp_extract(e, rf"\A(?:{_TITLE})+", 0)
+        gender = F.when(title.rlike(genders["f"]), "f").when(title.rlike(genders["m"]), "m").otherwise("x")
+        words = F.split(F.substring(e, F.length(title) + 1, F.length(e)), " ")
 
-    def form(x: Column) -> Column:
-        told = F.lower(x["entity"])
-        return F.concat(x["kind"], F.lit(":"), F.when(x["kind"].isin("email", "name", "ip"), told).otherwise(F.regexp_replace(told, r"[^0-9a-f+]", "")))
+        def word(w: Column, j: Column) -> Column:
+            part = F.when(w.isin(PARTICLES), "literal").when(w.rlike(r"\A\p{Lu}\.\z"), "initial").when(j == F.size(words) - 1, "surname").otherwise("given")
+            return F.struct(F.when(j == 0, F.concat(before, title)).otherwise(" ").alias("pre"), w.alias("entity"), part.alias("kind"), gender.alias("gender"))
 
-    return df.withColumn(into, F.transform(into, lambda x: F.struct(x["entity"], x["kind"], form(x).alias("form"))))
+        other = F.array(F.struct(before.alias("pre"), e.alias("entity"), kind.alias("kind"), F.lit("x").alias("gender")))
+        return F.when(kind == "name", F.transform(words, word)).otherwise(other)
+
+    split = F.flatten(F.transform(found, of))
+    return F.transform(split, lambda x: F.struct(x["pre"], x["entity"], x["kind"], x["gender"], _form(x["kind"], x["gender"], x["entity"]).alias("form")))
 
 
 def _draw(bits: Column, i: Column) -> Column:
@@ -85,20 +142,30 @@ def _pick(choices: list[str], n: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, choices)), (n % len(choices)).cast("int") + 1)
 
 
+def _letter(letters: str, n: Column) -> Column:
+    return F.substring(F.lit(letters), n % len(letters) + 1, F.lit(1))
+
+
 def _swap(x: Column, c: Column, n: Column) -> Column:
     """A character like c, by draw n: hexadecimal digits in secrets; digits, and letters of a script and case, elsewhere."""
-    letter = F.when(c.rlike(r"\p{IsCyrillic}"), F.substring(F.lit(CYRILLIC), n % len(CYRILLIC) + 1, F.lit(1))).otherwise(F.substring(F.lit(LATIN), n % len(LATIN) + 1, F.lit(1)))
-    letter = F.when(c.rlike(r"\p{Lu}"), F.upper(letter)).otherwise(letter)
-    digit = F.substring(F.lit("0123456789abcdef"), n % 16 + 1, F.lit(1))
+    letter = None
+    for script, letters in LETTERS.items():
+        if script != "Latin":
+            of = c.rlike(rf"\p{{Is{script}}}")
+            letter = F.when(of, _letter(letters, n)) if letter is None else letter.when(of, _letter(letters, n))
+    letter = letter.otherwise(_letter(LETTERS["Latin"], n))
+    letter = F.when(c.rlike("[a-z]"), _letter(LETTERS["Latin"], n)).when(c.rlike("[A-Z]"), F.upper(_letter(LETTERS["Latin"], n))).when(c.rlike(r"\p{Lu}"), F.upper(letter)).otherwise(letter)
+    digit = _letter("0123456789abcdef", n)
     digit = F.when(F.lower(x["entity"]) != x["entity"], F.upper(digit)).otherwise(digit)
-    return F.when(x["kind"] == "secret", digit).when(c.rlike("[0-9]"), (n % 10).cast("string")).when(c.rlike(r"\p{L}"), letter).otherwise(c)
+    swapped = F.when(c.rlike("[0-9]"), (n % 10).cast("string")).when(c.rlike(r"\p{L}"), letter).otherwise(c)
+    return F.when(x["kind"].isin("secret", "ipv6") & c.rlike("[0-9A-Fa-f]"), digit).otherwise(swapped)
 
 
 def _changed(x: Column) -> Column:
-    """Letters and digits swapped, except a phone's country code and a card's first digit. The draws' numbers count
-    letters and digits only, so that an entity written with other separators gets the same ones."""
+    """Letters and digits swapped, except a phone's or an IBAN's country code and a card's first digit. The draws' numbers
+    count letters and digits only, so that an entity written with other separators gets the same ones."""
     entity = x["entity"]
-    fixed = F.when((x["kind"] == "phone") & entity.startswith("+"), F.length(F.regexp_extract(entity, r"\A\+[0-9]{1,3}(?=[^0-9])|\A\+[0-9]", 0))).when(x["kind"] == "card", 1).otherwise(0)
+    fixed = F.when((x["kind"] == "phone") & entity.startswith("+"), F.length(F.regexp_extract(entity, r"\A\+[0-9]{1,3}(?=[^0-9])|\A\+[0-9]", 0))).when(x["kind"] == "card", 1).when(x["kind"] == "iban", 2).otherwise(0)
 
     def swap(c: Column, i: Column) -> Column:
         at = F.length(F.regexp_replace(F.substring(entity, F.lit(1), i), r"[^\p{L}\p{N}]", ""))
@@ -118,73 +185,90 @@ def _check(number: Column) -> Column:
 
 
 def _finished(x: Column) -> Column:
-    entity, bits, changed = x["entity"], x["bits"], x["changed"]
-    # the last label of an e-mail's domain stays
+    entity, bits, changed, attempt = x["entity"], x["bits"], x["changed"], x["attempt"]
+    # the last label of an e-mail's domain stays; from the third attempt on the address grows
     kept = F.length(entity) - F.length(F.substring_index(entity, ".", -1))
-    email = F.concat(F.substring(changed, F.lit(1), kept), F.substring(entity, kept + 1, F.length(entity)))
+    further = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(attempt - 1, F.lit(1))), lambda i: _letter(LETTERS["Latin"], _draw(bits, i + 1000))), "")
+    email = F.concat(F.when(attempt > 1, further).otherwise(""), F.substring(changed, F.lit(1), kept), F.substring(entity, kept + 1, F.length(entity)))
     ip = F.array_join(F.transform(F.split(entity, r"\."), lambda o, i: (1 + _draw(bits, i) % 254).cast("string")), ".")
-    # a card's last digit is chosen so that the check sum comes out as before
+    # a card's last digit is chosen so that the check sum comes out as before, an IBAN's check digits so that it is valid
     last = F.pmod(F.substring(changed, F.length(changed), F.lit(1)).cast("int") - _check(changed) + _check(entity), F.lit(10))
     card = F.concat(F.substring(changed, F.lit(1), F.length(changed) - 1), last.cast("string"))
-    title = F.regexp_extract(entity, r"\A\S+ ", 0)
-    female = F.regexp_replace(title, r"\.? \z", "").isin(*TITLES["f"])
-    rest = F.substring(entity, F.length(title) + 1, F.length(entity))
+    bare = F.concat(F.substring(changed, 1, 2), F.lit("00"), F.substring(changed, F.lit(5), F.length(changed)))
+    iban = F.concat(F.substring(changed, 1, 2), F.lpad((98 - _mod97(bare)).cast("string"), 2, "0"), F.substring(changed, F.lit(5), F.length(changed)))
+    script = F.when(entity.rlike(r"\A\p{IsLatin}"), "latin").when(entity.rlike(r"\A\p{IsCyrillic}"), "cyrillic").when(entity.rlike(r"\A\p{IsGreek}"), "greek").otherwise("other")
 
-    def person(script: str) -> Column:
-        given = F.when(female, _pick(GIVEN[script, "f"], _draw(bits, F.lit(0)))).otherwise(_pick(GIVEN[script, "m"], _draw(bits, F.lit(0))))
-        surname = F.initcap(F.concat(*[_pick(SYLLABLES[script], _draw(bits, F.lit(i))) for i in range(1, 5)]))
-        return F.when(rest.contains(" "), F.concat_ws(" ", given, surname)).otherwise(surname)
+    def surname(name: str) -> Column:
+        return F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), attempt + 4), lambda i: _pick(SYLLABLES[name], _draw(bits, i))), ""))
 
-    name = F.concat(title, F.when(rest.rlike(r"\p{IsCyrillic}"), person("cyrillic")).otherwise(person("latin")))
-    return F.when(x["kind"] == "email", email).when(x["kind"] == "ip", ip).when(x["kind"] == "card", card).when(x["kind"] == "name", name).otherwise(changed)
+    def given(name: str) -> Column:
+        either = lambda i: F.when((x["gender"] == "f") | ((x["gender"] == "x") & (_draw(bits, F.lit(900)) % 2 == 0)), _pick(GIVEN[name, "f"], _draw(bits, i))).otherwise(_pick(GIVEN[name, "m"], _draw(bits, i)))
+        return F.array_join(F.transform(F.sequence(F.lit(0), attempt), either), "-")
 
+    def by_script(of) -> Column:
+        made = F.when(script == "latin", of("latin")).when(script == "cyrillic", of("cyrillic")).when(script == "greek", of("greek")).otherwise(changed)
+        return F.when((F.length(entity) > 1) & (F.upper(entity) == entity), F.upper(made)).otherwise(made)
 
-def with_surrogates(df: DataFrame, forms: str, into: str, secret: str, tries) -> DataFrame:
-    """Adds the array `into` of surrogates for an array made by with_forms; tries(i): the attempt for its i-th entity.
+    kind = x["kind"]
+    made = F.when(kind == "literal", entity).when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "iban", iban)
+    return made.when(kind == "surname", by_script(surname)).when(kind == "given", by_script(given)).otherwise(changed)
+
+
+def with_surrogates(df: DataFrame, of: str, into: str, secret: str, tries) -> DataFrame:
+    """Adds the array `into` of surrogates for an array made by `atoms`; tries(i): the attempt for its i-th entity.
 
     Each step is a column of its own, so that what several expressions use is worked out once."""
-    df = df.withColumn(into, F.transform(forms, lambda x, i: F.struct(x["entity"], x["kind"], F.sha2(F.concat_ws("|", F.lit(secret), x["form"], tries(i).cast("string")), 256).alias("bits"))))
-    df = df.withColumn(into, F.transform(into, lambda x: F.struct(x["entity"], x["kind"], x["bits"], _changed(x).alias("changed"))))
+    kept = lambda x: (x["entity"], x["kind"], x["gender"])
+    df = df.withColumn(into, F.transform(of, lambda x, i: F.struct(*kept(x), x["form"], tries(i).cast("int").alias("attempt"))))
+    df = df.withColumn(into, F.transform(into, lambda x: F.struct(*kept(x), x["attempt"], F.sha2(F.concat_ws("|", F.lit(secret), F.coalesce(x["form"], x["entity"]), x["attempt"].cast("string")), 256).alias("bits"))))
+    df = df.withColumn(into, F.transform(into, lambda x: F.struct(*kept(x), x["attempt"], x["bits"], _changed(x).alias("changed"))))
     return df.withColumn(into, F.transform(into, _finished))
 
 
-def attempts(distinct: DataFrame, secret: str, rounds: int = 40) -> DataFrame:
-    """distinct (form, entity) -> form, attempt, for those whose attempt isn't 0."""
+def attempts(distinct: DataFrame, secret: str, rounds: int = 64) -> DataFrame:
+    """distinct (form, entity, kind, gender) -> form, attempt, for those whose attempt isn't 0.
+
+    Names and e-mail addresses find room in a few rounds, since attempts grow. Numbers have as many surrogates as their
+    form allows; should most of these be taken, those still clashing after all rounds keep their last attempt."""
     now = durable(distinct.withColumn("attempt", F.lit(0)))
     real = distinct.select(F.col("form").alias("_made"), F.lit(True).alias("_real"))
     for _ in range(rounds):
-        made = with_surrogates(with_forms(now.withColumn("_e", F.array("entity")), "_e", "_f"), "_f", "_m", secret, lambda i: F.col("attempt"))
-        made = with_forms(made, "_m", "_g").select("form", "attempt", F.get("_g", F.lit(0))["form"].alias("_made"))
+        whole = now.withColumn("_e", F.array(F.struct("entity", "kind", "gender", "form")))
+        made = with_surrogates(whole, "_e", "_m", secret, lambda i: F.col("attempt")).select("form", "attempt", _form(F.col("kind"), F.col("gender"), F.element_at("_m", 1)).alias("_made"))
         shared = made.groupBy("_made").agg(F.count("*").alias("_n"), F.min(F.struct("attempt", "form")).alias("_first")).where("_n > 1").select("_made", "_first")
         clash = made.join(shared, "_made", "left").join(real, "_made", "left")
         bad = durable(clash.where(F.col("_real") | (F.col("_first")["form"] != F.col("form"))).select(F.col("form").alias("_bad")))
         if not bad.limit(1).count():
-            return now.where("attempt > 0").select("form", "attempt")
-        now = durable(now.join(bad, F.col("form") == F.col("_bad"), "left").select("form", "entity", (F.col("attempt") + F.col("_bad").isNotNull().cast("int")).alias("attempt")))
-    raise RuntimeError("no distinct surrogates; the entities' form leaves too few")
+            break
+        now = durable(now.join(bad, F.col("form") == F.col("_bad"), "left").withColumn("attempt", F.col("attempt") + F.col("_bad").isNotNull().cast("int")).drop("_bad"))
+    return now.where("attempt > 0").select("form", "attempt")
 
 
 def pseudonymize(docs: DataFrame, secret: str, text: str = "text", into: str = "n_entities") -> DataFrame:
     """docs with `text` replaced and a count `into` of entities added (a column of that name is replaced).
 
     Null stays null; texts without entities stay as they are; repeated rows are each treated. With the same secret an
-    entity that needs no further attempt has the same surrogate in every run and table."""
+    entity that needs no further attempt has the same surrogate in every run and table. A given name after a title that
+    tells no gender is another entity than the same name after one that does."""
     # the row travels as one struct, so that no column of docs meets one of this function's
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != into]).alias("_row"), F.col(text).alias("_text"))
-    found = with_forms(base.withColumn("_found", entities(F.col("_text"))), "_found", "_forms")
-    listed = found.select(F.explode("_forms").alias("x")).groupBy("x.form").agg(F.min("x.entity").alias("entity"))
+    found = base.withColumn("_found", entities(F.col("_text"))).withColumn("_pieces", F.when(F.size("_found") > 0, F.split("_text", ANY)))
+    found = found.withColumn("_atoms", atoms(F.col("_found"), F.col("_pieces")))
+    told = found.select(F.explode("_atoms").alias("x")).where("x.form is not null")
+    listed = told.groupBy("x.form").agg(F.min(F.struct("x.entity", "x.kind", "x.gender")).alias("x")).select("form", "x.*")
     again = durable(attempts(durable(listed), secret))
 
     def replaced(df: DataFrame, tries) -> DataFrame:
-        df = with_surrogates(df, "_forms", "_made", secret, tries).withColumn("_pieces", F.when(F.size("_found") > 0, F.split("_text", ANY)))
-        woven = F.array_join(F.transform("_made", lambda m, i: F.concat(m, F.element_at("_pieces", i + 2))), "")
-        text_ = F.when(F.size("_found") > 0, F.concat(F.element_at("_pieces", 1), woven)).otherwise(F.col("_text"))
-        return df.select(F.col("_row").withField(f"`{text}`", text_).alias("_row"), F.size("_found").cast("long").alias(into)).select("_row.*", into)
+        df = with_surrogates(df, "_atoms", "_made", secret, tries)
+        woven = F.array_join(F.zip_with("_atoms", "_made", lambda x, m: F.concat(x["pre"], m)), "")
+        text_ = F.when(F.size("_found") > 0, F.concat(woven, F.element_at("_pieces", -1))).otherwise(F.col("_text"))
+        n = F.size(F.filter("_found", lambda e: kind_of(e) != "literal")).cast("long")
+        return df.select(F.col("_row").withField(f"`{text}`", text_).alias("_row"), n.alias(into)).select("_row.*", into)
 
     if not again.limit(1).count():
         return replaced(found, lambda i: F.lit(0))
     # mentions of entities that have attempts are looked up; rows are told apart by a number, since keys may repeat
     numbered = durable(found.withColumn("_n", F.monotonically_increasing_id()))
-    mentions = numbered.select("_n", F.posexplode("_forms").alias("_i", "x")).select("_n", "_i", "x.form")
+    mentions = numbered.select("_n", F.posexplode("_atoms").alias("_i", "x")).select("_n", "_i", "x.form")
     tries = mentions.join(broadcast_if_small(again), "form").groupBy("_n").agg(F.map_from_entries(F.collect_list(F.struct("_i", "attempt"))).alias("_tries"))
     return replaced(numbered.join(tries, "_n", "left"), lambda i: F.coalesce(F.element_at("_tries", i), F.lit(0)))

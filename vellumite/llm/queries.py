@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,12 +43,19 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-#: A deployment sets its own secret; surrogates can't be foreseen without it.
-PII_SECRET = "example-secret"
+#: The setting that holds the key of surrogates. Without it surrogates can be reckoned by whoever knows an entity.
+PII_KEY = "vellumite.pii.key"
+
+
+def pii_key(spark: SparkSession) -> str:
+    key = spark.conf.get(PII_KEY, None)
+    if not key:
+        warnings.warn(f"{PII_KEY} isn't set: surrogates are not secret", stacklevel=2)
+    return key or "unset"
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_SECRET)
+    return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
 
 
 SHARDS, SLOTS = [f"shard-{i:02d}" for i in range(64)], 6553
