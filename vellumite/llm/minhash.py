@@ -8,8 +8,13 @@
 3. In each group every member is paired with the group's smallest class only. Pairs with a high enough estimate and
    near enough set sizes are confirmed on the full sets, and confirmed links are joined to components.
 4. Groups whose members are then in different components are gone through once more: members outside the component of
-   the group's smallest class meet all others of the group, in blocks. Pairs of one component are never compared again,
-   so that a large group of near copies costs no more than a pass, and no link between components stays untested.
+   the group's smallest class (strays) meet the others of the group, in blocks. What is compared are parity sketches: each
+   shingle flips one bit of a row of bits, so that two sketches never differ in more bits than their sets in shingles, and
+   a pair that differs in more bits than similarity 0.8 allows is ruled out for certain. Of the pairs that remain only
+   those come out that join parts still apart, fewer than a block has members; they are confirmed on the full sets.
+5. Where one of these is refuted, its groups are gone through again with the full sets at hand.
+
+No pair of one component is compared again, and no link between components stays untested.
 
 Sets, signatures, links and components stay in distributed tables; the driver sees counts only.
 """
@@ -17,6 +22,7 @@ Sets, signatures, links and components stay in distributed tables; the driver se
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -124,18 +130,24 @@ def shingle_sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")).mapInArrow(sets, "_id long, _set array<long>")
 
 
-def fine_signatures(docs: DataFrame, ids: DataFrame, key: str, text: str, width: int, k: int, bits: int) -> DataFrame:
-    """node, n, _packed: signatures of k minima for the named documents."""
+def parity_sketch(hashes: np.ndarray) -> bytes:
+    """Bits flipped once for each hash; their number is the power of two in 4 to 8 times the set's size, 256 at least."""
+    m = 1 << max(8, int(4 * len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, signer = Words(), Signer(1, k, bits, seed=2)
+
+def sketches(docs: DataFrame, ids: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """node, n, _sketch of the documents named by ids (_id)."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
         for batch in batches:
             sets = [shingles(t, width, known) for t in batch.column(1).to_pylist()]
-            packed = pa.array([signer.sign(s)[1] if len(s) else None for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), packed], names=["node", "n", "_packed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([parity_sketch(x) for x in sets], pa.binary())], names=["node", "n", "_sketch"])
 
     named = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")).join(broadcast_if_small(ids, 500_000), "_id", "left_semi")
-    return named.mapInArrow(sign, "node long, n long, _packed array<long>").where("_packed is not null").dropDuplicates(["node"])
+    return named.mapInArrow(sketch, "node long, n long, _sketch binary").where("n > 0").dropDuplicates(["node"])
 
 
 def estimate(a: Column, b: Column, k: int, bits: int) -> Column:
@@ -192,18 +204,19 @@ def confirm(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int,
     return both.where(F.lit(100) * common >= F.lit(percent) * (F.size("_sa") + F.size("_sb") - common)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, percent: int = 80, bands: int = 32, rows: int = 4, bits: int = 4, slack: float = 0.18, fine: int = 1024, fine_slack: float = 0.06, block: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, percent: int = 80, bands: int = 32, rows: int = 4, bits: int = 4, slack: float = 0.18, block: int = 512, hot: int = 100_000) -> DataFrame:
     """Per row: key, n_shingles, component_id, kept (the row's key is its component's).
 
     Null, empty and blank texts have no shingles and no links: each is its own component. Rows of a repeated key are one
     node: its first set stands for links, and all of its rows are returned. Keys are integers; rows of a null key are linked
     with nothing and kept.
     At similarity 0.8 a pair shares no band with probability (1 - 0.8**rows)**bands, 5e-8 by default; slack is how far
-    below the threshold an estimate may lie before a pair is left unconfirmed, fine_slack the same for the signatures of
-    `fine` minima; both are about 5 standard errors by default."""
+    below the threshold an estimate may lie before a pair is left unconfirmed, about 5 standard errors by default. Classes
+    of more than `hot` equal texts are looked up by a broadcast, so that their rows stay where they are."""
     signed = durable(signatures(docs, key, text, width, bands, rows, bits))
+    worded = signed.where("_fp is not null and _id is not null")
     # classes of equal sets; node: the smallest key of the class
-    classes = durable(signed.where("_fp is not null and _id is not null").groupBy("_fp").agg(F.min("_id").alias("node"), F.first("n_shingles").alias("n"), F.first("_packed").alias("_packed"), F.first("_bands").alias("_bands")))
+    classes = durable(worded.groupBy("_fp").agg(F.min("_id").alias("node"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("_packed").alias("_packed"), F.first("_bands").alias("_bands")))
     nodes = classes.select("node", "n", "_packed")
     banded = classes.select("node", F.posexplode("_bands").alias("_band", "_hash")).select("node", F.xxhash64("_band", "_hash").alias("group"))
     least = banded.groupBy("group").agg(F.min("node").alias("rep"), F.count("*").alias("members")).where("members > 1")
@@ -216,69 +229,121 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         x = x.join(nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("_packed").alias("pb")), "b")
         return x.where(similar_sizes(F.col("na"), F.col("nb"), percent) & (estimate(F.col("pa"), F.col("pb"), bands * rows, bits) >= threshold)).select("a", "b")
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        return durable(confirm(durable(likely(pairs)), docs, key, text, width, percent))
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return durable(confirm(pairs, docs, key, text, width, percent))
 
-    links = linked(groups.where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct())
-    found = components(links)
-    # what the stars leave: groups that hold more than one component. Their members get signatures of `fine` minima, since
-    # in a large group very many pairs lie close below the threshold. First each stray meets its likeliest partner, which
-    # joins most of those that belong together; then those still apart meet everyone
-    finer = None
-    for nearest in (True, False):
-        of = groups.join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("group", "node", "rep", "members", F.coalesce("root", "node").alias("root"))
+    def mixed(found: DataFrame, among: DataFrame) -> DataFrame:
+        """The groups that hold more than one component: group, node, members, root, stray."""
+        of = among.join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("group", "node", "rep", "members", F.coalesce("root", "node").alias("root"))
         rep_root = of.where("node = rep").select("group", F.col("root").alias("rep_root"))
         placed = of.join(rep_root, "group").withColumn("stray", F.col("root") != F.col("rep_root"))
-        mixed = placed.where("stray").select("group").distinct()
-        placed = durable(placed.join(mixed, "group"))
-        if finer is None:
-            finer = durable(fine_signatures(docs, durable(placed.select(F.col("node").alias("_id")).distinct()), key, text, width, fine, bits))
-        rest = durable(stray_pairs(placed.join(finer, "node"), fine, bits, percent, percent / 100 - fine_slack, block, nearest).distinct())
-        more = durable(confirm(rest, docs, key, text, width, percent))
-        if more.limit(1).count():
-            links = links.unionByName(more)
-            found = components(links)
-    roots = classes.join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("_fp", F.coalesce("root", "node").alias("_root"))
-    # a class of very many equal texts meets one row here: Spark splits it where it is skewed
-    out = signed.select("_id", "n_shingles", "_fp").join(roots, "_fp", "left")
-    component = F.when(F.col("_id").isNotNull(), F.coalesce("_root", "_id"))
-    return out.select(F.col("_id").alias(key), "n_shingles", component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept"))
-
-
-def stray_pairs(placed: DataFrame, k: int, bits: int, percent: int, threshold: float, block: int, nearest: bool, per_task: int = 20_000) -> DataFrame:
-    """Pairs (a, b) of different components in a group, one of them outside the component of the group's smallest class.
+        return placed.join(placed.where("stray").select("group").distinct(), "group", "left_semi").select("group", "node", "members", "root", "stray")
 
-    A group is dealt to blocks of about `block` members; strays go to every block of their group as well. Each block
-    compares its strays with its own members by packed bits; only likely pairs come out, or with `nearest` each
-    stray's likeliest. Blocks are many and mostly tiny, so that they go in batches of about per_task rows."""
-    repeated = np.uint64(sum(1 << (i * bits) for i in range(64 // bits)))
+    links = confirmed(durable(likely(groups.where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct())))
+    found = components(links)
+    placed = durable(mixed(found, groups))
+    named = durable(placed.select(F.col("node").alias("_id")).distinct())
+    if named.limit(1).count():
+        sketched = durable(sketches(docs, named, key, text, width))
+        tried = durable(joining_pairs(placed.join(sketched, "node"), percent, block).distinct())
+        sure = confirmed(tried)
+        links, refuted = links.unionByName(sure), durable(tried.join(sure, ["a", "b"], "left_anti"))
+        if sure.limit(1).count():
+            found = components(links)
+        if refuted.limit(1).count():
+            sides = placed.select("group", "node")
+            doubtful = refuted.join(sides.withColumnRenamed("node", "a"), "a").join(sides.withColumnRenamed("node", "b"), ["b", "group"]).select("group").distinct()
+            again = durable(mixed(found, groups.join(durable(doubtful), "group", "left_semi")))
+            texts = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")).join(broadcast_if_small(durable(again.select(F.col("node").alias("_id")).distinct()), 500_000), "_id", "left_semi")
+            sets = durable(shingle_sets(texts, "_id", "_text", width).dropDuplicates(["_id"])).withColumnRenamed("_id", "node")
+            more = durable(joining_pairs(again.join(sketched, "node").join(sets, "node"), percent, block).distinct())
+            if more.limit(1).count():
+                found = components(links.unionByName(more))
+    roots = classes.join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("_fp", "copies", F.coalesce("root", "node").alias("_root"))
+    large = durable(roots.where(F.col("copies") > hot).select(F.col("_fp").alias("_f"), F.col("_root").alias("_large")))
+    rest, out = worded.select("_id", "n_shingles", "_fp"), []
+    if large.limit(1).count():
+        known = rest.join(broadcast_if_small(large), F.col("_fp") == F.col("_f"), "left")
+        out = [known.where("_f is not null").select("_id", "n_shingles", F.col("_large").alias("_root"))]
+        rest = known.where("_f is null").select("_id", "n_shingles", "_fp")
+    out.append(rest.join(roots.where(F.col("copies") <= hot).drop("copies"), "_fp").select("_id", "n_shingles", "_root"))
+    # texts without words, and rows of a null key
+    out.append(signed.where("_fp is null or _id is null").select("_id", "n_shingles", F.col("_id").alias("_root")))
+    whole = reduce(DataFrame.unionByName, out)
+    return whole.select(F.col("_id").alias(key), "n_shingles", F.col("_root").alias("component_id"), F.col("_id").eqNullSafe(F.col("_root")).alias("kept"))
+
+
+def spanning(sketch: list[bytes], n: np.ndarray, root: np.ndarray, node: np.ndarray, own: np.ndarray, stray: np.ndarray, percent: int, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Pairs of a stray and an own member that join parts (values of root) still apart, each stray's likeliest first.
+
+    The pairs are those that sizes and sketches don't rule out; with sets, those that are similar in fact. Sketches of
+    twice the length are folded, which leaves the bounds as they are."""
+    now, width, found = root.copy(), np.array([len(x) // 8 for x in sketch]), []
+    rows = {w: np.frombuffer(b"".join(x for x, k in zip(sketch, width, strict=True) if k == w), np.uint64).reshape(-1, w) for w in np.unique(width).tolist()}
+    place = np.empty(len(width), np.int64)
+    mine, tables = {}, {}
+    for w, table in rows.items():
+        of = np.flatnonzero(width == w)
+        place[of] = np.arange(len(of))
+        at = of[own[of]]
+        if len(at):
+            mine[w], tables[w] = at, table[place[at]]
+    fold = {w: t[:, : w // 2] ^ t[:, w // 2 :] for w, t in tables.items() if w > 4}
+    for s in np.flatnonzero(stray).tolist():
+        w = int(width[s])
+        x = rows[w][place[s]]
+        hits, apart = [], []
+        for at, table, y in ((mine.get(w), tables.get(w), x), (mine.get(2 * w), fold.get(2 * w), x), (mine.get(w // 2), tables.get(w // 2), x[: w // 2] ^ x[w // 2 :])):
+            if at is None or table is None:
+                continue
+            free = now[at] != now[s]
+            if not free.any():
+                continue
+            to = at[free]
+            unlike = np.bitwise_count(table[free] ^ y).sum(1, dtype=np.int64)
+            both = n[to] + n[s]
+            ok = ((100 + percent) * unlike <= (100 - percent) * both) & (np.minimum(n[to], n[s]) * 100 >= np.maximum(n[to], n[s]) * percent)
+            hits.append(to[ok])
+            apart.append(unlike[ok] / both[ok])
+        left = np.concatenate(hits) if hits else np.empty(0, np.int64)
+        if not len(left):
+            continue
+        left = left[np.lexsort((node[left], np.concatenate(apart)))]
+        while len(left):
+            h, left = left[0], left[1:]
+            if sets is not None:
+                common = len(np.intersect1d(sets[s], sets[h], assume_unique=True))
+                if 100 * common < percent * (len(sets[s]) + len(sets[h]) - common):
+                    continue
+            found.append((int(min(node[s], node[h])), int(max(node[s], node[h]))))
+            now[now == now[h]] = now[s]
+            left = left[now[left] != now[s]]
+    return found
+
+
+def joining_pairs(placed: DataFrame, percent: int, block: int, per_task: int = 20_000) -> DataFrame:
+    """Pairs (a, b) by `spanning` of each block of the groups; placed may have the column _set.
+
+    A group is dealt to blocks of about `block` members; strays go to every block of their group as well. Blocks are many
+    and mostly tiny, so that they go in batches of about per_task rows."""
+    exact = "_set" in placed.columns
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["group", "_block"], kind="stable")
-        packed, n, root, node = np.stack(pdf["_packed"].to_numpy()).view(np.uint64), pdf["n"].to_numpy(), pdf["root"].to_numpy(), pdf["node"].to_numpy()
-        group, part, own, stray = (pdf[c].to_numpy() for c in ("group", "_block", "own", "stray"))
+        pdf = pdf.sort_values(["group", "_block", "node"], kind="stable")
+        sketch, sets = pdf["_sketch"].tolist(), [np.asarray(x) for x in pdf["_set"]] if exact else None
+        n, root, node, group, part, own, stray = (pdf[c].to_numpy() for c in ("n", "root", "node", "group", "_block", "own", "stray"))
         ends = np.flatnonzero(np.concatenate(((group[1:] != group[:-1]) | (part[1:] != part[:-1]), [True]))) + 1
         out, start = [], 0
-        for end in ends:
-            mine = start + np.flatnonzero(own[start:end])
-            for s in start + np.flatnonzero(stray[start:end]):
-                x = packed[mine] ^ packed[s]
-                folded = x.copy()
-                for i in range(1, bits):
-                    folded |= x >> np.uint64(i)
-                unlike = np.bitwise_count(folded & repeated).sum(1)
-                guess = ((1 - unlike / k) - 2.0**-bits) / (1 - 2.0**-bits)
-                ok = (guess >= threshold) & (root[mine] != root[s]) & (np.minimum(n[mine], n[s]) * 100 >= np.maximum(n[mine], n[s]) * percent)
-                hit = mine[ok]
-                if nearest and len(hit):
-                    hit = hit[np.lexsort((node[hit], -guess[ok]))][:1]
-                out += [(min(node[m], node[s]), max(node[m], node[s])) for m in hit]
+        for end in ends.tolist():
+            at = slice(start, end)
+            out += spanning(sketch[at], n[at], root[at], node[at], own[at], stray[at], percent, sets[at] if exact else None)
             start = end
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64").drop_duplicates()
 
     blocks = F.ceil(F.col("members") / F.lit(block)).cast("int")
     home = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    rows = placed.select("group", "node", "n", "root", "stray", "_packed", home.alias("_home"), F.explode(F.when(F.col("stray"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(home))).alias("_block"))
+    kept = ["group", "node", "n", "root", "stray", "_sketch", *(["_set"] if exact else [])]
+    rows = placed.select(*kept, home.alias("_home"), F.explode(F.when(F.col("stray"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(home))).alias("_block"))
     rows = rows.withColumn("own", F.col("_home") == F.col("_block")).drop("_home")
     batches = max(1, -(-rows.count() // per_task))
     return rows.groupBy(F.pmod(F.xxhash64("group", "_block"), F.lit(batches)).alias("_batch")).applyInPandas(compare, "a long, b long")
