@@ -4,31 +4,33 @@ Each language has a zstandard raw-content dictionary made of its own learning te
 dictionary of each language; the language whose dictionary makes it smallest is chosen. When the runner-up is almost as
 small, the answer is rejected: `lang` is then null, and `best` still says which was smallest.
 
-What is encoded is a text's distinct words, letters only and in lower case, so that capitals, digits, symbols and
-repetition don't hide the language; the whole text is used, in blocks, so that long texts don't become their own
+What is encoded are a text's words, letters only and in lower case, so that capitals, digits and symbols don't hide the
+language; the whole text is used, in blocks that are encoded by themselves, so that long texts don't become their own
 dictionary. Equal sizes go to the language with more learning documents.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sample_by_class
+from .common import shares_by_class
 
 LETTERS = re.compile(r"[^\W\d_]+")
 RESULT = "best string, lang string, score double, margin double, rejected boolean"
 
 
 def normalized(text: str | None) -> bytes:
-    """The distinct words of a text in the order of their first use; empty if it has no letter."""
-    found = dict.fromkeys(LETTERS.findall((text or "").lower()))
+    """The words of a text, letters only and in lower case; empty if it has no letter."""
+    found = LETTERS.findall((text or "").lower())
     if not any(c.isalpha() for w in found for c in w):  # LETTERS also takes signs such as a raised two
         return b""
     return f" {' '.join(found)} ".encode("utf-8", "ignore") if found else b""
@@ -71,29 +73,32 @@ class LanguageModel:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_per_language: int = 400, dictionary_bytes: int = 65536, **options) -> LanguageModel:
-    """Learns from a bounded sample: at most 1.25 docs_per_language texts and dictionary_bytes of each language.
+    """Learns from a sample of about docs_per_language texts of each language, drawn by hashed key; words are counted on
+    the executors, and at most dictionary_bytes of each language reach the driver.
 
     Rows with null lang or text teach nothing; without any the model knows no language and answers `und`. The most
     frequent words of the sample stand last in the dictionary, where references to them are cheapest."""
-    rows = sample_by_class(docs.where(F.col(text).isNotNull()), lang, key, docs_per_language, [F.col(text).alias("_text")])
-    by: dict[str, list[str]] = {}
-    for r in rows:
-        by.setdefault(r["_label"], []).append(r["_text"])
-    prior = {r[lang]: r["count"] for r in docs.where(F.col(lang).isNotNull()).groupBy(lang).count().collect()}
-    dictionaries = {}
-    for name in sorted(by, key=lambda n: (-prior[n], n)):
-        size, chosen, counts = 0, [], {}
-        for t in by[name]:
-            for w in LETTERS.findall(t.lower()):
-                counts[w] = counts.get(w, 0) + 1
-        for w in sorted(counts, key=lambda w: (-counts[w], w)):
-            size += len(w.encode("utf-8", "ignore")) + 1
-            if size > dictionary_bytes:
-                break
-            chosen.append(w)
-        if chosen:
-            dictionaries[name] = f" {' '.join(reversed(chosen))} ".encode("utf-8", "ignore")
-    return LanguageModel(dictionaries, **options)
+    known = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
+    meets = shares_by_class(known, lang, key, docs_per_language, 11)
+    if meets is None:
+        return LanguageModel({}, **options)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = Counter((name, w) for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for w in LETTERS.findall(t.lower()))
+            words = [w.encode("utf-8", "ignore").decode() for _, w in counts]
+            yield pa.RecordBatch.from_arrays([pa.array([name for name, _ in counts], pa.string()), pa.array(words, pa.string()), pa.array(list(counts.values()), pa.int64())], names=["_lang", "_word", "_n"])
+
+    counted = known.where(meets).select(F.col(lang).cast("string"), F.col(text)).mapInArrow(count, "_lang string, _word string, _n long").groupBy("_lang", "_word").agg(F.sum("_n").alias("_n"))
+    # as many words as fit: the driver gets at most dictionary_bytes of each language
+    best = Window.partitionBy("_lang").orderBy(F.col("_n").desc(), "_word").rowsBetween(Window.unboundedPreceding, 0)
+    fits = counted.withColumn("_size", F.sum(F.octet_length("_word") + 1).over(best)).where(F.col("_size") <= dictionary_bytes)
+    chosen: dict[str, list[str]] = {}
+    for r in fits.orderBy("_lang", "_size").collect():
+        chosen.setdefault(r["_lang"], []).append(r["_word"])
+    prior = {str(r[lang]): r["count"] for r in docs.where(F.col(lang).isNotNull()).groupBy(lang).count().collect()}
+    names = sorted(chosen, key=lambda n: (-prior[n], n))
+    return LanguageModel({name: f" {' '.join(reversed(chosen[name]))} ".encode() for name in names}, **options)
 
 
 def classify(docs: DataFrame, model: LanguageModel, text: str = "text", into: str = "language") -> DataFrame:

@@ -45,7 +45,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 class Words(dict):
     """Word -> 64-bit hash; forgets at `limit` words."""
 
-    limit = 500_000
+    limit = 200_000
 
     def __missing__(self, word: bytes) -> int:
         self[word] = h = xxhash.xxh3_64_intdigest(word)

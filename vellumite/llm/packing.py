@@ -45,6 +45,8 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
         self.fast = self._fast(vocabulary)
+        if self.fast:
+            self.tokenizer = None  # one vocabulary in memory is enough
 
     def _fast(self, vocabulary: dict[str, int]):
         import tiktoken

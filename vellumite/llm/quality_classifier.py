@@ -10,16 +10,17 @@ Since the layer is linear in the mean, a trained model folds to one number for e
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import io
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample
+from .common import labelled_sample, learned, packed_arrays, sliced
 
 REPEAT = 0
 
@@ -40,7 +41,7 @@ class SubwordModel:
     bias: np.ndarray
     low: int = 3
     high: int = 4
-    cache_words: int = 500_000
+    cache_words: int = 200_000
 
     def folded(self) -> tuple[np.ndarray, float]:
         """What each feature adds to the log-odds of class 1, and what is there without any."""
@@ -77,22 +78,34 @@ class SubwordModel:
         return score
 
 
-def train(texts: list[str], labels: list[int], buckets: int = 1 << 17, dim: int = 8, epochs: int = 6, rate: float = 4.0, low: int = 3, high: int = 4, seed: int = 5) -> SubwordModel:
-    """Stochastic gradient descent, one text at a time, rate falling to nothing; both classes weigh alike."""
-    rng = np.random.default_rng(seed)
-    vectors = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
-    output, bias = rng.normal(0, 0.5, (dim, 2)).astype(np.float32), np.zeros(2, np.float32)
-    known: dict[str, list[int]] = {}
-    docs = []
-    for text in texts:
+def counted(buckets: int, low: int, high: int, limit: int = 200_000) -> Callable[[str | None], tuple[bytes, int]]:
+    """A function from a text to its distinct features, ascending, and their shares (32 bits each), and their number.
+
+    It keeps the features of words seen, and forgets them at `limit` words."""
+    known: dict[str, np.ndarray] = {}
+
+    def of(text: str | None) -> tuple[bytes, int]:
+        if len(known) > limit:
+            known.clear()
         found = (text or "").split()
-        ids: list[int] = [REPEAT] * sum(map(str.__eq__, found, found[1:]))
+        parts = [np.zeros(sum(map(str.__eq__, found, found[1:])), np.int32) + REPEAT]
         for w in found:
             if w not in known:
-                known[w] = features(w, buckets, low, high)
-            ids += known[w]
-        unique, counts = np.unique(np.array(ids, np.int32), return_counts=True)
-        docs.append((unique, (counts / max(1, len(ids))).astype(np.float32)))
+                known[w] = np.array(features(w, buckets, low, high), np.int32)
+            parts.append(known[w])
+        unique, counts = np.unique(np.concatenate(parts), return_counts=True)
+        return unique.astype(np.int32).tobytes() + (counts / max(1, counts.sum())).astype(np.float32).tobytes(), len(unique)
+
+    return of
+
+
+def train(packed: list[bytes], labels: list[int], buckets: int = 1 << 17, dim: int = 8, epochs: int = 6, rate: float = 4.0, low: int = 3, high: int = 4, seed: int = 5) -> SubwordModel:
+    """Stochastic gradient descent, one text (features made by `counted`) at a time, rate falling to nothing; both
+    classes weigh alike."""
+    rng = np.random.default_rng(seed)
+    vectors = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
+    output, bias = rng.normal(0, 0.5, (dim, 2)).astype(np.float32), np.zeros(2, np.float32)
+    docs = [(np.frombuffer(p, np.int32, len(p) // 8), np.frombuffer(p, np.float32, offset=len(p) // 2)) for p in packed]
     y = np.array(labels)
     share = np.array([max(1, (y == c).sum()) for c in (0, 1)])
     weigh = len(y) / (2 * share)
@@ -116,11 +129,19 @@ def train(texts: list[str], labels: list[int], buckets: int = 1 << 17, dim: int
     return SubwordModel(vectors, output, bias, low, high)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", key: str = "doc_id", per_class: int = 2000, **options) -> SubwordModel:
-    """Learns from a bounded sample: at most 1.25 per_class labelled texts of each class, chosen by hashed key.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", key: str = "doc_id", per_class: int = 2000, budget: int = 1 << 25, buckets: int = 1 << 17, low: int = 3, high: int = 4, **options) -> SubwordModel:
+    """Learns from a bounded sample: at most 1.25 per_class labelled texts of each class, chosen by hashed key, as far as
+    their features number at most `budget` (8 bytes each).
+
+    Labels other than 0 and 1 and null texts teach nothing. Without rows the model answers by its starting vectors. Texts
+    become features on the executors and one of them trains; the driver receives the model."""
+
+    def made(packed: list[bytes], y: list[int]) -> bytes:
+        m = train(packed, y, buckets=buckets, low=low, high=high, **options)
+        return packed_arrays(vectors=m.vectors, output=m.output, bias=m.bias)
 
-    Labels other than 0 and 1 and null texts teach nothing. Without rows the model answers by its starting vectors."""
-    return train(*labelled_sample(docs, labels, label, text, key, per_class), **options)
+    got = np.load(io.BytesIO(learned(labelled_sample(docs, labels, label, text, key, per_class), lambda: counted(buckets, low, high), made, budget)))
+    return SubwordModel(got["vectors"], got["output"], got["bias"], low, high)
 
 
 def score(docs: DataFrame, model: SubwordModel, text: str = "text", into: str = "quality_score") -> DataFrame:
@@ -129,10 +150,10 @@ def score(docs: DataFrame, model: SubwordModel, text: str = "text", into: str =
     A column named `into` is replaced; the model reads no column but text."""
     shared = docs.sparkSession.sparkContext.broadcast((model.vectors, model.output, model.bias, model.low, model.high))
 
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         run = SubwordModel(*shared.value).scorer()
-        for batch in batches:
-            yield pd.Series(run(batch.tolist()))
+        for batch, lists in sliced(batches):
+            yield pa.array(np.concatenate([run(texts) for texts in lists]) if len(batch) else np.empty(0))
 
     return docs.withColumn(into, scored(F.col(text)))

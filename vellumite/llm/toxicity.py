@@ -7,16 +7,17 @@ learning sample) and a coefficient learned by logistic regression over the ratio
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample
+from .common import labelled_sample, learned, packed_arrays, sliced
 
 
 def grams(word: str, buckets: int, low: int, high: int) -> list[int]:
@@ -30,7 +31,7 @@ NOTHING = np.empty(0, np.int32)
 class GramSets(dict):
     """Word -> array of its n-grams' buckets; forgets at `limit` words."""
 
-    def __init__(self, buckets: int, low: int, high: int, keep: np.ndarray | None = None, limit: int = 500_000):
+    def __init__(self, buckets: int, low: int, high: int, keep: np.ndarray | None = None, limit: int = 200_000):
         super().__init__()
         self.args, self.keep, self.limit = (buckets, low, high), keep, limit
 
@@ -62,10 +63,10 @@ class RatioModel:
         return lambda texts: 1 / (1 + np.exp(-np.clip([self.bias + self.weight[sets.of(t)].sum() for t in texts], -50, 50)))
 
 
-def train(texts: list[str], labels: list[int], buckets: int = 1 << 19, low: int = 4, high: int = 5, least: int = 8, epochs: int = 12, rate: float = 0.05, shrink: float = 2e-3, smooth: float = 1.0, least_ratio: float = 0.7, seed: int = 3) -> RatioModel:
-    """least: texts that an n-gram must occur in; least_ratio: absolute log-count ratio below which it is left out."""
-    sets = GramSets(buckets, low, high, limit=10**9)
-    docs, y = [sets.of(t) for t in texts], np.array(labels, np.float64)
+def train(packed: list[bytes], labels: list[int], buckets: int = 1 << 19, low: int = 4, high: int = 5, least: int = 8, epochs: int = 12, rate: float = 0.05, shrink: float = 2e-3, smooth: float = 1.0, least_ratio: float = 0.7, seed: int = 3) -> RatioModel:
+    """packed: each text's buckets as 32-bit integers; least: texts that an n-gram must occur in; least_ratio: absolute
+    log-count ratio below which it is left out."""
+    docs, y = [np.frombuffer(p, np.int32) for p in packed], np.array(labels, np.float64)
     if not len(docs) or y.min() == y.max():
         return RatioModel(np.zeros(buckets), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))) if len(y) else 0.0, low, high)
     count = np.zeros((2, buckets))
@@ -92,9 +93,27 @@ def train(texts: list[str], labels: list[int], buckets: int = 1 << 19, low: int
     return RatioModel(w * ratio, float(bias), low, high)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id", per_class: int = 2500, **options) -> RatioModel:
-    """Learns from a bounded sample: at most 1.25 per_class labelled texts of each class, chosen by hashed key."""
-    return train(*labelled_sample(docs, labels, label, text, key, per_class), **options)
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id", per_class: int = 2500, budget: int = 1 << 26, buckets: int = 1 << 19, low: int = 4, high: int = 5, **options) -> RatioModel:
+    """Learns from a bounded sample: at most 1.25 per_class labelled texts of each class, chosen by hashed key, as far as
+    their n-grams number at most `budget` (4 bytes each).
+
+    Texts become n-grams on the executors and one of them trains; the driver receives the model."""
+
+    def made(packed: list[bytes], y: list[int]) -> bytes:
+        m = train(packed, y, buckets=buckets, low=low, high=high, **options)
+        return packed_arrays(weight=m.weight, bias=np.array(m.bias))
+
+    def grams_of():
+        sets = GramSets(buckets, low, high, limit=200_000)
+
+        def of(text: str | None) -> tuple[bytes, int]:
+            ids = sets.of(text)
+            return ids.tobytes(), len(ids)
+
+        return of
+
+    got = np.load(io.BytesIO(learned(labelled_sample(docs, labels, label, text, key, per_class), grams_of, made, budget)))
+    return RatioModel(got["weight"], float(got["bias"]), low, high)
 
 
 def score(docs: DataFrame, model: RatioModel, text: str = "text", into: str = "toxicity") -> DataFrame:
@@ -103,10 +122,10 @@ def score(docs: DataFrame, model: RatioModel, text: str = "text", into: str = "t
     A column named `into` is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast((model.weight, model.bias, model.low, model.high))
 
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         run = RatioModel(*shared.value).scorer()
-        for batch in batches:
-            yield pd.Series(run(batch.tolist()))
+        for batch, lists in sliced(batches):
+            yield pa.array(np.concatenate([run(texts) for texts in lists]) if len(batch) else np.empty(0))
 
     return docs.withColumn(into, scored(F.col(text)))
