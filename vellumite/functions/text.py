@@ -44,8 +44,7 @@ def broken_count(text: Column) -> Column:
 
 def ends_sentence(text: Column) -> Column:
     """The last character after trimming on the right ends a sentence; so does the empty text."""
-    rest = F.regexp_replace(text, f"[{SPACE}]+\\z", "")
-    return (rest == "") | rest.rlike(SENTENCE_END + "\\z")
+    return text.rlike(SENTENCE_END + f"[{SPACE}]*\\z") | ~text.rlike(f"[^{SPACE}]")
 
 
 def list_marker(text: Column) -> Column:
@@ -59,12 +58,14 @@ def list_marker(text: Column) -> Column:
         return F.struct(F.lit(is_ordered).alias("ordered"), mark.alias("marker"), how.alias("style"), F.substring(text, F.length(whole) + 1, F.length(text)).alias("rest"))
 
     year = marker.rlike(r"\A[0-9]{4}[.)]")
-    return F.when(bullet != "", made(False, sign, F.lit("bullet"), bullet)).when((ordered != "") & ~year, made(True, marker, style, ordered))
+    # most lines fail this one test and go through none of the others
+    likely = text.rlike(r"\A(?:[•·▪◦‣⁃●○■□∙*–—①-⑳（-]|\(?[0-9]|\(?[a-zA-Z][.)）]|[一二三四五六七八九十百])")
+    return F.when(~likely, None).when(bullet != "", made(False, sign, F.lit("bullet"), bullet)).when((ordered != "") & ~year, made(True, marker, style, ordered))
 
 
 def section_depth(text: Column) -> Column:
     """1 to 4 for lines that start with a dotted number of parts of up to three digits; else null."""
-    number = F.regexp_extract(trimmed(text), r"\A([0-9]{1,3}(?:\.[0-9]{1,3})*)[" + SPACE + "]+[^" + SPACE + "]", 1)
+    number = F.regexp_extract(text, r"\A[" + SPACE + r"]*([0-9]{1,3}(?:\.[0-9]{1,3})*)[" + SPACE + "]+[^" + SPACE + "]", 1)
     depth = F.size(F.split(number, r"\."))
     return F.when((number != "") & (depth <= 4), depth)
 
@@ -104,7 +105,7 @@ def repeat_key(text: Column) -> Column:
 
 
 def is_page_number(text: Column) -> Column:
-    return trimmed(text).rlike(f"\\A[-—–{SPACE}]*[0-9]{{1,4}}[-—–{SPACE}]*\\z")
+    return text.rlike(f"\\A[-—–{SPACE}]*[0-9]{{1,4}}[-—–{SPACE}]*\\z")
 
 
 def replace_astral(text: Column) -> Column:

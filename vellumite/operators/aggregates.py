@@ -65,9 +65,10 @@ def unify_sizes(df: DataFrame, doc: str, page: str, size: str, weight: str, near
 
 def text_health(text: Column, image_coverage: Column | None = None) -> Column:
     """struct(chars, printable_ratio, replacement_ratio, suspicious) of a page's text."""
+    # no branches: so the count is made once for all that use it
     chars, broken = F.length(text), T.broken_count(text)
-    replacement = F.when(chars > 0, broken / chars).otherwise(F.lit(0.0))
-    printable = F.when(chars > 0, (chars - broken) / chars).otherwise(F.lit(0.0))
+    some = F.greatest(chars, F.lit(1))
+    replacement, printable = broken / some, (chars - broken) / some
     suspicious = (replacement > F.lit(0.12)) | ((chars > 20) & (printable < F.lit(0.7)))
     return F.struct(chars.alias("chars"), printable.alias("printable_ratio"), replacement.alias("replacement_ratio"), suspicious.alias("suspicious"))
 

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.numbers import nearest_rank
 
 GAP, SHORT, INDENT, TALLER = 1.55, 2.5, 0.7, 1.12
 
@@ -22,9 +21,11 @@ def paragraph_breaks(lines: DataFrame, by: Sequence[str] = ("doc_id", "page_inde
     prev = lambda c: F.lag(c).over(w)
     df = lines.withColumn("_left", F.min("x").over(page)).withColumn("_right", F.max(F.col("x") + F.col("w")).over(page))
     df = df.withColumn("_gap", F.col("baseline") - prev("baseline")).withColumn("_marked", T.list_marker(F.col("text")).isNotNull())
-    gaps = F.array_compact(F.collect_list(F.when(F.col("_gap") > 0, F.col("_gap"))).over(page))
-    base = nearest_rank(gaps, 0.3)
-    df = df.withColumn("_base", F.when(base != 0, base).otherwise(F.median("font_size").over(page) * F.lit(1.2)))
+    # the gap of nearest rank 0.3, found by its place among the page's gaps above 0
+    df = df.withColumn("_pos", F.when(F.col("_gap") > 0, F.col("_gap")))
+    df = df.withColumn("_n", F.count("_pos").over(page)).withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("_pos").asc_nulls_last())))
+    base = F.max(F.when(F.col("_rank") == F.floor((F.col("_n") - 1) * F.lit(0.3) + F.lit(0.5)) + 1, F.col("_pos"))).over(page)
+    df = df.withColumn("_base", F.coalesce(base, F.median("font_size").over(page) * F.lit(1.2)))
     em = F.least(F.col("font_size"), prev("font_size"))
     reach = F.col("_right") - em * SHORT
     early = prev(F.col("x") + F.col("w")) < reach
@@ -36,7 +37,7 @@ def paragraph_breaks(lines: DataFrame, by: Sequence[str] = ("doc_id", "page_inde
     if bold:
         starts = starts | (F.col(bold) != prev(bold))
     df = df.withColumn("_begin", F.coalesce(starts, F.lit(True)).cast("int"))
-    return df.withColumn("block", F.sum("_begin").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_gap", "_base", "_begin")
+    return df.withColumn("block", F.sum("_begin").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_gap", "_base", "_begin", "_pos", "_n", "_rank")
 
 
 def classify_blocks(lines: DataFrame, body_size: float, by: Sequence[str] = ("doc_id", "page_index")) -> DataFrame:

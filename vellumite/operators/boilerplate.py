@@ -28,5 +28,6 @@ def repeated_lines(lines: DataFrame, doc: str = "doc_id", page: str = "page_inde
     enough = found.groupBy(*key).agg(F.count_distinct(page).alias("_n")).join(pages, doc).where(F.col("_n") >= needed).select(*key, needed.alias("_needed"))
     placed = islands(found.join(enough, key), key, ["_cy", page, "line_id"], lambda prev: F.col("_cy") - prev("_cy") > SPREAD, "_spot")
     spot = [*key, "_spot"]
-    there = F.size(F.collect_set(page).over(Window.partitionBy(*spot)))
-    return placed.withColumn("_there", there).where("_there >= _needed").select(*lines.columns, "band")
+    # distinct pages of a place: the last of their dense ranks
+    placed = placed.withColumn("_page_rank", F.dense_rank().over(Window.partitionBy(*spot).orderBy(page)))
+    return placed.withColumn("_there", F.max("_page_rank").over(Window.partitionBy(*spot))).where("_there >= _needed").select(*lines.columns, "band")

@@ -1,17 +1,18 @@
 """Page layout: lines from spans, column gutters, reading order.
 
 Line building compares each span with the running mean of its line, and cutting a page into regions is recursive, so both
-work page by page in grouped pandas functions. Pages are small and independent; they are dealt by (doc_id, page_index),
-and a page that goes through both steps goes through them in one function, after one shuffle."""
+work page by page in Python. Pages are small and independent; they are dealt by (doc_id, page_index) and cut from sorted
+Arrow batches, many in one, and a page that goes through both steps goes through them in one function, after one shuffle."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from statistics import median
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
 from ..functions.text import CJK as _CJK
@@ -82,18 +83,26 @@ def page_lines(spans: pd.DataFrame) -> tuple[pd.DataFrame, list[tuple[float, flo
     """Lines of one page (seq, text, x, y, w, h, baseline, font_size, spans) in reading order, and its gutters.
 
     spans: seq, text, x, y, w, h, baseline, font_size, and where known page_width, rotation, vertical."""
-    blank = np.array([not t.strip() for t in spans["text"]], bool)
-    s = spans[~blank].sort_values("seq", kind="stable")
-    turned = np.zeros(len(s), bool)
-    if "vertical" in s:
-        turned |= s["vertical"].fillna(False).to_numpy(bool)
-    if "rotation" in s:
-        turned |= s["rotation"].between(1, 359).to_numpy()
-    columns = {c: s[c].to_numpy(float) for c in ("x", "y", "w", "h", "baseline", "font_size")}
+    s = spans.sort_values("seq", kind="stable")
+    rows, bands = lines_of({c: s[c].to_numpy() for c in s.columns})
+    lines = pd.DataFrame(rows, columns=LINE_COLUMNS)
+    lines.insert(0, "seq", np.arange(len(lines)))
+    return lines, bands
+
+
+def lines_of(spans: Mapping[str, np.ndarray]) -> tuple[list[tuple], list[tuple[float, float]]]:
+    """Rows of LINE_COLUMNS of one page's spans (arrays, in order of seq), and the page's gutters."""
+    kept = np.array([bool(t.strip()) for t in spans["text"]], bool)
+    every = [t for t, k in zip(spans["text"], kept, strict=True) if k]
+    turned = np.zeros(len(every), bool)
+    if "vertical" in spans:
+        turned |= np.array([bool(v) and v == v for v in spans["vertical"][kept]], bool)
+    if "rotation" in spans:
+        turned |= np.array([r is not None and 1 <= r <= 359 for r in spans["rotation"][kept]], bool)
+    columns = {c: np.asarray(spans[c][kept], float) for c in ("x", "y", "w", "h", "baseline", "font_size")}
     flat = np.flatnonzero(~turned)
     flat = flat[np.lexsort((columns["x"][flat], columns["baseline"][flat]))]
     arrays = [columns[c][flat] for c in ("x", "y", "w", "h", "baseline", "font_size")]
-    every = s["text"].tolist()
     texts = [every[i] for i in flat]
     # plain lists: the folds below read single numbers
     x, y, w, h, base, size = (a.tolist() for a in arrays)
@@ -112,7 +121,7 @@ def page_lines(spans: pd.DataFrame) -> tuple[pd.DataFrame, list[tuple[float, flo
                 continue
         groups.append([i])
         total, tall, top, low = base[i], scale[i], y[i], y[i] + h[i]
-    width = float(spans["page_width"].iloc[0]) if "page_width" in spans and len(spans) else None
+    width = float(spans["page_width"][0]) if "page_width" in spans and len(spans["page_width"]) else None
     bands = gutters(*arrays[:4], arrays[5], np.array([len(t.strip()) for t in texts]), width) if texts else []
     cut: list[list[int]] = []
     for group in groups:
@@ -131,9 +140,7 @@ def page_lines(spans: pd.DataFrame) -> tuple[pd.DataFrame, list[tuple[float, flo
     for i in np.flatnonzero(turned):
         rows.append((every[i], *(float(columns[c][i]) for c in ("x", "y", "w", "h", "baseline", "font_size")), 1))
     rows.sort(key=lambda r: (r[5], r[1]))
-    lines = pd.DataFrame(rows, columns=["text", "x", "y", "w", "h", "baseline", "font_size", "spans"])
-    lines.insert(0, "seq", np.arange(len(lines)))
-    return lines, bands
+    return rows, bands
 
 
 def _free(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,16 +152,16 @@ def _free(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return reach[gap], after[gap]
 
 
-def regions(lines: pd.DataFrame, page_width: float, bands: Sequence[tuple[float, float]] = ()) -> tuple[list[np.ndarray], float]:
+def regions(lines: Mapping[str, np.ndarray], page_width: float, bands: Sequence[tuple[float, float]] = ()) -> tuple[list[np.ndarray], float]:
     """Positions of the lines of each region, in reading order, and how sure the columns are (0.5 to 1).
 
     A page is cut at its widest column gap or, without one, at its widest row gap, and so on in the parts, left and upper
     parts first."""
-    x, y, w, h, base = (lines[c].to_numpy(float) for c in ("x", "y", "w", "h", "baseline"))
-    em = float(np.median(lines["font_size"])) if len(lines) else 10.0
+    x, y, w, h, base = (np.asarray(lines[c], float) for c in ("x", "y", "w", "h", "baseline"))
+    em = float(np.median(lines["font_size"])) if len(x) else 10.0
     column, row = max((em or 10) * COLUMN_EM, page_width * COLUMN_SHARE), max((em or 10) * ROW_EM, ROW_PT)
     known = lambda a, b: np.array([any(p <= g1 and q >= g0 for g0, g1 in bands) for p, q in zip(a, b, strict=True)], bool)
-    out, sure, todo = [], 1.0, [(np.arange(len(lines)), 0)] if len(lines) else []
+    out, sure, todo = [], 1.0, [(np.arange(len(x)), 0)] if len(x) else []
     while todo:
         at, depth = todo.pop()
         parts = None
@@ -179,6 +186,7 @@ def regions(lines: pd.DataFrame, page_width: float, bands: Sequence[tuple[float,
     return out, sure
 
 
+LINE_COLUMNS = ["text", "x", "y", "w", "h", "baseline", "font_size", "spans"]
 LINE_SCHEMA = "seq int, text string, x double, y double, w double, h double, baseline double, font_size double, spans int"
 
 
@@ -206,31 +214,66 @@ def wrapped(text: Column, advance: float, width: float) -> Column:
     return fill(text)
 
 
-def build_lines(spans: DataFrame, page: Sequence[str] = PAGE) -> DataFrame:
-    """page, LINE_SCHEMA."""
+def _by_page(spans: DataFrame, page: Sequence[str], make: Callable[[dict[str, np.ndarray]], list[tuple]], schema: str) -> DataFrame:
+    """make's rows of each page's spans, beside the page's key.
+
+    Pages are dealt by key, sorted, and cut from Arrow batches: many small pages pass in one batch, and a page that goes on
+    in the next batch is held until it is whole."""
     kinds = dict(spans.dtypes)
+    known = [c for c in ("text", "x", "y", "w", "h", "baseline", "font_size", "page_width", "rotation", "vertical") if c in kinds]
+    rows = spans.select(*page, "seq", *known).repartition(*page).sortWithinPartitions(*page, "seq")
+    out = ", ".join(f"{c} {kinds[c]}" for c in page) + ", " + schema
+    names = [field.split()[0] for field in schema.split(", ")]
+    numbers = {"int": pa.int32(), "string": pa.string(), "double": pa.float64()}
+    types = [numbers[field.split()[1]] for field in schema.split(", ")]
+
+    def whole(table: pa.Table, starts: list[int]) -> pa.RecordBatch:
+        columns = {c: table.column(c).to_numpy() for c in known}
+        made, of = [], []
+        for a, b in zip(starts, starts[1:], strict=False):
+            found = make({c: v[a:b] for c, v in columns.items()})
+            made += found
+            of += [a] * len(found)
+        keys = [table.column(c).take(pa.array(of, pa.int64())).combine_chunks() for c in page]
+        values = [pa.array(v, t) for v, t in zip(zip(*made, strict=True), types, strict=True)] if made else [pa.array([], t) for t in types]
+        return pa.RecordBatch.from_arrays([*keys, *values], names=[*page, *names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = pa.Table.from_batches([batch])
+            now = pa.concat_tables([held, now]) if held is not None else now
+            keys = list(zip(*(now.column(c).to_pylist() for c in page), strict=True))
+            starts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1])]
+            if len(starts) > 1:
+                yield whole(now, starts)
+            held = now.slice(starts[-1])
+        if held is not None:
+            yield whole(held, [0, held.num_rows])
+
+    return rows.mapInArrow(run, out)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lines, _ = page_lines(pdf)
-        for k, c in enumerate(page):
-            lines.insert(k, c, pdf[c].iloc[0])
-        return lines
 
-    return spans.groupBy(*page).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in page) + ", " + LINE_SCHEMA)
+def build_lines(spans: DataFrame, page: Sequence[str] = PAGE) -> DataFrame:
+    """page, LINE_SCHEMA."""
+    return _by_page(spans, page, lambda s: [(k, *r) for k, r in enumerate(lines_of(s)[0])], LINE_SCHEMA)
 
 
 def reading_order(spans: DataFrame, page: Sequence[str] = PAGE) -> DataFrame:
     """page, region, position (of the line on its page), LINE_SCHEMA, confidence; needs page_width."""
-    kinds = dict(spans.dtypes)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lines, bands = page_lines(pdf)
-        parts, sure = regions(lines, float(pdf["page_width"].iloc[0]), bands)
-        made = lines.iloc[np.concatenate(parts)] if parts else lines
-        made = made.assign(region=np.repeat(np.arange(len(parts)), [len(p) for p in parts]), position=np.arange(len(made)), confidence=sure)
-        return made.assign(**{c: pdf[c].iloc[0] for c in page})[[*page, "region", "position", *lines.columns, "confidence"]]
+    def make(s: dict[str, np.ndarray]) -> list[tuple]:
+        rows, bands = lines_of(s)
+        if not rows:
+            return []
+        columns = dict(zip(LINE_COLUMNS, zip(*rows, strict=True), strict=True))
+        parts, sure = regions(columns, float(s["page_width"][0]), bands)
+        at = [(k, int(i)) for k, part in enumerate(parts) for i in part]
+        return [(k, position, i, *rows[i], float(sure)) for position, (k, i) in enumerate(at)]
 
-    return spans.groupBy(*page).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in page) + ", region int, position int, " + LINE_SCHEMA + ", confidence double")
+    return _by_page(spans, page, make, "region int, position int, " + LINE_SCHEMA + ", confidence double")
 
 
 def palettes(rows: DataFrame, by: str, key: str, vector: str, colors: int) -> DataFrame:

@@ -45,6 +45,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents dealt by key before they are split: what follows works by document or page and shuffles no more, where
+    lines with all their columns would be several times as large."""
+    return table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id")
+
+
 def epoch(column: str) -> Column:
     """Whole seconds since 1970 of a timestamp read as UTC; the session's zone doesn't matter."""
     return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(column).cast("timestamp_ntz"))
@@ -81,7 +87,7 @@ WITH {LINES_SQL},
 
 
 def _blocks(spark: SparkSession, sf: str) -> DataFrame:
-    return B.classify_blocks(B.paragraph_breaks(text_lines(table(spark, sf, "documents"))), 10.5)
+    return B.classify_blocks(B.paragraph_breaks(text_lines(dealt(spark, sf))), 10.5)
 
 
 @query(REPORT_SQL + """SELECT doc_id, page_index, count(*) FILTER (NOT (marked AND lines <= 6)) AS paragraphs, CAST(0 AS BIGINT) AS headings, count(*) FILTER (marked AND lines <= 6) AS list_items,
@@ -152,13 +158,13 @@ def section_numbers(spark, sf):
  SELECT doc_id, list_reduce(ls, lambda p, t: CASE WHEN regexp_matches(p, '[A-Za-z][-\\x{{AD}}]$') AND regexp_matches(t, '^[a-z]') THEN left(p, length(p) - 1) || t
   WHEN regexp_matches(p, '[{SP}]$') OR regexp_matches(p, '[{CJK}]$') OR regexp_matches(t, '^[{CJK}]') THEN p || t ELSE p || ' ' || t END) AS joined FROM l""")
 def line_join_paragraphs(spark, sf):
-    lines = text_lines(table(spark, sf, "documents"))
+    lines = text_lines(dealt(spark, sf))
     text = F.when(F.col("seq") % 4 == 1, F.concat("text", F.lit("con-"))).otherwise(F.col("text"))
     ordered = lines.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", text.alias("t")))), lambda s: s["t"]).alias("ls"))
     return ordered.select("doc_id", T.join_lines(F.col("ls")).alias("joined"))
 
 
-@query("SELECT doc_id, regexp_replace(t, '[\\x{10000}-\\x{10FFFF}]', '□', 'g') AS text, len(regexp_extract_all(t, '[\\x{10000}-\\x{10FFFF}]')) AS replaced FROM (SELECT doc_id, left(text, 40) || CASE WHEN doc_id % 5 = 0 THEN '😀𠀀' ELSE '' END AS t FROM documents)")
+@query("SELECT doc_id, regexp_replace(t, '[\\x{10000}-\\x{10FFFF}]', '□', 'g') AS text, len(regexp_extract_all(t, '[\\x{10000}-\\x{10FFFF}]')) AS replaced FROM (SELECT doc_id, text || CASE WHEN doc_id % 5 = 0 THEN '😀𠀀' ELSE '' END AS t FROM documents)")
 def replace_astral(spark, sf):
     text = F.concat("text", F.when(F.col("doc_id") % 5 == 0, "😀𠀀").otherwise(""))
     return table(spark, sf, "documents").select("doc_id", T.replace_astral(text).alias("r")).select("doc_id", "r.text", "r.replaced")
@@ -167,9 +173,12 @@ def replace_astral(spark, sf):
 ROMAN_SQL = "repeat('m', n // 1000) || ['','c','cc','ccc','cd','d','dc','dcc','dccc','cm'][n % 1000 // 100 + 1] || ['','x','xx','xxx','xl','l','lx','lxx','lxxx','xc'][n % 100 // 10 + 1] || ['','i','ii','iii','iv','v','vi','vii','viii','ix'][n % 10 + 1]"
 
 
-@query(f"""SELECT n, {ROMAN_SQL} AS lower_roman, CASE WHEN n <= 26 THEN chr(CAST(96 + n AS INT)) WHEN n <= 702 THEN chr(CAST(96 + (n - 1) // 26 AS INT)) || chr(CAST(97 + (n - 1) % 26 AS INT))
-  ELSE chr(CAST(97 + ((n - 703) // 676) AS INT)) || chr(CAST(97 + ((n - 703) // 26) % 26 AS INT)) || chr(CAST(97 + (n - 703) % 26 AS INT)) END AS lower_alpha, translate(CAST(n AS VARCHAR), '0123456789', '〇一二三四五六七八九') AS cjk_decimal,
-  CASE WHEN n < 10 THEN '0' ELSE '' END || n AS leading_zero FROM (SELECT DISTINCT p_partkey AS n FROM part WHERE p_partkey BETWEEN 1 AND 3999)""")
+#: Letters of a number: there are (26**k - 26) / 25 numbers of fewer than k letters.
+ALPHA_SQL = "CASE " + " ".join(f"WHEN n <= {(26 ** (k + 1) - 26) // 25} THEN " + " || ".join(f"chr(CAST(97 + (n - 1 - {(26**k - 26) // 25}) // {26 ** (k - i)} % 26 AS INT))" for i in range(1, k + 1)) for k in range(1, 7)) + " END"
+
+
+@query(f"""SELECT n, CASE WHEN n > 0 THEN {ROMAN_SQL} ELSE CAST(n AS VARCHAR) END AS lower_roman, CASE WHEN n > 0 THEN {ALPHA_SQL} ELSE CAST(n AS VARCHAR) END AS lower_alpha, CASE WHEN n >= 0 THEN translate(CAST(n AS VARCHAR), '0123456789', '〇一二三四五六七八九') ELSE CAST(n AS VARCHAR) END AS cjk_decimal,
+  CASE WHEN n BETWEEN 0 AND 9 THEN '0' ELSE '' END || n AS leading_zero FROM (SELECT DISTINCT p_partkey AS n FROM part)""")
 def counters(spark, sf):
     n = F.col("n")
     keys = table(spark, sf, "part").select(F.col("p_partkey").alias("n")).distinct()
@@ -302,7 +311,7 @@ def unique_names(spark, sf):
     return S.unique_names(named, [], "name", ["p_partkey"]).select("p_partkey", "unique_name")
 
 
-@query("""WITH d AS (SELECT DISTINCT l_orderkey % 500 AS doc_id, CAST(l_linenumber AS BIGINT) AS i FROM lineitem WHERE l_linenumber % 4 <> 2), r AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM d),
+@query("""WITH d AS (SELECT DISTINCT l_orderkey % 500 AS doc_id, CAST(l_linenumber AS BIGINT) AS i FROM lineitem), r AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM d),
  s AS (SELECT doc_id, min(i) + 1 AS a, max(i) + 1 AS b FROM r GROUP BY doc_id, g) SELECT doc_id, string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END, ', ' ORDER BY a) AS ranges FROM s GROUP BY doc_id""")
 def format_ranges(spark, sf):
     pages = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 500).alias("doc_id"), F.col("l_linenumber").cast("long").alias("i"))
@@ -377,8 +386,8 @@ def nms_greedy(spark, sf):
 
 
 HEAD_SQL = f"""WITH {LINES_SQL},
- pg AS (SELECT doc_id % 25 AS doc_id, dense_rank() OVER (PARTITION BY doc_id % 25 ORDER BY doc_id) AS page_index, seq, n, CASE WHEN n = 0 THEN 'Chapter ' || (doc_id % 3) || ' Title 7' WHEN n = 1 THEN CAST(doc_id AS VARCHAR) ELSE text END AS text,
-   CASE WHEN n = 0 THEN 40.0::DOUBLE + doc_id % 5 WHEN n = 1 THEN 780.0::DOUBLE ELSE 300.0::DOUBLE END AS y FROM lines WHERE page_index = 0),
+ pg AS (SELECT doc_id % 25 AS doc_id, dense_rank() OVER (PARTITION BY doc_id % 25 ORDER BY doc_id, page_index) AS page_index, seq, n, CASE WHEN n = 0 THEN 'Chapter ' || (doc_id % 3) || ' Title 7' WHEN n = 1 THEN CAST(doc_id AS VARCHAR) ELSE text END AS text,
+   CASE WHEN n = 0 THEN 40.0::DOUBLE + doc_id % 5 WHEN n = 1 THEN 780.0::DOUBLE ELSE 300.0::DOUBLE END AS y FROM lines),
  f AS (SELECT *, CASE WHEN y + 5 < 842 * 0.11::DOUBLE THEN 'header' WHEN y + 5 > 842 * (1 - 0.11::DOUBLE) THEN 'footer' END AS band,
    CASE WHEN regexp_matches(text, '^[0-9]{{1,4}}$') THEN '<pageno>' ELSE lower(regexp_replace(regexp_replace(text, '[0-9]+', '#', 'g'), '[{SP}]+', ' ', 'g')) END AS key FROM pg),
  d AS (SELECT doc_id, greatest(2, ceil(count(DISTINCT page_index) / 2.0)) AS needed FROM pg GROUP BY doc_id HAVING count(DISTINCT page_index) >= 3),
@@ -457,7 +466,7 @@ def quality_search(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", found.alias("f")).select("l_orderkey", "l_linenumber", "f.quality", "f.fits")
 
 
-@query(f"WITH {BOXES_SQL} SELECT a.page, a.id AS a, b.id AS b, round(greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) / (a.w * a.h + b.w * b.h - greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))), 9) AS iou FROM bx a JOIN bx b ON a.page = b.page AND b.id BETWEEN a.id + 1 AND a.id + 80")
+@query(f"WITH {BOXES_SQL} SELECT a.page, a.id AS a, b.id AS b, round(greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) / (a.w * a.h + b.w * b.h - greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))), 9) AS iou FROM bx a JOIN bx b ON a.page = b.page AND a.id < b.id AND a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h")
 def box_iou(spark, sf):
     boxes = _boxes(spark, sf)
     return J.overlapping(boxes, ["page"], "id").select("page", F.col("id").alias("a"), F.col("_r_id").alias("b"), rounded(G.iou(G.columns(), G.columns("_r_")), 9).alias("iou"))
@@ -474,7 +483,7 @@ def _spans(spark, sf) -> DataFrame:
 
     A line takes as many rows as its words need; a column goes on down the pages of its document, 48 rows a page. A word
     wider than a column has a row to itself, in a type small enough to fit."""
-    lines = text_lines(table(spark, sf, "documents")).select("doc_id", "seq", (F.col("n") % 2).alias("side"), P.wrapped(F.col("text"), ADVANCE, SPAN_WIDTH).alias("ws"))
+    lines = text_lines(dealt(spark, sf)).select("doc_id", "seq", (F.col("n") % 2).alias("side"), P.wrapped(F.col("text"), ADVANCE, SPAN_WIDTH).alias("ws"))
     column = Window.partitionBy("doc_id", "side").orderBy("seq")
     # words of earlier lines of the text, and rows of earlier lines of the column
     placed = lines.withColumn("first", F.sum(F.size("ws")).over(Window.partitionBy("doc_id").orderBy("seq")) - F.size("ws"))
@@ -544,7 +553,7 @@ def html_to_markdown(spark, sf):
 
 @query()
 def text_pdf(spark, sf):
-    return text_documents(text_lines(table(spark, sf, "documents")))
+    return text_documents(text_lines(dealt(spark, sf)))
 
 
 @query()
@@ -567,7 +576,7 @@ def should_recognize(spark, sf):
     return table(spark, sf, "documents").select("doc_id", made.alias("recognize"))
 
 
-@query("""WITH l AS (SELECT doc_id, list_sort(list_filter(list_transform(string_split(left(text, 200), ' '), lambda w: length(w)), lambda n: n > 0)) AS ls FROM documents)
+@query("""WITH l AS (SELECT doc_id, list_sort(list_filter(list_transform(string_split(text, ' '), lambda w: length(w)), lambda n: n > 0)) AS ls FROM documents)
  SELECT doc_id, coalesce(list_sum(ls), 0) < 40 OR (list_sum(ls) < 300 AND ls[len(ls) // 2 + 1] <= 6) AS sparse FROM l""")
 def sparse_pages(spark, sf):
     lengths = F.transform(F.split("text", " "), lambda w: F.length(w).cast("long"))

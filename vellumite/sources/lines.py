@@ -13,9 +13,9 @@ LINES, TOP, LEFT, PITCH, SIZE, ADVANCE = 45, 90.0, 72.0, 15.0, 10.5, 0.55
 def text_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, page_index, n (line of the page), seq (line of the text), text, x, y, w, h, baseline, font_size; lines that
     are blank have no span. A narrow generate: no shuffle."""
-    lines = docs.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("seq", "text")).where(T.trimmed(F.col("text")) != "")
+    lines = docs.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("seq", "text")).where(F.col("text").rlike(f"[^{T.SPACE}]"))
     n = F.col("seq") % LINES
-    indent = F.length("text") - F.length(F.regexp_replace("text", r"\A +", ""))
+    indent = F.length("text") - F.length(F.ltrim("text"))
     baseline = F.lit(TOP) + F.lit(PITCH) * n
     advance = F.lit(SIZE * ADVANCE)
     return lines.select(
