@@ -170,12 +170,36 @@ def similar_sizes(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (u, v) of a whole graph -> node, root: labels fall along links and jump to their labels' labels."""
+    tables = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not tables:
+        return
+    u, v = (np.concatenate(x) for x in zip(*tables, strict=True))
+    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    left, right, label = at[: len(u)], at[len(u) :], np.arange(len(nodes))
+    while True:
+        low, now = np.minimum(label[left], label[right]), label.copy()
+        # the larger label itself falls as well, so that whatever carries it follows
+        for x in (left, right, label[left], label[right]):
+            np.minimum.at(now, x, low)
+        while (now[now] != now).any():
+            now = now[now]
+        if (now == label).all():
+            break
+        label = now
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], names=["node", "root"])
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 50, together: int = 1_000_000) -> DataFrame:
     """links (a, b) -> node, root: the smallest node that can be reached. Nodes without links are absent.
 
-    Alternates large-star and small-star steps until the links no longer change; each writes a table of at most as many
-    links as there were, and minima are pre-aggregated, so that a node with very many links is no burden."""
+    At most `together` links are joined in one task, which spares a dozen small jobs. More of them alternate large-star and
+    small-star steps until the links no longer change; each writes a table of at most as many links as there were, and
+    minima are pre-aggregated, so that a node with very many links is no burden. The answer is the same."""
     now = durable(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    if now.limit(together + 1).count() <= together:
+        return durable(now.repartition(1).mapInArrow(_joined, "node long, root long"))
     mark = None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

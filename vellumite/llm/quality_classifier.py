@@ -41,7 +41,7 @@ class SubwordModel:
     bias: np.ndarray
     low: int = 3
     high: int = 4
-    cache_words: int = 200_000
+    cache_words: int = 400_000
 
     def folded(self) -> tuple[np.ndarray, float]:
         """What each feature adds to the log-odds of class 1, and what is there without any."""
