@@ -100,6 +100,26 @@ def test_a_large_group_of_near_copies_below_the_threshold(spark):
     assert [got[i] for i in range(2000)] == want.tolist() and 1 < len(set(want.tolist())) < 2000
 
 
+def test_components_in_one_task_and_in_rounds(spark):
+    rng = random.Random(4)
+    pairs = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(rng.randrange(2000, 4000), rng.randrange(2000, 4000)) for _ in range(900)] + [(5, 5)]
+    root = {k: k for p in pairs for k in p}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for x, y in pairs:
+        x, y = sorted((find(x), find(y)))
+        root[y] = x
+    want = {k: find(k) for p in pairs for k in p if p[0] != p[1]}
+    links = spark.createDataFrame(pairs, "a long, b long")
+    for together in (0, 10_000):
+        assert {r.node: r.root for r in minhash.components(links, together=together).collect()} == want
+    assert minhash.components(links.where("a < 0")).count() == 0
+
+
 def test_sketches_never_rule_out_a_similar_pair():
     rng = np.random.default_rng(2)
     for _ in range(200):
