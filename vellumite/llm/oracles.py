@@ -8,7 +8,7 @@ _LISTS = " UNION ALL ".join(f"SELECT '{lang}' AS lang, {k} AS i, '{w}' AS word"
 _PUNCTUATION = PUNCTUATION.replace("'", "''").replace("-", "\\-")
 
 
-def quality_rules(char_limit: float = 0.26, common_limit: float = 0.24, least_chars: int = 200, least_words: int = 150, least_base_words: int = 50) -> str:
+def quality_rules(char_limit: float = 0.26, common_limit: float = 0.24, least_chars: int = 200, least_words: int = 150, least_base_words: int = 50, short_limit: float = 0.32) -> str:
     count = lambda cls: f"len(regexp_extract_all(t, '{cls}'))"
     return f"""
 WITH b AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
@@ -33,5 +33,5 @@ WITH b AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coal
  jw AS (SELECT cw.doc_id, v / nullif(sum(v) OVER d, 0)::DOUBLE AS p, q / nullif(sum(q) OVER d, 0) AS q FROM cw JOIN rw USING (lang, i) WINDOW d AS (PARTITION BY cw.doc_id)),
  dc AS (SELECT doc_id, sqrt(greatest(0, sum((CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2))) AS d FROM jc GROUP BY doc_id),
  dw AS (SELECT doc_id, sqrt(greatest(0, sum((CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2))) AS d FROM jw GROUP BY doc_id)
-SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (word_chars < {least_chars} OR coalesce(dc.d <= {char_limit}, true)) AND (n_words < {least_words} OR coalesce(dw.d <= {common_limit}, true)) AS kept
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (word_chars < {least_chars} OR coalesce(dc.d <= {char_limit}, true)) AND (n_words < {least_base_words} OR coalesce(dw.d <= CASE WHEN n_words >= {least_words} THEN {common_limit}::DOUBLE ELSE greatest({common_limit}::DOUBLE, least({short_limit}::DOUBLE, {common_limit}::DOUBLE * sqrt({least_words}::DOUBLE / greatest(n_words, 1)))) END, true)) AS kept
 FROM f LEFT JOIN dc USING (doc_id) LEFT JOIN dw USING (doc_id)"""
