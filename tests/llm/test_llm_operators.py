@@ -160,7 +160,6 @@ def test_packing_round_trip(spark):
     rows = [(i, t, "en", f"s{i % 3}") for i, t in enumerate(texts(60, words=400))] + ODD
     got = packing.pack(table(spark, rows), tokenizer_file(), window=256).toPandas()
     reader = Tokenizer.from_file(tokenizer_file())
-    reader.encode_special_tokens = True
     want = Counter((k, tuple([*reader.encode(t or "", add_special_tokens=False).ids, 1])) for k, t, *_ in rows if k != 904)
     made = Counter()
     for key, pieces in got[got.doc_id != 904].groupby("doc_id", dropna=False):

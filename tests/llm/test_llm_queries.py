@@ -64,7 +64,6 @@ def test_op2_pieces_hold_every_id_once(spark, documents):
     from tokenizers import Tokenizer
 
     reader = Tokenizer.from_file(tokenizer_file())
-    reader.encode_special_tokens = True
     columns, got = rows_of(spark, "op2_packing")
     assert columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     by_doc, by_window = defaultdict(list), defaultdict(list)

@@ -35,3 +35,16 @@ WITH b AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coal
  dw AS (SELECT doc_id, sqrt(greatest(0, sum((CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2))) AS d FROM jw GROUP BY doc_id)
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (word_chars < {least_chars} OR coalesce(dc.d <= {char_limit}, true)) AND (n_words < {least_base_words} OR coalesce(dw.d <= CASE WHEN n_words >= {least_words} THEN {common_limit}::DOUBLE ELSE greatest({common_limit}::DOUBLE, least({short_limit}::DOUBLE, {common_limit}::DOUBLE * sqrt({least_words}::DOUBLE / greatest(n_words, 1)))) END, true)) AS kept
 FROM f LEFT JOIN dc USING (doc_id) LEFT JOIN dw USING (doc_id)"""
+
+
+def fill_in_middle() -> str:
+    draw = lambda k: f"('0x' || substr(sha256('1:' || coalesce(doc_id::VARCHAR, '')), {8 * k + 1}, 8))::BIGINT"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, {draw(0)} AS h1, {draw(1)} AS h2, {draw(2)} AS h3, {draw(3)} AS h4 FROM documents),
+ c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+   CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+ p AS (SELECT *, substr(t, 1, a) AS x, substr(t, a + 1, b - a) AS y, substr(t, b + 1, n - b) AS z FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || z || '<P>' || x || '<M>' || y ELSE '<P>' || x || '<S>' || z || '<M>' || y END) AS output_sha256,
+ sha256(CASE form WHEN 'plain' THEN t ELSE x || y || z END) AS restored_sha256
+FROM p"""

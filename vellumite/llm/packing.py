@@ -27,26 +27,29 @@ from .common import broadcast_if_small, durable
 #: How byte-level BPE cuts a text before merging; a fixed value of that kind of tokenizer.
 PRE_TOKENS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Both readers of a vocabulary must give this text the same ids.
-PROBE = "It's  a pro-be:\n\n \tÜber 12,345 naïve rows'll 中文 été […] <|endoftext|> don't\u00a0x"
+PROBE = "It's  a pro-be:\n\n \tÜber 12,345 naïve rows'll 中文 été […] <|end|> don't\u00a0x"
 
 
 class Encoder:
-    """Texts -> token ids.
+    """Texts -> token ids, as the tokenizers library gives them without special tokens of its own.
 
     The vocabulary of a byte-level BPE file is handed to tiktoken, which merges by the same ranks about five times as
-    fast; the library the file is made for checks it on a probe, and does the work itself where they differ."""
+    fast; the library the file is made for checks it on a probe, and does the work itself where they differ. It also
+    takes each text that holds an added token (one id, wherever it stands) or that the fast reader can't cut: very long
+    runs of blanks exceed its regular expressions' stack."""
 
     def __init__(self, tokenizer_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core already
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.load = lambda: Tokenizer.from_file(tokenizer_file)
+        self.tokenizer = self.load()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) < 1 << 16 else "<u4")
         self.fast = self._fast(vocabulary)
         if self.fast:
-            self.tokenizer = None  # one vocabulary in memory is enough
+            self.tokenizer = None  # one vocabulary in memory is enough, until a text needs the other
 
     def _fast(self, vocabulary: dict[str, int]):
         import tiktoken
@@ -63,9 +66,16 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of `kind`."""
-        if self.fast:
-            return [self.fast.encode_to_numpy(t, disallowed_special=()).astype(self.kind).tobytes() for t in texts]
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [self._one(t) for t in texts]
+
+    def _one(self, text: str) -> bytes:
+        if self.fast and not any(a in text for a in self.added):
+            try:
+                return self.fast.encode_to_numpy(text, disallowed_special=()).astype(self.kind).tobytes()
+            except ValueError:
+                pass
+        self.tokenizer = self.tokenizer or self.load()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
 
 def tokenize(docs: DataFrame, key: str, text: str, source: str, tokenizer_file: str, end_id: int, unit: int, rows: int = 256) -> DataFrame:
