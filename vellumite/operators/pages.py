@@ -90,8 +90,10 @@ def page_lines(spans: pd.DataFrame) -> tuple[pd.DataFrame, list[tuple[float, flo
     return lines, bands
 
 
-def lines_of(spans: Mapping[str, np.ndarray]) -> tuple[list[tuple], list[tuple[float, float]]]:
-    """Rows of LINE_COLUMNS of one page's spans (arrays, in order of seq), and the page's gutters."""
+def lines_of(spans: Mapping[str, np.ndarray], members: list[list[int]] | None = None) -> tuple[list[tuple], list[tuple[float, float]]]:
+    """Rows of LINE_COLUMNS of one page's spans (arrays, in order of seq), and the page's gutters.
+
+    members, if given, gets the places of each line's spans, from left to right."""
     kept = np.array([bool(t.strip()) for t in spans["text"]], bool)
     every = [t for t, k in zip(spans["text"], kept, strict=True) if k]
     turned = np.zeros(len(every), bool)
@@ -132,15 +134,20 @@ def lines_of(spans: Mapping[str, np.ndarray]) -> tuple[list[tuple], list[tuple[f
             if x[b] - end > max(SPLIT_EM * (max(scale[a], scale[b]) or 10), SPLIT_PT) or any(end <= g0 + 1 and x[b] >= g1 - 1 for g0, g1 in bands):
                 cut.append([])
             cut[-1].append(b)
-    rows = []
+    rows, places = [], []
+    at = np.flatnonzero(kept)
     for g in cut:
+        places.append([int(at[flat[i]]) for i in g])
         joined = join_spans([texts[i] for i in g], [x[i] for i in g], [w[i] for i in g], [size[i] for i in g])
         left, high = min(x[i] for i in g), min(y[i] for i in g)
         rows.append((joined, left, high, max(x[i] + w[i] for i in g) - left, max(y[i] + h[i] for i in g) - high, sum(base[i] for i in g) / len(g), median(size[i] for i in g), len(g)))
     for i in np.flatnonzero(turned):
+        places.append([int(at[i])])
         rows.append((every[i], *(float(columns[c][i]) for c in ("x", "y", "w", "h", "baseline", "font_size")), 1))
-    rows.sort(key=lambda r: (r[5], r[1]))
-    return rows, bands
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][5], rows[k][1]))
+    if members is not None:
+        members += [places[k] for k in order]
+    return [rows[k] for k in order], bands
 
 
 def _free(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -17,6 +17,7 @@ from ..operators import aggregates as A
 from ..operators import blocks as B
 from ..operators import boilerplate as R
 from ..operators import joins as J
+from ..operators import layout as L
 from ..operators import pages as P
 from ..operators import sequences as S
 from ..operators.tables import ruled_tables as ruled
@@ -509,6 +510,58 @@ def xy_cut(spark, sf):
     return P.reading_order(_spans(spark, sf))
 
 
+def _styled(spark, sf) -> DataFrame:
+    """Pages of one column, 45 lines each, in several sizes and weights, with list markers and section numbers."""
+    lines = dealt(spark, sf).select("doc_id", F.posexplode(F.filter(F.split("text", "\n"), lambda t: t.rlike(f"[^{SP}]"))).alias("seq", "line"))
+    k, n = F.col("seq") % 11, F.col("seq") % 45
+    text = F.concat(F.when(k == 5, "• ").when(k == 7, "2.1 ").when(k == 9, "3. ").otherwise(""), "line")
+    size = F.when(n == 0, 20.0).when(n == 15, 15.5).when(n == 30, 12.5).otherwise(10.5)
+    lines = lines.select("doc_id", F.floor(F.col("seq") / 45).cast("int").alias("page_index"), "seq", n.alias("n"), text.alias("text"), size.alias("font_size"))
+    baseline = F.lit(90.0) + n * 15
+    return lines.select(
+        "doc_id", "page_index", "seq", "text", (F.lit(72.0) + F.when(F.col("seq") % 3 == 2, 10.5).otherwise(0.0)).alias("x"), (baseline - F.col("font_size") * F.lit(0.8)).alias("y"), (F.length("text") * (F.col("font_size") * F.lit(0.55))).alias("w"),
+        F.col("font_size").alias("h"), baseline.alias("baseline"), "font_size", (F.col("seq") % 9 == 4).alias("bold"), F.lit(595.0).alias("page_width"),
+    )
+
+
+LAYOUT_SQL = f"""
+WITH raw AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda t: regexp_matches(t, '[^{SP}]')) AS ls FROM documents),
+ e AS (SELECT doc_id, unnest(range(len(ls))) AS seq, unnest(ls) AS line FROM raw),
+ l AS (SELECT doc_id, CAST(seq // 45 AS INT) AS page_index, seq, CASE seq % 11 WHEN 5 THEN '• ' WHEN 7 THEN '2.1 ' WHEN 9 THEN '3. ' ELSE '' END || line AS text,
+   CASE seq % 45 WHEN 0 THEN 20.0::DOUBLE WHEN 15 THEN 15.5::DOUBLE WHEN 30 THEN 12.5::DOUBLE ELSE 10.5::DOUBLE END AS size, 72.0::DOUBLE + CASE WHEN seq % 3 = 2 THEN 10.5::DOUBLE ELSE 0::DOUBLE END AS x, 90.0::DOUBLE + 15 * (seq % 45) AS baseline, seq % 9 = 4 AS bold FROM e),
+ sz AS (SELECT doc_id, size, sum(least(40, length(regexp_replace(text, '^[{SP}]+|[{SP}]+$', '', 'g')))) AS w FROM l GROUP BY ALL), body AS (SELECT doc_id, arg_max(size, w * 100 - size) AS body_size FROM sz GROUP BY doc_id),
+ m AS (SELECT l.*, body_size, length(text) * (size * 0.55::DOUBLE) AS w, ({MARKER_SQL}) AS marked, ({ENDS_SQL}) AS ends, regexp_matches(text, '[{CJK}]') AS cjk FROM l JOIN body USING (doc_id)),
+ p AS (SELECT *, min(x) OVER g AS lft, max(x + w) OVER g AS rgt, baseline - lag(baseline) OVER o AS gap, lag(size) OVER o AS psize, lag(bold) OVER o AS pbold, lag(marked) OVER o AS pm, lag(x) OVER o AS px, lag(x + w) OVER o AS pe, lag(ends) OVER o AS pends, lag(cjk) OVER o AS pcjk,
+   least(size, lag(size) OVER o) AS em FROM m WINDOW g AS (PARTITION BY doc_id, page_index), o AS (PARTITION BY doc_id, page_index ORDER BY seq)),
+ b AS (SELECT *, CASE WHEN gap IS NULL OR gap > 15 * 1.55::DOUBLE + 1 OR abs(size - psize) > em * 0.15::DOUBLE OR bold <> pbold OR marked OR (pm AND x < px - em * 0.7::DOUBLE AND (pe < rgt - em * 2.5::DOUBLE OR x + w < rgt - em * 2.5::DOUBLE))
+   OR (pe < rgt - em * 2.5::DOUBLE AND NOT x > lft + em * 0.7::DOUBLE AND pends) OR (pe < rgt - em * 2.5::DOUBLE AND pcjk) OR (x > lft + em * 0.7::DOUBLE AND NOT pe < rgt - em * 2.5::DOUBLE) THEN 1 ELSE 0 END AS begins FROM p),
+ n AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id, page_index ORDER BY seq) - 1 AS reading_order FROM b),
+ k AS (SELECT doc_id, page_index, reading_order, any_value(body_size) AS body_size, any_value(lft) AS lft, any_value(rgt) AS rgt, count(*) AS lines, regexp_replace(string_agg(text, ' ' ORDER BY seq), '^[{SP}]+|[{SP}]+$', '', 'g') AS joined, median(size) AS size, bool_and(bold) AS bold,
+   arg_min(marked, seq) AS marked, arg_min(text, seq) AS head, arg_min(x, seq) AS x, min(baseline) AS top, max(baseline) AS low, avg(x - lft) AS before, avg(rgt - x - w) AS after, list(rgt - x - w < size * 0.6::DOUBLE ORDER BY seq) AS filled FROM n GROUP BY ALL),
+ d AS (SELECT *, size / body_size AS ratio, CASE WHEN regexp_matches(joined, '^[0-9]{{1,3}}(\\.[0-9]{{1,3}}){{0,3}}[{SP}]+[^{SP}]') THEN len(string_split(regexp_extract(joined, '^[0-9.]+'), '.')) END AS depth,
+   CASE WHEN regexp_matches(joined, '^[一二三四五六七八九十]+、') THEN 2 WHEN regexp_matches(joined, '^[（(][一二三四五六七八九十]+[）)]') THEN 3 END AS cl, regexp_matches(joined, '[.。!！?？;；:："”』」）)]$') AS jends FROM k),
+ h AS (SELECT *, lines <= 3 AND length(joined) <= 120 AND ((ratio >= 1.12::DOUBLE AND (lines = 1 OR ratio >= 1.25::DOUBLE) AND NOT regexp_matches(joined, '[，、,]$')) OR (bold AND ratio >= 0.98::DOUBLE AND NOT jends AND length(joined) <= 60) OR (depth IS NOT NULL AND (bold OR ratio >= 1.05::DOUBLE))) AS heading FROM d),
+ t AS (SELECT *, CASE WHEN marked AND lines <= 6 AND NOT (heading AND (ratio >= 1.12::DOUBLE OR regexp_matches(head, '^[{SP}]*[一二三四五六七八九十]+、'))) THEN 'list-item' WHEN heading THEN 'heading' ELSE 'paragraph' END AS kind FROM h),
+ pt AS (SELECT doc_id, page_index, max(CASE WHEN kind <> 'heading' AND lines > 1 THEN 15 ELSE 0 END) AS pitch, max(CASE WHEN reading_order = 0 THEN 0 END) AS z FROM t GROUP BY ALL),
+ ls AS (SELECT doc_id, page_index, reading_order, arg_max(size, seq) AS last_size FROM n GROUP BY ALL)
+SELECT doc_id, page_index, CAST(reading_order AS INT) AS reading_order, kind, CAST(CASE kind WHEN 'list-item' THEN least(4, floor((x - lft) / greatest(size * 1.4::DOUBLE, 8.0::DOUBLE))) WHEN 'heading' THEN CASE WHEN depth IS NOT NULL THEN least(4, depth) WHEN cl IS NOT NULL AND ratio < 1.4::DOUBLE THEN cl WHEN ratio >= 1.7::DOUBLE THEN 1 WHEN ratio >= 1.4::DOUBLE THEN 2 WHEN ratio >= 1.18::DOUBLE THEN 3 ELSE 4 END END AS INT) AS level,
+ CASE WHEN kind = 'paragraph' THEN CASE WHEN before > greatest(1, rgt - lft) * 0.12::DOUBLE AND abs(before - after) < greatest(1, rgt - lft) * 0.06::DOUBLE THEN 'center' WHEN before > greatest(1, rgt - lft) * 0.25::DOUBLE AND after < greatest(1, rgt - lft) * 0.05::DOUBLE THEN 'right' WHEN lines >= 3 AND list_bool_and(list_slice(filled, 1, len(filled) - 1)) THEN 'justify' ELSE 'left' END END AS alignment,
+ CAST(lines AS INT) AS lines, size AS font_size, bold, body_size,
+ CAST(CASE WHEN lead(top) OVER o IS NULL THEN 0 ELSE greatest(0, least(24, floor(lead(top) OVER o - low - CASE WHEN lines > 1 THEN 15 WHEN pitch > 0 THEN pitch ELSE last_size * 1.2::DOUBLE END + 0.5))) END AS INT) AS space_after
+FROM t JOIN pt USING (doc_id, page_index) JOIN ls USING (doc_id, page_index, reading_order) WINDOW o AS (PARTITION BY doc_id, page_index ORDER BY reading_order)"""
+
+
+@query(LAYOUT_SQL)
+def layout_blocks(spark, sf):
+    return L.layout(_styled(spark, sf)).select("doc_id", "page_index", "reading_order", "kind", "level", "alignment", "lines", "font_size", "bold", "body_size", "space_after")
+
+
+@query()
+def layout_pages(spark, sf):
+    """The whole chain over the two-column pages: every block with its text and spacing."""
+    return L.layout(_spans(spark, sf))
+
+
 # --- documents --------------------------------------------------------------------------------------------------------
 
 NUMBERING_SQL = """WITH t AS (SELECT conv_id, turn, turn % 3 AS level FROM conversations),
