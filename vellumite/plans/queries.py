@@ -26,6 +26,7 @@ from ..sinks.archives import archives
 from ..sinks.pdf import text_documents
 from ..sources.html import pages_to_markdown
 from ..sources.lines import text_lines
+from ..streaming import jobs as W
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,6 +58,11 @@ def epoch(column: str) -> Column:
     return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(column).cast("timestamp_ntz"))
 
 
+def micros(column: str) -> Column:
+    """Microseconds since 1970 of a timestamp read as UTC."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(column).cast("timestamp_ntz"))
+
+
 def rounded(c: Column, digits: int = 6) -> Column:
     return F.round(c, digits)
 
@@ -331,6 +337,34 @@ def eta_window(spark, sf):
     return S.sample_window(_events(spark, sf), ["user_id"], "s", ["s", "event_id"], 7200).select("event_id", "samples")
 
 
+PROGRESS_SQL = """
+WITH e AS (SELECT event_id, user_id AS job_id, epoch_us(ts) / 1000000.0::DOUBLE AS s, CASE event_type WHEN 'view' THEN 'extracting' WHEN 'click' THEN 'rendering' WHEN 'error' THEN 'ocr' WHEN 'signup' THEN 'ocr-model' ELSE 'writing' END AS stage, event_id // 20 AS page FROM events),
+ g AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY job_id ORDER BY s, event_id) > 100000 THEN 1 ELSE 0 END AS cut FROM e),
+ j AS (SELECT *, sum(cut) OVER (PARTITION BY job_id ORDER BY s, event_id ROWS UNBOUNDED PRECEDING) AS run, stage IN ('extracting', 'rendering') AS paged FROM g),
+ m AS (SELECT *, paged AND page > coalesce(max(CASE WHEN paged THEN page END) OVER (PARTITION BY job_id, run ORDER BY s, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS sampled FROM j),
+ n AS (SELECT *, count(*) FILTER (sampled) OVER w AS k, count(*) FILTER (stage = 'ocr') OVER w AS ocr_pages FROM m WINDOW w AS (PARTITION BY job_id, run ORDER BY s, event_id ROWS UNBOUNDED PRECEDING)),
+ p AS (SELECT job_id, run, k, page, s, least(k, greatest(count(*) OVER (PARTITION BY job_id, run ORDER BY s RANGE BETWEEN 43200 PRECEDING AND CURRENT ROW), 4), 600) AS held FROM n WHERE sampled),
+ f AS (SELECT a.job_id, a.run, a.k, a.held, a.page AS p1, a.s AS t1, b.page AS p0, b.s AS t0 FROM p a JOIN p b ON a.job_id = b.job_id AND a.run = b.run AND b.k = a.k - a.held + 1)
+SELECT job_id, event_id, coalesce(held, 0) AS samples, ocr_pages, CASE WHEN stage <> 'writing' AND held >= 4 AND t1 - t0 >= 5 AND p1 > p0 THEN round(greatest(0, (1000000 - p1) * ((t1 - t0) / (p1 - p0)) - (s - t1)), 2) END AS seconds_left, false AS closed FROM n LEFT JOIN f USING (job_id, run, k)
+UNION ALL SELECT job_id, NULL, max_by(coalesce(held, 0), n.k), max(ocr_pages), NULL, true FROM n LEFT JOIN f USING (job_id, run, k) GROUP BY job_id, run"""
+
+
+@query(PROGRESS_SQL)
+def job_progress(spark, sf):
+    """Events as progress of jobs, streamed in four parts, with a restart before each."""
+    e = table(spark, sf, "events")
+    stage = F.col("event_type")
+    named = F.when(stage == "view", "extracting").when(stage == "click", "rendering").when(stage == "error", "ocr").when(stage == "signup", "ocr-model").otherwise("writing")
+    rows = e.select(F.col("user_id").alias("job_id"), "event_id", F.timestamp_micros(micros("ts")).alias("at"), named.alias("stage"), F.floor(F.col("event_id") / 20).cast("int").alias("page"), F.lit(1_000_000).alias("total"))
+    low, high = rows.agg(F.unix_micros(F.min("at")), F.unix_micros(F.max("at"))).first()
+    low, high = low or 0, high or 0
+    cuts = [low + (high - low) * k // 4 for k in range(4)] + [high + 1]
+    at = F.unix_micros("at")
+    parts = [rows.where((at >= a) & (at < b)) for a, b in zip(cuts, cuts[1:], strict=False)]
+    made = W.run_to_end(parts, lambda stream: W.track(stream, span=43_200.0, idle=100_000.0))
+    return made.select("job_id", "event_id", F.col("samples").cast("long").alias("samples"), F.col("ocr_pages").cast("long").alias("ocr_pages"), F.round("seconds_left", 2).alias("seconds_left"), "closed")
+
+
 # --- joins ------------------------------------------------------------------------------------------------------------
 
 BOXES_SQL = "bx AS (SELECT p_partkey AS id, p_partkey % 40 AS page, CAST(p_partkey * 37 % 500 AS DOUBLE) AS x, CAST(p_partkey * 91 % 700 AS DOUBLE) AS y, CAST(5 + p_size AS DOUBLE) AS w, CAST(8 + p_size % 9 AS DOUBLE) AS h FROM part)"
