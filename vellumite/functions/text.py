@@ -144,16 +144,44 @@ def cjk_decimal(n: Column) -> Column:
     return F.translate(n.cast("string"), "0123456789", CJK_DIGITS)
 
 
-def counter(n: Column, style: str) -> Column:
+# Formal digits, and the syllables of counting.
+CJK_FORMAL = "零壹贰叁肆伍陆柒捌玖"
+KATAKANA = "アイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワヲン"
+
+
+def chinese(n: Column, digits: str) -> Column:
+    """1 to 9999 in words: a zero stands for places left out between others; ten to nineteen have no leading one."""
+    place = lambda k: F.floor(n / 10**k).cast("int") % 10
+    digit = lambda d: F.substring(F.lit(digits), d + 1, F.lit(1))
+    ones, tens, hundreds, thousands = (place(k) for k in range(4))
+    out = [F.when(thousands > 0, F.concat(digit(thousands), F.lit("千")))]
+    out.append(F.when(hundreds > 0, F.concat(digit(hundreds), F.lit("百"))).when((thousands > 0) & ((tens > 0) | (ones > 0)), digits[0]))
+    out.append(F.when(tens > 0, F.concat(F.when(n < 20, "").otherwise(digit(tens)), F.lit("十"))).when((hundreds > 0) & (ones > 0), digits[0]))
+    out.append(F.when(ones > 0, digit(ones)))
+    return F.when(n.between(1, 9999), F.concat(*[F.coalesce(o, F.lit("")) for o in out])).otherwise(n.cast("string"))
+
+
+def counter(n: Column, style: str | Column) -> Column:
+    """A counter's value in a list style; the style may be a column. Unknown styles are decimal."""
     plain = n.cast("string")
+    informal, formal = chinese(n, CJK_DIGITS), chinese(n, CJK_FORMAL)
+    letters, numerals = F.when(n > 0, alpha(n)).otherwise(plain), F.when(n > 0, roman(n)).otherwise(plain)
+    syllable = F.when(n.between(1, len(KATAKANA)), F.substring(F.lit(KATAKANA), n.cast("int"), F.lit(1))).otherwise(plain)
     made = {
         "none": F.lit(""), "disc": F.lit("•"), "circle": F.lit("◦"), "square": F.lit("▪"),
         "decimal-leading-zero": F.when(n.between(0, 9), F.concat(F.lit("0"), plain)).otherwise(plain),
-        "lower-alpha": F.when(n > 0, alpha(n)).otherwise(plain), "upper-alpha": F.when(n > 0, F.upper(alpha(n))).otherwise(plain),
-        "lower-roman": F.when(n > 0, roman(n)).otherwise(plain), "upper-roman": F.when(n > 0, F.upper(roman(n))).otherwise(plain),
-        "cjk-decimal": F.when(n >= 0, cjk_decimal(n)).otherwise(plain),
+        "lower-alpha": letters, "lower-latin": letters, "upper-alpha": F.upper(letters), "upper-latin": F.upper(letters),
+        "lower-roman": numerals, "upper-roman": F.upper(numerals),
+        "cjk-ideographic": informal, "simp-chinese-informal": informal, "trad-chinese-informal": informal, "japanese-informal": informal,
+        "simp-chinese-formal": formal, "trad-chinese-formal": formal, "japanese-formal": formal,
+        "cjk-decimal": F.when(n >= 0, cjk_decimal(n)).otherwise(plain), "katakana": syllable, "katakana-iroha": syllable,
     }
-    return made.get(style, plain)
+    if isinstance(style, str):
+        return made.get(style, plain)
+    chosen = F.when(style == "decimal", plain)
+    for name, text in made.items():
+        chosen = chosen.when(style == name, text)
+    return chosen.otherwise(plain)
 
 
 # Code page 1252 beyond Latin-1, from byte 0x80 on; a full stop stands where it has no character.

@@ -18,6 +18,7 @@ from ..operators import blocks as B
 from ..operators import boilerplate as R
 from ..operators import joins as J
 from ..operators import layout as L
+from ..operators import numbering as U
 from ..operators import pages as P
 from ..operators import sequences as S
 from ..operators.tables import ruled_tables as ruled
@@ -610,6 +611,32 @@ def numbering(spark, sf):
     return S.hierarchical_numbers(items, ["conv_id"], ["turn"], "level", 3).select("conv_id", "turn", "label")
 
 
+_ROMAN = "replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(repeat('I', CAST({0} AS INT)), 'IIIII', 'V'), 'VV', 'X'), 'XXXXX', 'L'), 'LL', 'C'), 'CCCCC', 'D'), 'DD', 'M'), 'DCCCC', 'CM'), 'CCCC', 'CD'), 'LXXXX', 'XC'), 'XXXX', 'XL'), 'VIIII', 'IX'), 'IIII', 'IV')"
+_ALPHA = "CASE WHEN {0} > 702 THEN chr(CAST(96 + ({0} - 1 - 26) // 676 AS INT)) ELSE '' END || CASE WHEN {0} > 26 THEN chr(CAST(97 + (({0} - 1) // 26 - 1) % 26 AS INT)) ELSE '' END || chr(CAST(97 + ({0} - 1) % 26 AS INT))"
+SHEET_SQL = f"""
+WITH {LINES_SQL}, t AS (SELECT doc_id, seq, seq % 2 AS list, (seq * 7 + doc_id) % 11 % 4 AS level FROM lines),
+ g AS (SELECT *, sum(CASE WHEN level < 1 THEN 1 ELSE 0 END) OVER o AS i1, sum(CASE WHEN level < 2 THEN 1 ELSE 0 END) OVER o AS i2, doc_id % 4 + sum(CASE WHEN level = 0 THEN 1 ELSE 0 END) OVER o AS c0, sum(CASE WHEN level = 3 THEN 1 ELSE 0 END) OVER o AS c3 FROM t WINDOW o AS (PARTITION BY doc_id, list ORDER BY seq)),
+ c AS (SELECT *, sum(CASE WHEN level = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, list, i1 ORDER BY seq) AS c1, 2 + sum(CASE WHEN level = 2 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, list, i2 ORDER BY seq) AS c2 FROM g),
+ w AS (SELECT *, CASE WHEN c0 > 0 THEN {_ROMAN.format('c0')} ELSE '0' END AS t0, CASE WHEN c1 > 0 THEN {_ALPHA.format('c1')} ELSE '0' END AS t1, CASE WHEN c2 < 10 THEN '0' ELSE '' END || CAST(c2 AS VARCHAR) AS t2, lower({_ROMAN.format('c3')}) AS t3 FROM c)
+SELECT doc_id, CAST(seq AS BIGINT) AS seq, CASE level WHEN 0 THEN t0 || '.' WHEN 1 THEN t0 || '.' || t1 || ')' WHEN 2 THEN t0 || '.' || t1 || '.' || t2 || chr(9) ELSE t3 || ' ' END AS label FROM w"""
+
+
+@query(SHEET_SQL)
+def numbering_sheets(spark, sf):
+    """A sheet for each document, with a first number of its own, and its lines as items of two interleaved lists."""
+    rules = "".join(
+        f"p.w-num-{n}-0:before {{{{ content: \"\" counter(w-num-{n}-0, upper-roman) \".\"; }}}} p.w-num-{n}-1:before {{{{ content: counter(w-num-{n}-0, decimal)\".\"counter(w-num-{n}-1, lower-alpha) \")\" }}}} "
+        f"p.w-num-{n}-2:before {{{{ content: counter(w-num-{n}-0) \".\" counter(w-num-{n}-1) \".\" counter(w-num-{n}-2, decimal-leading-zero) \"\\9\" }}}} p.w-num-{n}-3 {{{{ list-style-type: lower-roman }}}} "
+        f":root {{{{ counter-reset: w-num-{n}-0 START w-num-{n}-1 w-num-{n}-2 2; }}}} "
+        for n in (0, 1)
+    ).replace("{{", "{").replace("}}", "}")
+    docs = dealt(spark, sf)
+    sheets = docs.select("doc_id", F.replace(F.lit(rules), F.lit("START"), (F.col("doc_id") % 4).cast("string")).alias("css"))
+    level = (F.col("seq") * 7 + F.col("doc_id")) % 11 % 4
+    items = text_lines(docs).select("doc_id", F.col("seq").cast("long").alias("seq"), F.concat_ws("-", F.lit("w-num"), (F.col("seq") % 2).cast("string"), level.cast("string")).alias("class"))
+    return U.labels(items, sheets).select("doc_id", "seq", "label")
+
+
 FIELDS_SQL = """WITH f AS (SELECT doc_id % 50 AS book, doc_id AS page, 'Report ' || (2020 + doc_id % 50 % 3) || ' - ' || (doc_id // 50 + 1) || ' -' AS text FROM documents),
  d AS (SELECT *, regexp_extract_all(text, '[0-9]{1,4}') AS ns FROM f), e AS (SELECT book, page, len(ns) AS k, unnest(range(len(ns))) AS pos, unnest(ns) AS v FROM d),
  v AS (SELECT book, k, pos, count(DISTINCT v) > 1 AS flagged FROM e GROUP BY book, k, pos), o AS (SELECT book, count(*) AS pages FROM f GROUP BY book)
