@@ -18,6 +18,7 @@ from ..operators import blocks as B
 from ..operators import boilerplate as R
 from ..operators import joins as J
 from ..operators import layout as L
+from ..operators import nesting as E
 from ..operators import numbering as U
 from ..operators import pages as P
 from ..operators import sequences as S
@@ -637,6 +638,109 @@ def numbering_sheets(spark, sf):
     return U.labels(items, sheets).select("doc_id", "seq", "label")
 
 
+NESTED_SQL = f"""
+WITH RECURSIVE {LINES_SQL}, it AS MATERIALIZED (SELECT doc_id, CAST(seq AS BIGINT) AS seq, (seq * 5 + doc_id) % 13 % 6 AS lvl, seq % 3 = 0 AS ordered, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS k FROM lines),
+ st AS (SELECT doc_id, seq, k, [{{'level': lvl, 'list': seq, 'last': seq, 'up': NULL::BIGINT}}] AS s FROM it WHERE k = 1
+  UNION ALL SELECT n.doc_id, n.seq, n.k, CASE WHEN n.lvl > n.p[len(n.p)].level THEN list_append(n.p, {{'level': n.lvl, 'list': n.seq, 'last': n.seq, 'up': n.p[len(n.p)].last}})
+    ELSE list_append(list_slice(n.p, 1, len(n.p) - 1), {{'level': n.p[len(n.p)].level, 'list': n.p[len(n.p)].list, 'last': n.seq, 'up': n.p[len(n.p)].up}}) END
+   FROM (SELECT it.doc_id, it.seq, it.k, it.lvl, list_concat([st.s[1]], list_filter(list_slice(st.s, 2, len(st.s)), lambda x: x.level <= it.lvl)) AS p FROM st JOIN it ON it.doc_id = st.doc_id AND it.k = st.k + 1) n),
+ o AS (SELECT doc_id, seq, s[len(s)].up AS parent, s[len(s)].list AS list, len(s) AS depth FROM st)
+SELECT o.doc_id, o.seq, parent, list, CAST(depth AS INT) AS depth, CAST(row_number() OVER (PARTITION BY o.doc_id, list ORDER BY o.seq) - 1 AS INT) AS position, f.ordered AS list_ordered FROM o JOIN it f ON f.doc_id = o.doc_id AND f.seq = o.list"""
+
+
+@query(NESTED_SQL)
+def nested_lists(spark, sf):
+    """Lines as list items whose levels jump and fall back, also to levels that were never opened."""
+    seq = F.col("seq").cast("long")
+    items = text_lines(dealt(spark, sf)).select("doc_id", seq.alias("seq"), ((seq * 5 + F.col("doc_id")) % 13 % 6).alias("level"), (seq % 3 == 0).alias("ordered"))
+    return E.nested_lists(items, ["doc_id"], "seq", "level", "ordered").select("doc_id", "seq", "parent", "list", "depth", "position", "list_ordered")
+
+
+CELLS_SQL = "c AS (SELECT l_orderkey, l_linenumber AS k, (l_linenumber - 1) // 2 AS r, l_partkey % 3 AS c, 1 + l_suppkey % 2 AS rs, 1 + CAST(l_quantity AS INT) % 2 AS cs, l_returnflag || CAST(l_partkey AS VARCHAR) AS t FROM lineitem)"
+GRID_SQL = f"""
+WITH {CELLS_SQL}, z AS (SELECT l_orderkey, max(r + rs) AS nr, max(c + cs) AS nc FROM c GROUP BY 1),
+ pl AS (SELECT l_orderkey, pr, unnest(range(nc)) AS pc FROM (SELECT l_orderkey, nc, unnest(range(nr)) AS pr FROM z)),
+ cv AS (SELECT DISTINCT pl.l_orderkey, pr, pc FROM pl JOIN c ON c.l_orderkey = pl.l_orderkey AND pr >= r AND pr < r + rs AND pc >= c.c AND pc < c.c + cs AND NOT (pr = r AND pc = c.c)),
+ og AS (SELECT l_orderkey, r, c, arg_max(rs, k) AS rs, arg_max(cs, k) AS cs, arg_max(t, k) AS t FROM c GROUP BY 1, 2, 3),
+ gr AS (SELECT pl.l_orderkey, pr, pc, coalesce(rs, 1) AS rs, coalesce(cs, 1) AS cs, t FROM pl LEFT JOIN cv USING (l_orderkey, pr, pc) LEFT JOIN og ON og.l_orderkey = pl.l_orderkey AND og.r = pr AND og.c = pc WHERE cv.pr IS NULL)"""
+
+
+def _grid(spark, sf) -> DataFrame:
+    n = F.col("l_linenumber")
+    cells = table(spark, sf, "lineitem").select(
+        "l_orderkey", n.alias("k"), F.floor((n - 1) / 2).cast("int").alias("row"), (F.col("l_partkey") % 3).cast("int").alias("col"), (1 + F.col("l_suppkey") % 2).cast("int").alias("row_span"),
+        (1 + F.col("l_quantity").cast("int") % 2).alias("col_span"), F.concat("l_returnflag", F.col("l_partkey").cast("string")).alias("text"),
+    )
+    return E.dense_grid(cells, ["l_orderkey"], "k")
+
+
+@query(GRID_SQL + " SELECT l_orderkey, CAST(pr AS INT) AS row, CAST(pc AS INT) AS col, CAST(rs AS INT) AS row_span, CAST(cs AS INT) AS col_span, t AS text FROM gr")
+def table_grid(spark, sf):
+    """Lines of an order as cells of a table, with spans that overlap and rows of unequal length."""
+    return _grid(spark, sf).select("l_orderkey", "row", "col", "row_span", "col_span", "text")
+
+
+@query(GRID_SQL + " SELECT l_orderkey, string_agg(t, ' ' ORDER BY pr, pc) AS text FROM gr WHERE t <> '' GROUP BY l_orderkey")
+def table_text(spark, sf):
+    """Tables as plain text: their cells' texts in order."""
+    return E.flattened(_grid(spark, sf), ["l_orderkey"], "text")
+
+
+@query(f"""WITH {LINES_SQL}, g AS (SELECT doc_id, page_index, n // 9 AS cell, seq, baseline - lag(baseline) OVER (PARTITION BY doc_id, page_index, n // 9 ORDER BY seq) AS gap FROM lines),
+ u AS (SELECT *, coalesce(median(CASE WHEN gap > 0 THEN gap END) OVER (PARTITION BY doc_id, page_index, cell), 12.6::DOUBLE) AS usual FROM g)
+ SELECT doc_id, CAST(seq AS BIGINT) AS seq, CAST(sum(CASE WHEN gap IS NULL OR gap > usual * 1.6::DOUBLE + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_index, cell ORDER BY seq) AS BIGINT) AS paragraph FROM u""")
+def cell_paragraphs(spark, sf):
+    lines = text_lines(dealt(spark, sf)).withColumn("cell", F.floor(F.col("n") / 9))
+    return E.cell_paragraphs(lines, ["doc_id", "page_index", "cell"]).select("doc_id", F.col("seq").cast("long").alias("seq"), "paragraph")
+
+
+CLAIM_SQL = """
+WITH RECURSIVE cand AS MATERIALIZED (SELECT o_custkey, o_orderkey, list_sort(list_distinct(list(l_partkey % 12))) AS ms, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey, o_orderkey),
+ f AS (SELECT o_custkey, k, o_orderkey, ms AS mine, len(ms) >= 3 AS ok, CASE WHEN len(ms) >= 3 THEN ms ELSE [] END AS taken FROM cand WHERE k = 1
+  UNION ALL SELECT q.o_custkey, q.k, q.o_orderkey, q.mine, len(q.mine) >= 3, CASE WHEN len(q.mine) >= 3 THEN list_concat(q.taken, q.mine) ELSE q.taken END
+   FROM (SELECT c.o_custkey, c.k, c.o_orderkey, f.taken, list_filter(c.ms, lambda m: NOT list_contains(f.taken, m)) AS mine FROM f JOIN cand c ON c.o_custkey = f.o_custkey AND c.k = f.k + 1) q)"""
+
+
+def _claims(spark, sf) -> tuple[DataFrame, DataFrame]:
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", (F.col("l_partkey") % 12).alias("member"))
+    pairs = table(spark, sf, "orders").select("o_orderkey", "o_custkey").join(lines, "o_orderkey")
+    return pairs, E.claims(pairs, ["o_custkey"], "o_orderkey", "member", 3)
+
+
+@query(CLAIM_SQL + " SELECT o_custkey, o_orderkey, ok AS accepted, CASE WHEN ok THEN mine ELSE [] END AS members FROM f")
+def claims_rollback(spark, sf):
+    """Orders of a customer claim kinds of parts in turn; with under three that are free an order gives them back."""
+    return _claims(spark, sf)[1]
+
+
+@query(CLAIM_SQL + """, held AS (SELECT o_custkey, unnest(mine) AS m FROM f WHERE ok)
+ SELECT DISTINCT o_custkey, l_linenumber FROM orders JOIN lineitem ON o_orderkey = l_orderkey LEFT JOIN held USING (o_custkey) WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.o_custkey = orders.o_custkey AND h.m = l_partkey % 12)""")
+def unclaimed_lines(spark, sf):
+    pairs, claimed = _claims(spark, sf)
+    return E.unclaimed(pairs, claimed, ["o_custkey"], "l_linenumber", "member")
+
+
+PLACED_SQL = f"""
+WITH RECURSIVE {BOXES_SQL}, g AS (SELECT id // 24 AS page, id, x, y, w, id % 4 = 0 AS item FROM bx),
+ it AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY page ORDER BY id) AS k FROM g WHERE item),
+ b0 AS (SELECT p.page, coalesce(list({{'id': id, 'item': item, 'x': x, 'y': y, 'w': w}} ORDER BY id) FILTER (NOT item), []) AS s FROM (SELECT DISTINCT page FROM g) p JOIN g USING (page) GROUP BY p.page),
+ f AS (SELECT page, CAST(0 AS BIGINT) AS k, s FROM b0
+  UNION ALL SELECT q.page, q.k, list_concat(list_concat(list_slice(q.s, 1, q.at - 1), [q.b]), list_slice(q.s, q.at, len(q.s)))
+   FROM (SELECT f.page, it.k, f.s, {{'id': it.id, 'item': it.item, 'x': it.x, 'y': it.y, 'w': it.w}} AS b,
+     coalesce(list_min(list_filter(range(1, len(f.s) + 1), lambda j: f.s[j].y >= it.y AND greatest(0, least(f.s[j].x + f.s[j].w, it.x + it.w) - greatest(f.s[j].x, it.x)) / least(f.s[j].w, it.w) > 0.1::DOUBLE)), len(f.s) + 1) AS at
+     FROM f JOIN it ON it.page = f.page AND it.k = f.k + 1) q),
+ d AS (SELECT page, arg_max(s, k) AS s FROM f GROUP BY page)
+SELECT page, CAST(unnest(range(len(s))) AS INT) AS position, unnest(list_transform(s, lambda e: e.id)) AS id, unnest(list_transform(s, lambda e: e.item)) AS item FROM d"""
+
+
+@query(PLACED_SQL)
+def sequential_insertion(spark, sf):
+    """Of the boxes of a page, 24 by key, each fourth is put in between the others."""
+    boxes = _boxes(spark, sf).withColumn("page", F.floor(F.col("id") / 24))
+    item = F.col("id") % 4 == 0
+    return E.insert_by_position(boxes.where(~item), boxes.where(item), ["page"], "id", "id")
+
+
 FIELDS_SQL = """WITH f AS (SELECT doc_id % 50 AS book, doc_id AS page, 'Report ' || (2020 + doc_id % 50 % 3) || ' - ' || (doc_id // 50 + 1) || ' -' AS text FROM documents),
  d AS (SELECT *, regexp_extract_all(text, '[0-9]{1,4}') AS ns FROM f), e AS (SELECT book, page, len(ns) AS k, unnest(range(len(ns))) AS pos, unnest(ns) AS v FROM d),
  v AS (SELECT book, k, pos, count(DISTINCT v) > 1 AS flagged FROM e GROUP BY book, k, pos), o AS (SELECT book, count(*) AS pages FROM f GROUP BY book)
