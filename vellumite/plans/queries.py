@@ -242,7 +242,7 @@ def nearest_rank_percentile(spark, sf):
 
 @query("SELECT source, doc_id, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 40000 AS kept FROM documents")
 def running_budget(spark, sf):
-    return A.running_budget(table(spark, sf, "documents").select("source", "doc_id", "n_chars"), ["source"], ["doc_id"], "n_chars", 40000).drop("n_chars")
+    return A.running_budget(table(spark, sf, "documents").select("source", "doc_id", "n_chars"), ["source"], "doc_id", "n_chars", 40000).drop("n_chars")
 
 
 WARN_SQL = """w AS (SELECT event_id AS seq, user_id AS doc_id, event_type AS code, CAST(floor(epoch(ts) / 86400) AS BIGINT) % 7 AS page_index FROM events),
@@ -369,12 +369,12 @@ def job_progress(spark, sf):
 
 # --- joins ------------------------------------------------------------------------------------------------------------
 
-BOXES_SQL = "bx AS (SELECT p_partkey AS id, p_partkey % 40 AS page, CAST(p_partkey * 37 % 500 AS DOUBLE) AS x, CAST(p_partkey * 91 % 700 AS DOUBLE) AS y, CAST(5 + p_size AS DOUBLE) AS w, CAST(8 + p_size % 9 AS DOUBLE) AS h FROM part)"
+BOXES_SQL = "bx AS (SELECT p_partkey AS id, p_partkey // 200 AS page, CAST(p_partkey * 37 % 500 AS DOUBLE) AS x, CAST(p_partkey * 91 % 700 AS DOUBLE) AS y, CAST(5 + p_size AS DOUBLE) AS w, CAST(8 + p_size % 9 AS DOUBLE) AS h FROM part)"
 
 
 def _boxes(spark, sf) -> DataFrame:
     k = F.col("p_partkey")
-    return table(spark, sf, "part").select(k.alias("id"), (k % 40).alias("page"), (k * 37 % 500).cast("double").alias("x"), (k * 91 % 700).cast("double").alias("y"), (5 + F.col("p_size")).cast("double").alias("w"), (8 + F.col("p_size") % 9).cast("double").alias("h"))
+    return table(spark, sf, "part").select(k.alias("id"), F.floor(k / 200).alias("page"), (k * 37 % 500).cast("double").alias("x"), (k * 91 % 700).cast("double").alias("y"), (5 + F.col("p_size")).cast("double").alias("w"), (8 + F.col("p_size") % 9).cast("double").alias("h"))
 
 
 CENTER = "b.page = a.page AND a.x + a.w / 2 BETWEEN b.x AND b.x + b.w AND a.y + a.h / 2 BETWEEN b.y AND b.y + b.h"
@@ -416,14 +416,19 @@ def box_components(spark, sf):
     return J.page_components(_boxes(spark, sf), ["page"], "id", 12.0)
 
 
-@query()
+@query(f"""WITH RECURSIVE {BOXES_SQL}, b AS MATERIALIZED (SELECT page, id, x, y, w * 4 AS w, h * 6 AS h, row_number() OVER (PARTITION BY page ORDER BY id) AS k FROM bx),
+ f AS (SELECT page, k, id, true AS ok, [{{'x': x, 'y': y, 'w': w, 'h': h}}] AS kept FROM b WHERE k = 1
+  UNION ALL SELECT q.page, q.k, q.id, q.ok, CASE WHEN q.ok THEN list_append(q.kept, {{'x': q.x, 'y': q.y, 'w': q.w, 'h': q.h}}) ELSE q.kept END
+   FROM (SELECT b.*, f.kept, len(list_filter(list_transform(f.kept, lambda o: greatest(0, least(o.x + o.w, b.x + b.w) - greatest(o.x, b.x)) * greatest(0, least(o.y + o.h, b.y + b.h) - greatest(o.y, b.y)) / (o.w * o.h + b.w * b.h - greatest(0, least(o.x + o.w, b.x + b.w) - greatest(o.x, b.x)) * greatest(0, least(o.y + o.h, b.y + b.h) - greatest(o.y, b.y)))), lambda v: v > 0.3::DOUBLE)) = 0 AS ok
+    FROM f JOIN b ON b.page = f.page AND b.k = f.k + 1) q)
+SELECT page, id FROM f WHERE ok""")
 def nms_greedy(spark, sf):
-    boxes = _boxes(spark, sf).withColumn("page", F.col("page") % 4)
+    boxes = _boxes(spark, sf).withColumn("w", F.col("w") * 4).withColumn("h", F.col("h") * 6)
     return J.suppress(boxes, ["page"], "id", "id", 0.3).select("page", "id")
 
 
 HEAD_SQL = f"""WITH {LINES_SQL},
- pg AS (SELECT doc_id % 25 AS doc_id, dense_rank() OVER (PARTITION BY doc_id % 25 ORDER BY doc_id, page_index) AS page_index, seq, n, CASE WHEN n = 0 THEN 'Chapter ' || (doc_id % 3) || ' Title 7' WHEN n = 1 THEN CAST(doc_id AS VARCHAR) ELSE text END AS text,
+ pg AS (SELECT doc_id // 40 AS doc_id, dense_rank() OVER (PARTITION BY doc_id // 40 ORDER BY doc_id, page_index) AS page_index, seq, n, CASE WHEN n = 0 THEN 'Chapter ' || (doc_id % 3) || ' Title 7' WHEN n = 1 THEN CAST(doc_id AS VARCHAR) ELSE text END AS text,
    CASE WHEN n = 0 THEN 40.0::DOUBLE + doc_id % 5 WHEN n = 1 THEN 780.0::DOUBLE ELSE 300.0::DOUBLE END AS y FROM lines),
  f AS (SELECT *, CASE WHEN y + 5 < 842 * 0.11::DOUBLE THEN 'header' WHEN y + 5 > 842 * (1 - 0.11::DOUBLE) THEN 'footer' END AS band,
    CASE WHEN regexp_matches(text, '^[0-9]{{1,4}}$') THEN '<pageno>' ELSE lower(regexp_replace(regexp_replace(text, '[0-9]+', '#', 'g'), '[{SP}]+', ' ', 'g')) END AS key FROM pg),
@@ -439,8 +444,8 @@ def repeated_boilerplate(spark, sf):
     d, n = F.col("doc_id"), F.col("n")
     text = F.when(n == 0, F.concat(F.lit("Chapter "), (d % 3).cast("string"), F.lit(" Title 7"))).when(n == 1, d.cast("string")).otherwise(F.col("text"))
     y = F.when(n == 0, F.lit(40.0) + d % 5).when(n == 1, 780.0).otherwise(300.0)
-    page = F.dense_rank().over(Window.partitionBy(d % 25).orderBy("doc_id", "page_index"))
-    pages = lines.select((d % 25).alias("doc_id"), page.cast("long").alias("page_index"), F.col("seq").cast("long").alias("line_id"), text.alias("text"), F.lit(72.0).alias("x"), y.alias("y"), F.lit(100.0).alias("w"), F.lit(10.0).alias("h"), F.lit(595.0).alias("page_width"), F.lit(842.0).alias("page_height"), F.lit(False).alias("rotated"))
+    page = F.dense_rank().over(Window.partitionBy(F.floor(d / 40)).orderBy("doc_id", "page_index"))
+    pages = lines.select(F.floor(d / 40).alias("doc_id"), page.cast("long").alias("page_index"), F.col("seq").cast("long").alias("line_id"), text.alias("text"), F.lit(72.0).alias("x"), y.alias("y"), F.lit(100.0).alias("w"), F.lit(10.0).alias("h"), F.lit(595.0).alias("page_width"), F.lit(842.0).alias("page_height"), F.lit(False).alias("rotated"))
     return R.repeated_lines(pages).select("doc_id", "page_index", "line_id", "band")
 
 
@@ -759,7 +764,7 @@ def markdown_documents(spark, sf):
     return M.documents(_blocks(spark, sf))
 
 
-@query()
+@query(REPORT_SQL + """SELECT doc_id, '{"version":1,"blocks":[' || string_agg('{"page_index":' || page_index || ',"block":' || block || ',"kind":"' || CASE WHEN marked AND lines <= 6 THEN 'list-item' ELSE 'paragraph' END || '"}', ',' ORDER BY page_index, block) || ']}' AS manifest FROM k GROUP BY doc_id""")
 def markdown_manifest(spark, sf):
     return M.manifest(_blocks(spark, sf))
 
@@ -782,7 +787,7 @@ def crc_manifest(spark, sf):
 @query()
 def zip_archives(spark, sf):
     docs = table(spark, sf, "documents")
-    files = docs.select((F.col("doc_id") % 100).alias("bundle"), F.concat("lang", F.lit(".txt")).alias("name"), F.col("text").cast("binary").alias("content"), F.col("doc_id").alias("seq"))
+    files = docs.select(F.floor(F.col("doc_id") / 100).alias("bundle"), F.concat("lang", F.lit(".txt")).alias("name"), F.col("text").cast("binary").alias("content"), F.col("doc_id").alias("seq"))
     return archives(files, "bundle")
 
 
