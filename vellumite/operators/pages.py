@@ -224,11 +224,15 @@ def wrapped(text: Column, advance: float, width: float) -> Column:
 def _by_page(spans: DataFrame, page: Sequence[str], make: Callable[[dict[str, np.ndarray]], list[tuple]], schema: str) -> DataFrame:
     """make's rows of each page's spans, beside the page's key.
 
-    Pages are dealt by key, sorted, and cut from Arrow batches: many small pages pass in one batch, and a page that goes on
-    in the next batch is held until it is whole."""
+    A window numbers a page's spans by seq: Spark shuffles for it only what doesn't lie together yet, and sorts. Pages are
+    cut from the sorted Arrow batches: many small pages pass in one batch, and a page that goes on in the next batch is
+    held until it is whole."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
     kinds = dict(spans.dtypes)
     known = [c for c in ("text", "x", "y", "w", "h", "baseline", "font_size", "page_width", "rotation", "vertical") if c in kinds]
-    rows = spans.select(*page, "seq", *known).repartition(*page).sortWithinPartitions(*page, "seq")
+    rows = spans.select(*page, "seq", *known).withColumn("_nth", F.row_number().over(Window.partitionBy(*page).orderBy("seq")))
     out = ", ".join(f"{c} {kinds[c]}" for c in page) + ", " + schema
     names = [field.split()[0] for field in schema.split(", ")]
     numbers = {"int": pa.int32(), "string": pa.string(), "double": pa.float64()}
@@ -237,7 +241,7 @@ def _by_page(spans: DataFrame, page: Sequence[str], make: Callable[[dict[str, np
     def whole(table: pa.Table, starts: list[int]) -> pa.RecordBatch:
         columns = {c: table.column(c).to_numpy() for c in known}
         made, of = [], []
-        for a, b in zip(starts, starts[1:], strict=False):
+        for a, b in zip(starts, [*starts[1:], table.num_rows], strict=True):
             found = make({c: v[a:b] for c, v in columns.items()})
             made += found
             of += [a] * len(found)
@@ -246,19 +250,23 @@ def _by_page(spans: DataFrame, page: Sequence[str], make: Callable[[dict[str, np
         return pa.RecordBatch.from_arrays([*keys, *values], names=[*page, *names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+        held: list[pa.Table] = []
         for batch in batches:
-            if not batch.num_rows:
-                continue
+            # a page begins where its spans are numbered anew
+            starts = np.flatnonzero(batch.column("_nth").to_numpy() == 1).tolist()
             now = pa.Table.from_batches([batch])
-            now = pa.concat_tables([held, now]) if held is not None else now
-            keys = list(zip(*(now.column(c).to_pylist() for c in page), strict=True))
-            starts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1])]
+            if not starts:
+                held.append(now)
+                continue
+            if starts[0]:
+                held.append(now.slice(0, starts[0]))
+            if held:
+                yield whole(pa.concat_tables(held), [0])
             if len(starts) > 1:
-                yield whole(now, starts)
-            held = now.slice(starts[-1])
-        if held is not None:
-            yield whole(held, [0, held.num_rows])
+                yield whole(now.slice(starts[0], starts[-1] - starts[0]), [k - starts[0] for k in starts[:-1]])
+            held = [now.slice(starts[-1])]
+        if held:
+            yield whole(pa.concat_tables(held), [0])
 
     return rows.mapInArrow(run, out)
 
