@@ -113,3 +113,16 @@ def place_image(w: Column, h: Column, page: str, orientation: str = "auto", marg
 def display_size(width: Column, height: Column, orientation: Column) -> Column:
     turned = orientation >= 5
     return F.struct(F.when(turned, height).otherwise(width).alias("width"), F.when(turned, width).otherwise(height).alias("height"))
+
+
+def image_reference(source: Column) -> Column:
+    """struct(kind, name) of an image's source: `inline` (data of an image, or a blob) stays as it is, `blocked` has a scheme
+    or a host, `file` is looked up by name, its last part without escapes; broken escapes stay. Null counts as empty."""
+    text = F.coalesce(source, F.lit(""))
+    # Image data that documents may hold.
+    inline = text.rlike(r"(?i)\Adata:image/(?:png|jpe?g|gif|webp|bmp|avif|x-icon|vnd\.microsoft\.icon)[;,]") | text.rlike(r"(?i)\Ablob:")
+    blocked = F.trim(text).rlike(r"(?i)\A(?:[a-z][a-z0-9+.-]*:|[\\/]{2})")
+    last = F.element_at(F.split(text, r"[\\/]"), -1)
+    name = F.coalesce(F.try_url_decode(F.replace(last, F.lit("+"), F.lit("%2B"))), last)
+    kind = F.when(inline, "inline").when(blocked, "blocked").otherwise("file")
+    return F.struct(kind.alias("kind"), F.when(kind == "file", name).alias("name"))

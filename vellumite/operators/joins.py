@@ -121,3 +121,20 @@ def suppress(boxes: DataFrame, by: Sequence[str], key: str, order: str, limit: f
         return pdf.iloc[kept]
 
     return boxes.groupBy(*by).applyInPandas(solve, boxes.schema)
+
+
+def named_file(references: DataFrame, files: DataFrame, by: Sequence[str], name: str, path: str) -> DataFrame:
+    """references (by, name, and whatever else) with path: of the file of that name, or else of one whose name in lower
+    case is the reference's in lower case; the smallest path where several would do; null without any.
+
+    Two joins by equal keys, each with one row a key on the right, so that references never multiply."""
+    known = files.where(F.col(name).isNotNull())
+    best = lambda key, into: known.groupBy(*[F.col(c).alias(f"_{c}") for c in by], key.alias("_key")).agg(F.min(path).alias(into))
+    rows = references
+    for key, into in ((F.col(name), "_exact"), (F.lower(name), "_folded")):
+        side = best(key, into)
+        same = key == F.col("_key")
+        for c in by:
+            same = same & (F.col(c) == F.col(f"_{c}"))
+        rows = rows.join(side, same, "left").drop("_key", *[f"_{c}" for c in by])
+    return rows.withColumn(path, F.coalesce("_exact", "_folded")).drop("_exact", "_folded")

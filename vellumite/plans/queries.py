@@ -21,6 +21,7 @@ from ..operators import layout as L
 from ..operators import nesting as E
 from ..operators import numbering as U
 from ..operators import pages as P
+from ..operators import paging as Y
 from ..operators import sequences as S
 from ..operators.tables import ruled_tables as ruled
 from ..sinks import markdown as M
@@ -746,6 +747,48 @@ def sequential_insertion(spark, sf):
     return E.insert_by_position(boxes.where(~item), boxes.where(item), ["page"], "id", "id")
 
 
+PAGING_SQL = f"""
+WITH {LINES_SQL}, s AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 0.0::DOUBLE ELSE 20.0::DOUBLE * (doc_id % 5) END AS hh, CASE WHEN doc_id % 2 = 0 THEN 14.0::DOUBLE ELSE 0::DOUBLE END AS fh FROM documents),
+ g AS (SELECT *, greatest(72, CASE WHEN hh > 0 THEN 36 + hh + 6 ELSE 0 END)::DOUBLE AS top, greatest(72, CASE WHEN fh > 0 THEN 36 + fh + 6 ELSE 0 END)::DOUBLE AS bottom FROM s),
+ z AS (SELECT *, greatest(72, 842 - top - bottom)::DOUBLE AS ch FROM g),
+ c AS (SELECT l.doc_id, l.seq, l.x - 72 AS ix, floor(l.seq * 15 / ch) AS col, l.seq * 15 - floor(l.seq * 15 / ch) * ch AS pos, ch, top FROM lines l JOIN z USING (doc_id)),
+ b AS (SELECT doc_id, seq, ix, CAST(CASE WHEN pos > 0 AND pos + 15 > ch THEN col + 1 ELSE col END AS INT) AS col, CASE WHEN pos > 0 AND pos + 15 > ch THEN 0 ELSE pos END AS pos, top FROM c),
+ n AS (SELECT doc_id, max(col + CAST(floor((ix + 1) / 499.0::DOUBLE) AS INT)) + 1 AS pages FROM b GROUP BY doc_id), e AS (SELECT z.doc_id, hh, fh, unnest(range(coalesce(pages, 1))) AS page FROM z LEFT JOIN n USING (doc_id))
+SELECT doc_id, CAST(col + floor((ix + 1) / 499.0::DOUBLE) AS INT) AS page, 'body' AS part, CAST(seq AS BIGINT) AS seq, round(ix - floor((ix + 1) / 499.0::DOUBLE) * 499 + 72, 6) AS x, round(pos + top, 6) AS y FROM b
+UNION ALL SELECT doc_id, CAST(page AS INT), 'head', 0, 72, 36 FROM e WHERE hh > 0 UNION ALL SELECT doc_id, CAST(page AS INT), 'foot', 1, 272, 842 - 36 - fh + 2 FROM e WHERE fh > 0"""
+
+
+@query(PAGING_SQL)
+def page_bands(spark, sf):
+    """Documents' lines flowing down pages with heads of several heights, some of which push the body, and feet."""
+    docs, d = dealt(spark, sf), F.col("doc_id")
+    lit = lambda v: F.lit(float(v))
+    head, foot = F.when(d % 3 == 0, 0.0).otherwise(lit(20) * (d % 5)), F.when(d % 2 == 0, 14.0).otherwise(0.0)
+    box = Y.content_box(lit(595), lit(842), {"left": lit(72), "right": lit(72), "top": lit(72), "bottom": lit(72)}, head, foot, lit(36), lit(36))
+    sections = docs.select("doc_id", lit(842).alias("height"), lit(36).alias("head_at"), lit(36).alias("foot_at"), foot.alias("foot_height"), head.alias("head_height"), box.alias("body"))
+    flow = text_lines(docs).select("doc_id", "seq", (F.col("x") - 72).alias("x"), (F.col("seq") * 15).cast("double").alias("top"), F.lit(15.0).alias("h"))
+    columns = Y.columns_of(flow, sections, "doc_id", "top", "h")
+    ops = columns.select("doc_id", "seq", (F.col("x") + F.col("column") * (595 - 144 + Y.COLUMN_GAP)).alias("x"), F.col("at").alias("y"))
+    band = lambda part, seq, x, y, there: sections.where(there > 0).select("doc_id", F.lit(part).alias("part"), F.lit(seq).alias("seq"), lit(x).alias("x"), lit(y).alias("y"))
+    bands = band("head", 0, 0, 0, F.col("head_height")).unionByName(band("foot", 1, 200, 2, F.col("foot_height")))
+    made = Y.paginate(ops, bands, sections, "doc_id")
+    return made.select("doc_id", "page", "part", "seq", rounded(F.col("x")).alias("x"), rounded(F.col("y")).alias("y"))
+
+
+@query("""WITH h AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS hs FROM pages), r AS (SELECT page_id, unnest(range(len(hs))) AS k, unnest(hs) AS src FROM h),
+ n AS (SELECT page_id, k, src, CASE WHEN regexp_matches(src, '(?i)^([a-z][a-z0-9+.-]*:|//)') THEN 'blocked' ELSE 'file' END AS kind, string_split(src, '/')[-1] AS name FROM r),
+ f AS (SELECT page_id, CASE k % 4 WHEN 1 THEN translate(name, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') WHEN 2 THEN lower(name) ELSE name END AS name, 'f/' || k AS path FROM n WHERE kind = 'file' AND k % 4 < 3),
+ x AS (SELECT page_id, name, min(path) AS p FROM f GROUP BY ALL), l AS (SELECT page_id, lower(name) AS name, min(path) AS p FROM f GROUP BY ALL)
+ SELECT n.page_id, k, kind, CASE WHEN kind = 'file' THEN coalesce(x.p, l.p) END AS path FROM n LEFT JOIN x ON x.page_id = n.page_id AND x.name = n.name LEFT JOIN l ON l.page_id = n.page_id AND l.name = lower(n.name)""")
+def named_files(spark, sf):
+    """What pages refer to, found among their files: by name, or else by name in lower case."""
+    found = table(spark, sf, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("k", "src"))
+    rows = found.select("page_id", F.col("k").cast("long").alias("k"), I.image_reference(F.col("src")).alias("r")).select("page_id", "k", "r.kind", "r.name")
+    case, name = F.col("k") % 4, F.col("name")
+    files = rows.where((F.col("kind") == "file") & (case < 3)).select("page_id", F.when(case == 1, F.translate(name, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).when(case == 2, F.lower(name)).otherwise(name).alias("name"), F.concat(F.lit("f/"), F.col("k").cast("string")).alias("path"))
+    return J.named_file(rows, files, ["page_id"], "name", "path").select("page_id", "k", "kind", "path")
+
+
 FIELDS_SQL = """WITH f AS (SELECT doc_id % 50 AS book, doc_id AS page, 'Report ' || (2020 + doc_id % 50 % 3) || ' - ' || (doc_id // 50 + 1) || ' -' AS text FROM documents),
  d AS (SELECT *, regexp_extract_all(text, '[0-9]{1,4}') AS ns FROM f), e AS (SELECT book, page, len(ns) AS k, unnest(range(len(ns))) AS pos, unnest(ns) AS v FROM d),
  v AS (SELECT book, k, pos, count(DISTINCT v) > 1 AS flagged FROM e GROUP BY book, k, pos), o AS (SELECT book, count(*) AS pages FROM f GROUP BY book)
