@@ -138,3 +138,26 @@ def named_file(references: DataFrame, files: DataFrame, by: Sequence[str], name:
             same = same & (F.col(c) == F.col(f"_{c}"))
         rows = rows.join(side, same, "left").drop("_key", *[f"_{c}" for c in by])
     return rows.withColumn(path, F.coalesce("_exact", "_folded")).drop("_exact", "_folded")
+
+
+def image_blocks(images: DataFrame, tables: DataFrame, by: Sequence[str], least: float = 12.0) -> DataFrame:
+    """Images (by, x, y, w, h, stored, scan, page_width, page_height) that become blocks: those stored, `least` points wide
+    and high at least, but not a scan's picture of the whole page, whose text was read, and not on other pages those that
+    lie in one of the tables (by, x, y, w, h), within two points. Null flags count as false."""
+    scan = F.coalesce(F.col("scan"), F.lit(False))
+    whole = scan & G.full_page(G.columns(), F.col("page_width"), F.col("page_height"))
+    kept = images.where(F.coalesce(F.col("stored"), F.lit(False)) & (F.col("w") >= least) & (F.col("h") >= least) & ~whole)
+    right, equal, a, b = _sides(kept, tables, by)
+    return kept.join(right, equal & ~scan & G.contains(b, a, 2.0), "left_anti")
+
+
+def scaled_scans(pages: DataFrame, parts: DataFrame, by: Sequence[str], lengths: Sequence[str], scale: Column) -> tuple[DataFrame, DataFrame]:
+    """(pages, parts) with what lies on a scanned page scaled as the page is: pages (by, width, height, ...) get `scale`,
+    which is an expression over them, and the parts' lengths are multiplied by their page's. Parts without a page stay."""
+    sized = pages.withColumn("scale", scale)
+    named = sized.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("scale").alias("_scale"))
+    same = None
+    for c in by:
+        same = (F.col(c) == F.col(f"_{c}")) if same is None else same & (F.col(c) == F.col(f"_{c}"))
+    placed = parts.join(named, same, "left").withColumns({c: F.col(c) * F.coalesce("_scale", F.lit(1.0)) for c in lengths})
+    return sized.withColumns({c: F.col(c) * F.col("scale") for c in ("width", "height")}), placed.drop("_scale", *[f"_{c}" for c in by])

@@ -12,6 +12,7 @@ from ..functions import geometry as G
 from ..functions import images as I
 from ..functions import numbers as N
 from ..functions import ocr as O
+from ..functions import styles as K
 from ..functions import text as T
 from ..operators import aggregates as A
 from ..operators import blocks as B
@@ -22,6 +23,7 @@ from ..operators import nesting as E
 from ..operators import numbering as U
 from ..operators import pages as P
 from ..operators import paging as Y
+from ..operators import routing as Z
 from ..operators import sequences as S
 from ..operators.tables import ruled_tables as ruled
 from ..sinks import markdown as M
@@ -789,6 +791,44 @@ def named_files(spark, sf):
     return J.named_file(rows, files, ["page_id"], "name", "path").select("page_id", "k", "kind", "path")
 
 
+_IMAGE_EXT = "('jpg','jpeg','png','webp','gif','bmp','avif','svg')"
+
+
+@query(f"""WITH f AS (SELECT l_orderkey, ['a.PDF','b.docx','n.md','p.png','q.heic','README','x.y.Txt','v.svg','data','m.markdown','t.tiff','w.jpeg'][CAST((l_partkey * l_suppkey + l_linenumber) % 12 AS INT) + 1] AS name, ['','application/pdf','image/webp','text/plain','text/markdown','audio/ogg',''][CAST(l_suppkey % 7 AS INT) + 1] AS media FROM lineitem),
+ e AS (SELECT *, CASE WHEN contains(name, '.') THEN lower(string_split(name, '.')[-1]) ELSE '' END AS ext, starts_with(media, 'image/') AS im FROM f),
+ c AS (SELECT l_orderkey, count(*) FILTER (ext = 'pdf' OR media = 'application/pdf') AS pdf, count(*) FILTER (ext = 'docx') AS word, count(*) FILTER (ext IN {_IMAGE_EXT} OR im) AS img, count(*) FILTER (ext IN {_IMAGE_EXT} OR im OR ext IN ('heic','heif','tif','tiff','ico')) AS more,
+   CASE WHEN count(*) FILTER (ext IN ('md','markdown','txt') OR media = 'text/markdown') > 0 THEN count(*) FILTER (ext IN ('md','markdown','txt') OR media IN ('text/markdown','text/plain') OR ext IN {_IMAGE_EXT} OR im) ELSE 0 END AS md FROM e GROUP BY 1)
+ SELECT l_orderkey, greatest(pdf, word, md, img, more) AS votes, CASE greatest(pdf, word, md, img, more) WHEN 0 THEN NULL WHEN pdf THEN 'pdf-to-word' WHEN word THEN 'word-to-pdf' WHEN md THEN 'markdown-to-pdf' WHEN img THEN 'images-to-pdf' ELSE 'compress-images' END AS tool FROM c""")
+def route_files(spark, sf):
+    """Lines of an order as a batch of files: the tool that most of them are for."""
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n + 1).cast("int"))
+    name = pick(["a.PDF", "b.docx", "n.md", "p.png", "q.heic", "README", "x.y.Txt", "v.svg", "data", "m.markdown", "t.tiff", "w.jpeg"], (F.col("l_partkey") * F.col("l_suppkey") + F.col("l_linenumber")) % 12)
+    media = pick(["", "application/pdf", "image/webp", "text/plain", "text/markdown", "audio/ogg", ""], F.col("l_suppkey") % 7)
+    return Z.route(table(spark, sf, "lineitem").select("l_orderkey", name.alias("name"), media.alias("media")), ["l_orderkey"])
+
+
+@query(f"""WITH {BOXES_SQL}, i AS (SELECT id, page, x, y, CASE WHEN id % 10 = 0 THEN 560.0::DOUBLE ELSE w END AS w, CASE WHEN id % 10 = 0 THEN 800.0::DOUBLE ELSE h END AS h, id % 7 <> 3 AS stored, page % 2 = 0 AS scan FROM bx WHERE id % 3 <> 0),
+ t AS (SELECT page, x, y, w * 8 AS w, h * 30 AS h FROM bx WHERE id % 3 = 0)
+ SELECT id, page FROM i WHERE stored AND w >= 12 AND h >= 12 AND NOT (scan AND w > 595 * 0.85::DOUBLE AND h > 842 * 0.85::DOUBLE) AND (scan OR NOT EXISTS (SELECT 1 FROM t WHERE t.page = i.page AND i.x >= t.x - 2 AND i.y >= t.y - 2 AND i.x + i.w <= t.x + t.w + 2 AND i.y + i.h <= t.y + t.h + 2))""")
+def image_blocks(spark, sf):
+    boxes, k = _boxes(spark, sf), F.col("id")
+    large = k % 10 == 0
+    images = boxes.where(k % 3 != 0).withColumn("w", F.when(large, 560.0).otherwise(F.col("w"))).withColumn("h", F.when(large, 800.0).otherwise(F.col("h")))
+    images = images.select("*", (k % 7 != 3).alias("stored"), (F.col("page") % 2 == 0).alias("scan"), F.lit(595.0).alias("page_width"), F.lit(842.0).alias("page_height"))
+    tables = boxes.where(k % 3 == 0).select("page", "x", "y", (F.col("w") * 8).alias("w"), (F.col("h") * 30).alias("h"))
+    return J.image_blocks(images, tables, ["page"]).select("id", "page")
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 5 = 0 THEN NULL ELSE round(CASE WHEN l_linenumber % 3 = 1 THEN (l_partkey % 101) / 100.0::DOUBLE ELSE (l_partkey % 256) / 255.0::DOUBLE END, 9) END AS red, CASE WHEN l_linenumber % 5 = 0 THEN NULL ELSE round((l_suppkey % 256) / 255.0::DOUBLE, 9) END AS green FROM lineitem""")
+def colors(spark, sf):
+    """Colours as styles have them, with shares, bytes, and some all but transparent."""
+    n, p, s = F.col("l_linenumber"), F.col("l_partkey"), (F.col("l_suppkey") % 256).cast("string")
+    red = F.when(n % 3 == 1, F.concat((p % 101).cast("string"), F.lit("%"))).otherwise((p % 256).cast("string"))
+    style = F.concat(F.lit("rgba("), red, F.lit(", "), s, F.lit(", 7"), F.when(n % 5 == 0, ", 0.01").when(n % 2 == 0, ", .5").otherwise(""), F.lit(")"))
+    made = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", K.color(style).alias("c"))
+    return made.select("l_orderkey", "l_linenumber", F.round("c.r", 9).alias("red"), F.round("c.g", 9).alias("green"))
+
+
 FIELDS_SQL = """WITH f AS (SELECT doc_id % 50 AS book, doc_id AS page, 'Report ' || (2020 + doc_id % 50 % 3) || ' - ' || (doc_id // 50 + 1) || ' -' AS text FROM documents),
  d AS (SELECT *, regexp_extract_all(text, '[0-9]{1,4}') AS ns FROM f), e AS (SELECT book, page, len(ns) AS k, unnest(range(len(ns))) AS pos, unnest(ns) AS v FROM d),
  v AS (SELECT book, k, pos, count(DISTINCT v) > 1 AS flagged FROM e GROUP BY book, k, pos), o AS (SELECT book, count(*) AS pages FROM f GROUP BY book)
