@@ -310,3 +310,14 @@ def test_op11_pieces(spark):
         assert at == len(ids)
         total += at
     assert max(held.values()) <= 2048 and len(held) <= -(-total // 2048) + 1
+
+
+def test_rows_of_a_repeated_key_tie_their_components(spark):
+    from vellumite.llm import minhash
+
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(5, a), (7, a), (7, b), (7, b), (9, b + " more"), (11, c), (12, ""), (11, None), (None, a), (None, a), (20, "x y")]
+    got = sorted((r.doc_id or 0, r.component_id, r.kept) for r in minhash.near_duplicates(frame(spark, rows)).collect())
+    assert got == sorted([(5, 5, True), (7, 5, False), (7, 5, False), (7, 5, False), (9, 5, False), (11, 11, True), (11, 11, True), (12, 12, True), (0, None, True), (0, None, True), (20, 20, True)], key=lambda r: (r[0], r[1] or 0))
+    left = minhash.deduplicate(frame(spark, [*rows, (5, b)])).collect()
+    assert Counter((r.doc_id, r.text) for r in left) == Counter([(5, a), (11, None), (12, ""), (None, a), (None, a), (20, "x y")])

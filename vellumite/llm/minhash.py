@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, durable
@@ -232,12 +232,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     """Per row: key, n_shingles, component_id, kept (the row's key is its component's).
 
     Null, empty and blank texts have no shingles and no links: each is its own component. Rows of a repeated key are one
-    node: its first set stands for links, and all of its rows are returned. Keys are integers; rows of a null key are linked
-    with nothing and kept.
+    document: what any of its texts is linked with is in its component; all of its rows are returned, each with the size of
+    its own set. Where a key has several texts, distinct pairs of key and text are written once and compared by numbers of
+    their own. Keys are integers; rows of a null key are linked with nothing and kept.
     At similarity 0.8 a pair shares no band with probability (1 - 0.8**rows)**bands, 5e-8 by default; slack is how far
     below the threshold an estimate may lie before a pair is left unconfirmed, about 5 standard errors by default. Classes
     of more than `hot` equal texts are looked up by a broadcast, so that their rows stay where they are."""
     signed = durable(signatures(docs, key, text, width, bands, rows, bits))
+    own = F.xxhash64("_fp")
+    if signed.where("_id is not null").groupBy("_id").agg(F.min(own).alias("a"), F.max(own).alias("b")).where("a <> b").limit(1).count():
+        return _tied(docs, key, text, width=width, percent=percent, bands=bands, rows=rows, bits=bits, slack=slack, block=block, hot=hot)
     worded = signed.where("_fp is not null and _id is not null")
     # classes of equal sets; node: the smallest key of the class
     classes = durable(worded.groupBy("_fp").agg(F.min("_id").alias("node"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("_packed").alias("_packed"), F.first("_bands").alias("_bands")))
@@ -297,6 +301,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return whole.select(F.col("_id").alias(key), "n_shingles", F.col("_root").alias("component_id"), F.col("_id").eqNullSafe(F.col("_root")).alias("kept"))
 
 
+def _tied(docs: DataFrame, key: str, text: str, **options) -> DataFrame:
+    """near_duplicates of documents some of whose keys have several texts: each pair of key and text is a document of its
+    own first; then the components that a key's texts lie in become one."""
+    rows = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
+    pairs = durable(rows.groupBy("_key", "_text").agg(F.count("*").alias("_copies")).withColumn("_node", F.monotonically_increasing_id()))
+    found = near_duplicates(pairs, "_node", "_text", **options).select("_node", "n_shingles", F.col("component_id").alias("_part"))
+    placed = durable(pairs.select("_node", "_key", "_copies").join(found, "_node"))
+    known = placed.where("_key is not null")
+    first = known.groupBy("_key").agg(F.min("_part").alias("a"), F.max("_part").alias("b")).where("a <> b").select(F.col("_key").alias("_k"), "a")
+    joined = components(known.join(first, F.col("_key") == F.col("_k")).select("a", F.col("_part").alias("b")))
+    whole = placed.join(joined.withColumnRenamed("node", "_n"), F.col("_part") == F.col("_n"), "left").withColumn("_root", F.coalesce("root", "_part"))
+    least = whole.groupBy(F.col("_root").alias("_r")).agg(F.min("_key").alias("component_id"))
+    out = whole.join(least, F.col("_root") == F.col("_r")).withColumn("component_id", F.when(F.col("_key").isNotNull(), F.col("component_id")))
+    each = out.select(F.col("_key").alias(key), "n_shingles", "component_id", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int"))))
+    return each.select(key, "n_shingles", "component_id", F.col(key).eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def spanning(sketch: list[bytes], n: np.ndarray, root: np.ndarray, node: np.ndarray, own: np.ndarray, stray: np.ndarray, percent: int, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
     """Pairs of a stray and an own member that join parts (values of root) still apart, each stray's likeliest first.
 
@@ -373,11 +394,16 @@ def joining_pairs(placed: DataFrame, percent: int, block: int, per_task: int = 2
     return rows.groupBy(F.pmod(F.xxhash64("group", "_block"), F.lit(batches)).alias("_batch")).applyInPandas(compare, "a long, b long")
 
 
-def deduplicate(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The documents that stay: of each component the one with the smallest key, and of a repeated key one row."""
-    kept = durable(near_duplicates(docs, key, **options).where("kept").select(F.col(key).alias("_kept")).distinct())
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The documents that stay: of each component the one with the smallest key, and of a repeated key the row of the
+    smallest text, null first."""
+    kept = durable(near_duplicates(docs, key, text, **options).where("kept").select(F.col(key).alias("_kept")).distinct())
     left = docs.join(broadcast_if_small(kept, 500_000), docs[key].eqNullSafe(kept["_kept"]), "left_semi")
     known = docs.where(docs[key].isNotNull())
     if not known.groupBy(key).count().where("count > 1").limit(1).count():
         return left
-    return left.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(left.where(F.col(key).isNull()))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.col(text).asc_nulls_first(), F.xxhash64(*docs.columns)))
+    name = "_place"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return left.where(F.col(key).isNotNull()).withColumn(name, place).where(F.col(name) == 1).drop(name).unionByName(left.where(F.col(key).isNull()))
