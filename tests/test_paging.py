@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from vellumite.functions import images as I
 from vellumite.operators import aggregates as A
+from vellumite.operators import boilerplate as R
 from vellumite.operators import joins as J
 from vellumite.operators import paging as Y
 
@@ -63,3 +64,16 @@ def test_running_budget_over_blocks(spark):
         for _, k, n in sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0)):
             assert got[g, k] == (total < 300)
             total += n or 0
+
+
+def test_heads_and_feet_leave_the_body(spark):
+    kind = "doc_id long, page_index long, line_id long, text string, x double, y double, w double, h double, page_width double, page_height double, rotated boolean"
+    rows = []
+    for p in range(4):
+        rows += [(1, p, 0, "Report 2024", 50.0, 20.0, 100.0, 10.0, 600.0, 800.0, False), (1, p, 1, "left", 50.0, 32.0, 30.0, 10.0, 600.0, 800.0, False), (1, p, 2, f"body {'abcd'[p]}", 50.0, 300.0, 200.0, 10.0, 600.0, 800.0, False), (1, p, 3, str(p), 300.0, 780.0, 10.0, 10.0, 600.0, 800.0, False)]
+    lines = spark.createDataFrame(rows, kind)
+    running = R.repeated_lines(lines)
+    assert sorted((r.page_index, r.text) for r in R.without(lines, running).collect()) == [(p, f"body {'abcd'[p]}") for p in range(4)]
+    made = {(r.page_index, r.part): (r.lines, r.x, r.y, r.w, r.h, r.text) for r in R.furniture(running).collect()}
+    assert made[2, "head"] == (2, 50.0, 20.0, 100.0, 22.0, "Report 2024\nleft") and made[3, "foot"] == (1, 300.0, 780.0, 10.0, 10.0, "3") and len(made) == 8
+    assert R.furniture(running.limit(0)).collect() == []

@@ -31,3 +31,17 @@ def repeated_lines(lines: DataFrame, doc: str = "doc_id", page: str = "page_inde
     # distinct pages of a place: the last of their dense ranks
     placed = placed.withColumn("_page_rank", F.dense_rank().over(Window.partitionBy(*spot).orderBy(page)))
     return placed.withColumn("_there", F.max("_page_rank").over(Window.partitionBy(*spot))).where("_there >= _needed").select(*lines.columns, "band")
+
+
+def without(lines: DataFrame, running: DataFrame, doc: str = "doc_id", page: str = "page_index") -> DataFrame:
+    """The lines of pages' bodies: those (doc, page, line_id) that are no running head or foot."""
+    return lines.join(running.select(doc, page, "line_id"), [doc, page, "line_id"], "left_anti")
+
+
+def furniture(running: DataFrame, doc: str = "doc_id", page: str = "page_index") -> DataFrame:
+    """doc, page, part (head or foot), lines, x, y, w, h, text: what a page has of running lines, those beside the text in
+    the head, as lines from top to bottom and left to right."""
+    part = F.when(F.col("band") == "footer", "foot").otherwise("head")
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("y", "x", "line_id", "text"))), lambda s: s["text"])
+    boxed = running.groupBy(doc, page, part.alias("part")).agg(F.count("*").alias("lines"), F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("_r"), F.max(F.col("y") + F.col("h")).alias("_b"), F.array_join(texts, "\n").alias("text"))
+    return boxed.select(doc, page, "part", "lines", "x", "y", (F.col("_r") - F.col("x")).alias("w"), (F.col("_b") - F.col("y")).alias("h"), "text")

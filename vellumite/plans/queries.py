@@ -440,16 +440,38 @@ HEAD_SQL = f"""WITH {LINES_SQL},
  SELECT f.doc_id, f.page_index, f.seq AS line_id, f.band FROM f JOIN k USING (doc_id, band, key)"""
 
 
-@query(HEAD_SQL)
-def repeated_boilerplate(spark, sf):
-    """Pages of documents taken as pages of 25 books: the first line of each becomes a running title, the second a number."""
+def _books(spark, sf) -> DataFrame:
+    """Pages of documents taken as pages of books of 40 documents: the first line of each becomes a running title, the second a number."""
     lines = text_lines(table(spark, sf, "documents"))
     d, n = F.col("doc_id"), F.col("n")
     text = F.when(n == 0, F.concat(F.lit("Chapter "), (d % 3).cast("string"), F.lit(" Title 7"))).when(n == 1, d.cast("string")).otherwise(F.col("text"))
     y = F.when(n == 0, F.lit(40.0) + d % 5).when(n == 1, 780.0).otherwise(300.0)
     page = F.dense_rank().over(Window.partitionBy(F.floor(d / 40)).orderBy("doc_id", "page_index"))
     pages = lines.select(F.floor(d / 40).alias("doc_id"), page.cast("long").alias("page_index"), F.col("seq").cast("long").alias("line_id"), text.alias("text"), F.lit(72.0).alias("x"), y.alias("y"), F.lit(100.0).alias("w"), F.lit(10.0).alias("h"), F.lit(595.0).alias("page_width"), F.lit(842.0).alias("page_height"), F.lit(False).alias("rotated"))
-    return R.repeated_lines(pages).select("doc_id", "page_index", "line_id", "band")
+    return pages
+
+
+@query(HEAD_SQL)
+def repeated_boilerplate(spark, sf):
+    return R.repeated_lines(_books(spark, sf)).select("doc_id", "page_index", "line_id", "band")
+
+
+HEAD_CTE = HEAD_SQL[: HEAD_SQL.rindex(" SELECT f.doc_id")] + ", rl AS (SELECT f.* FROM f JOIN k USING (doc_id, band, key))"
+
+
+@query(HEAD_CTE + """ SELECT doc_id, page_index, CASE band WHEN 'footer' THEN 'foot' ELSE 'head' END AS part, count(*) AS lines, min(y) AS y, max(y) + 10 - min(y) AS h, string_agg(text, chr(10) ORDER BY y, seq) AS text FROM rl GROUP BY ALL""")
+def page_furniture(spark, sf):
+    """Heads and feet of the books' pages, as a writer repeats them."""
+    return R.furniture(R.repeated_lines(_books(spark, sf))).select("doc_id", "page_index", "part", "lines", "y", "h", "text")
+
+
+@query(HEAD_CTE + """ SELECT doc_id, page_index, seq AS line_id FROM pg ANTI JOIN rl USING (doc_id, page_index, seq)""")
+def body_lines(spark, sf):
+    """What is left of the books' pages without running heads and feet."""
+    pages = _books(spark, sf)
+    return R.without(pages, R.repeated_lines(pages)).select("doc_id", "page_index", "line_id")
+
+
 
 
 # --- image plans ------------------------------------------------------------------------------------------------------
