@@ -31,8 +31,8 @@ def test_every_word_is_in_a_line_and_a_region(spark, tmp_path):
 
 
 def test_overlaps_of_boxes_far_apart_in_key(spark, tmp_path):
-    rows = [(40 * k * 17 % 28000, k * 7 % 50 + 1) for k in range(1, 700)]
-    box = {i: (i % 40, i * 37 % 500, i * 91 % 700, 5 + s, 8 + s % 9) for i, s in rows}
+    rows = [(k * 17 % 701, k * 7 % 400 + 1) for k in range(1, 700)]
+    box = {i: (i // 200, i * 37 % 500, i * 91 % 700, 5 + s, 8 + s % 9) for i, s in rows}
     want = {}
     for i, (p, x, y, w, h) in box.items():
         for j, (q, u, v, m, n) in box.items():
@@ -52,7 +52,7 @@ def test_letters_of_code_page_1252_stay_in_pdf_files(spark, tmp_path):
 
 
 def test_heads_are_found_on_later_pages(spark, tmp_path):
-    rows = [(25, "\n".join(f"line {i}" for i in range(135))), (50, "one\ntwo")]
+    rows = [(45, "\n".join(f"line {i}" for i in range(135))), (70, "one\ntwo")]
     made = run(spark, tmp_path, "repeated_boilerplate", "documents", rows, "doc_id long, text string")
     assert {(r.page_index, r.line_id, r.band) for r in made if r.band == "footer"} == {(1, 1, "footer"), (2, 46, "footer"), (3, 91, "footer"), (4, 1, "footer")}
     assert {(r.page_index, r.line_id) for r in made if r.band == "header"} >= {(1, 0), (2, 45), (3, 90)}
