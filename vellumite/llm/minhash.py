@@ -45,7 +45,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 class Words(dict):
     """Word -> 64-bit hash; forgets at `limit` words."""
 
-    limit = 200_000
+    limit = 100_000
 
     def __missing__(self, word: bytes) -> int:
         self[word] = h = xxhash.xxh3_64_intdigest(word)
@@ -366,7 +366,7 @@ def spanning(sketch: list[bytes], n: np.ndarray, root: np.ndarray, node: np.ndar
     return found
 
 
-def joining_pairs(placed: DataFrame, percent: int, block: int, per_task: int = 20_000) -> DataFrame:
+def joining_pairs(placed: DataFrame, percent: int, block: int, per_task: int = 5_000) -> DataFrame:
     """Pairs (a, b) by `spanning` of each block of the groups; placed may have the column _set.
 
     A group is dealt to blocks of about `block` members; strays go to every block of their group as well. Blocks are many
