@@ -417,7 +417,7 @@ def test_neighbours_recall_and_odd_vectors(spark):
     v = rng.standard_normal((1500, 16))
     rows = [(i, x.tolist(), "k") for i, x in enumerate(v)] + [(5000, None, "k"), (5001, [0.0] * 16, "k"), (5002, [float("nan")] * 16, "k"), (5003, [1.0, 2.0], "k"), (7, v[7].tolist(), "k"), (None, v[3].tolist(), "k"), (5004, v[9].tolist(), "k")]
     table_ = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
-    got = ann.search(table_, table_.where("vec_id % 50 = 0 or vec_id > 4999"), share=0.6, least=150, block_rows=400, query_rows=10).toPandas()
+    got = ann.search(table_, table_.where("vec_id % 50 = 0 or vec_id > 4999"), share=0.3, block_rows=400, query_rows=10).toPandas()
     hits = []
     for q, part in got.groupby("query_id"):
         part = part.sort_values("rank")

@@ -3,9 +3,10 @@
 Vectors are dealt by hash to blocks of about `block_rows`. In a block every tree holds the block's vectors as a sorted
 array of long hash strings: bit i says on which side of its i-th hyperplane a vector lies, hyperplanes being drawn at
 random and cut at the median of a bounded sample. For a query each tree descends to the longest prefix it shares with an
-entry, which is a pair of binary searches for each length; then all trees ascend together, one bit at a time, until the
-entries that share the prefixes number at least the wanted share of the block. Candidates are ranked by their exact
-distance, and the blocks' best are merged. Blocks hold their vectors once, however many trees there are.
+entry, which is a pair of binary searches for each length; then all trees ascend together, one bit at a time, for more
+candidates, until those met, an entry once for each tree, number `mentions` times the block's rows. Entries rank by the
+bits they share with the query in all trees, as far as the ascent came; the first `share` of the block get exact distances,
+and the blocks' best are merged. Blocks hold their vectors once, however many trees there are.
 
 Every vector travels once, to its block; queries travel to every block. A task reads a block's vectors, then lets its
 queries pass in batches, so that it holds one block and one batch, however many queries there are.
@@ -39,7 +40,7 @@ class Forest:
         return out
 
 
-def fit(rows: DataFrame, n: int, vector: str = "embedding", key: str = "vec_id", trees: int = 32, bits: int = 32, sample: int = 8192, seed: int = 9) -> Forest | None:
+def fit(rows: DataFrame, n: int, vector: str = "embedding", key: str = "vec_id", trees: int = 128, bits: int = 32, sample: int = 8192, seed: int = 9) -> Forest | None:
     """Learns the cuts from at most `sample` of the n rows, those of the least hashed keys. None without rows."""
     v = F.col(vector).cast("array<double>").alias("_v")
     picked = rows.where(unit(F.col(key), seed=seed) < min(1.0, 1.25 * sample / n)) if n else rows
@@ -70,31 +71,44 @@ class Block:
         self.order = np.argsort(strings, axis=1, kind="stable")
         self.arrays = np.take_along_axis(strings, self.order, 1)
 
-    def nearest(self, query_ids: np.ndarray, queries: np.ndarray, k: int, share: float, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def shared_bits(self, first: np.ndarray, last: np.ndarray, mentions: float) -> np.ndarray:
+        """For a query's ranges (lengths x trees) in the sorted arrays: the bits that each row shares with it, by the trees
+        that met it in the ascent."""
+        n, trees = len(self.ids), np.arange(first.shape[1])
+        enough = np.flatnonzero((last - first).sum(1) >= mentions * n)
+        stop = max(1, int(enough[-1])) if len(enough) else 1
+        begin, sizes = first[stop], last[stop] - first[stop]
+        at = np.cumsum(sizes) - sizes - begin  # what takes a place in a tree's array to one among all ranges
+        # longer prefixes' ranges lie within shorter ones', so that a running sum of their ends is the depth at each place
+        ends = [np.bincount((at + x[stop:]).ravel(), minlength=int(sizes.sum()) + 1) for x in (first, last)]
+        depth = np.cumsum(ends[0] - ends[1])[:-1]
+        # a place within the range of prefixes stop .. stop + depth - 1 shares stop + depth - 1 bits
+        met = np.concatenate([self.order[t, begin[t] : begin[t] + sizes[t]] for t in trees])
+        return np.bincount(met, weights=depth + stop - 1, minlength=n)
+
+    def nearest(self, query_ids: np.ndarray, queries: np.ndarray, k: int, share: float, mentions: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Query id, row id and distance of the k nearest candidates for each query."""
         ids, (trees, bits, _) = self.ids, self.forest.planes.shape
-        want = min(len(ids), max(least, int(np.ceil(share * len(ids)))))
         asked = self.forest.strings(queries)
         # where each query's prefix of each length begins and ends in each tree's array
-        first = np.empty((bits + 1, trees, len(queries)), np.int64)
+        first = np.empty((bits + 1, trees, len(queries)), np.int32)
         last = np.empty_like(first)
         for length in range(bits + 1):
             free = np.uint64((1 << (bits - length)) - 1)
             for t in range(trees):
                 first[length, t] = np.searchsorted(self.arrays[t], asked[t] & ~free, "left")
                 last[length, t] = np.searchsorted(self.arrays[t], asked[t] | free, "right")
-        within = (last - first).sum(1)
         out = []
         for q in range(len(queries)):
-            length = int(np.flatnonzero(within[:, q] >= want)[-1])
-            while True:
-                mark = np.zeros(len(ids), bool)
-                for t in range(trees):
-                    mark[self.order[t, first[length, t, q] : last[length, t, q]]] = True
-                if length == 0 or np.count_nonzero(mark) >= want:
+            rank = self.shared_bits(first[:, :, q].astype(np.int64), last[:, :, q].astype(np.int64), mentions)
+            others = np.flatnonzero(ids != query_ids[q])
+            rank, want = rank[others], max(4 * k, int(np.ceil(share * len(ids))))
+            while True:  # again with more, should a few ids hold all candidates
+                # entries of equal rank are all in, so that the rows' order decides nothing
+                at = others if want >= len(others) else others[rank >= np.partition(rank, len(others) - want)[len(others) - want]]
+                if len(at) == len(others) or len(np.unique(ids[at])) >= k:
                     break
-                length -= 1
-            at = np.flatnonzero(mark & (ids != query_ids[q]))
+                want *= 2
             distance = np.sqrt(((self.vectors[at] - queries[q]) ** 2).sum(1))
             near = np.lexsort((ids[at], distance))
             near = near[np.sort(np.unique(ids[at][near], return_index=True)[1])][:k]
@@ -102,10 +116,10 @@ class Block:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int = 10, vector: str = "embedding", key: str = "vec_id", share: float = 0.5, least: int = 2048, block_rows: int = 8192, query_rows: int = 1024, **options) -> DataFrame:
+def search(rows: DataFrame, queries: DataFrame, k: int = 10, vector: str = "embedding", key: str = "vec_id", share: float = 0.2, mentions: float = 12.0, block_rows: int = 8192, query_rows: int = 256, **options) -> DataFrame:
     """Per query: query_id, rank (from 1), vec_id, score (Euclidean distance), the k nearest found among rows of other ids.
 
-    share of a block's vectors, `least` at least, are candidates: a block of no more than `least` is searched whole.
+    share of a block's vectors are candidates, and not fewer than 4 * k of them.
     Vectors that are null, zero, not finite or of another length than most of the sample, and rows of a null id, take no part.
     Repeated rows of one id count once, by their nearest vector. An empty side gives an empty result."""
     schema = "query_id long, vec_id long, score double"
@@ -150,7 +164,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, vector: str = "embe
                     continue
                 for c in range(a, b, query_rows):
                     d = min(b, c + query_rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in block.nearest(ids[c:d], vectors[c:d], k, share, least)], names=["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in block.nearest(ids[c:d], vectors[c:d], k, share, mentions)], names=["query_id", "vec_id", "score"])
 
     found = dealt.mapInArrow(run, schema).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
