@@ -336,6 +336,45 @@ def test_surrogates_keep_type_and_form(spark):
     assert pii.pseudonymize(table(spark, []), "key").count() == 0
 
 
+NAMED = [
+    (1, "Mr. John Smith met Dr. Jane García-López. Later John Smith's wife and Jane García-López left; John Smithson stayed.", "en", "a"),
+    (2, "Dr. John Smith wrote to Mrs. Jane García-López and to Dr. Jean-Luc O'Brien.", "en", "a"),
+    (3, "John Smith is named here without a title.", "en", "a"),
+    (4, "Mr. Kim Lee and Ms. Kim Park and Dr. Kim Moss; Kim Lee again.", "en", "a"),
+]
+
+
+def names_of(pattern, text):
+    found = re.fullmatch(pattern, text)
+    assert found, text
+    return found.groups()
+
+
+@pytest.mark.parametrize("listed", [20_000, 0])
+def test_names_are_one_person_throughout(spark, listed):
+    """Bare mentions of a titled name, genders from other titles, hyphens and apostrophes, by both ways of looking up."""
+    rows = [*NAMED, *((100 + i, f"Mr. Given{chr(97 + i % 26)}{chr(97 + i // 26)} Family{chr(97 + i % 26)}{chr(97 + i // 26)} signed.", "en", "a") for i in range(40)), *ODD]
+    docs = table(spark, rows)
+    got = pii.pseudonymize(docs, "key", listed=listed)
+    out = {r.doc_id: r.text for r in got.collect()}
+    word, two = r"([A-Z]\w+(?:-[A-Z]\w+)*)", r"([A-Z]\w+-[A-Z]\w+)"
+    john, smith, jane, lopez, *again = names_of(rf"Mr\. {word} {word} met Dr\. {word} {two}\. Later {word} {word}'s wife and {word} {two} left; John Smithson stayed\.", out[1])
+    assert again == [john, smith, jane, lopez] and not {john, smith, jane, lopez} & {"John", "Smith", "Jane", "García-López"}
+    assert set(john.split("-")) <= set(pii.GIVEN["latin", "m"]) and set(jane.split("-")) <= set(pii.GIVEN["latin", "f"])
+    other = names_of(rf"Dr\. {word} {word} wrote to Mrs\. {word} {two} and to Dr\. {two} ([A-Z])'([A-Z]\w+)\.", out[2])
+    assert list(other[:4]) == [john, smith, jane, lopez]
+    assert out[3] == NAMED[2][1]
+    kim = names_of(rf"Mr\. {word} {word} and Ms\. {word} {word} and Dr\. {word} {word}; {word} {word} again\.", out[4])
+    assert kim[:2] == kim[6:] and len({kim[0], kim[2], kim[4]}) == 3
+    signed = [names_of(rf"Mr\. {word} {word} signed\.", out[100 + i]) for i in range(40)]
+    assert len({g for g, _ in signed}) == 40 and len({f for _, f in signed}) == 40
+    assert not {g for g, _ in signed} & {john, jane, kim[0], kim[2], kim[4]}
+    for key, text, *_ in ODD:
+        assert out[key] == text
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert ("Exchange" in plan) == (listed == 0)  # no shuffle of texts while the table is small
+
+
 def test_clashing_surrogates_take_further_attempts(spark):
     """Addresses of one letter: many surrogates meet, and are real ones besides."""
     rows = [(i, f"{c}@a.b", "en", "s") for i, c in enumerate("abcdefgh")] + [(50, "see a@a.b and h@a.b", "en", "s")]

@@ -6,18 +6,24 @@ the same type and form that depends on a key and on the entity's normal form onl
 all documents (coreference): digits stay digits and letters stay letters of their script and case, separators and country
 codes stay, card numbers stay valid or invalid by their check digit, IBANs stay valid, address bytes stay in range. A
 name's words are entities of their own: a surname has one surrogate with any title, with or without a given name; a given
-name keeps its gender (told by the title), and both keep their script. Initials become other initials.
+name keeps its gender, and both keep their script, hyphens and apostrophes. Initials become other initials. A full
+name found after a title is replaced in the same text where it stands without one, too. Gender is told by the name's own
+title, or else by its other mentions in the text, or else by the only gender that titles give that name anywhere.
 
 Distinctness: all distinct entities and their surrogates are compared across the documents. Of entities that share a
 surrogate, or whose surrogate is another entity, all but one take the next attempt, until none clash. Later attempts have
-more room: surnames get further syllables, given names further names, e-mail addresses further letters. Entities that need
-attempts are joined to the documents that hold them; others are replaced in place, without a shuffle.
+more room: surnames get further syllables, given names further names, e-mail addresses further letters. What was found out
+about entities so (attempts, genders) is looked up in a table within the plan while it has at most `listed` entries, so
+that texts aren't shuffled; beyond that it is joined to the documents, whose texts are written once for it.
 
 All of it is DataFrame and SQL functions.
 """
 
 from __future__ import annotations
 
+import hashlib
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,16 +117,38 @@ def _form(kind: Column, gender: Column, entity: Column) -> Column:
     return F.when(~kind.isin("literal", "initial"), form)
 
 
-def atoms(found: Column, pieces: Column) -> Column:
-    """Entities of a text and the text's pieces between them -> array of structs: pre (the text before it), entity, kind,
-    gender, form. A name is one struct a word."""
+def _title(name: Column) -> Column:
+    return F.regexp_extract(name, rf"\A(?:{_TITLE})+", 0)
+
+
+def _told(title: Column) -> Column:
+    """The gender that titles tell: m, f or x."""
     genders = {g: rf"(?iu)(?:\A| )(?:{'|'.join(TITLES[g])})\.? " for g in "fm"}
+    return F.when(title.rlike(genders["f"]), "f").when(title.rlike(genders["m"]), "m").otherwise("x")
+
+
+def full_names(found: Column) -> Column:
+    """Names of more than one word among a text's entities -> array of structs: name (without its titles), gender."""
+    names = F.transform(F.filter(found, lambda e: kind_of(e) == "name"), lambda e: F.struct(F.substring(e, F.length(_title(e)) + 1, F.length(e)).alias("name"), _told(_title(e)).alias("gender")))
+    return F.filter(names, lambda x: x["name"].contains(" "))
+
+
+def with_names(names: Column) -> Column:
+    """The pattern of all entities and of these names as they stand, whole words only."""
+    bare = F.array_join(F.array_distinct(F.transform(names, lambda x: F.replace(x["name"], F.lit("."), F.lit(r"\.")))), "|")
+    return F.concat(F.lit(rf"{ANY}|(?<![\p{{L}}\p{{N}}-])(?:"), bare, F.lit(r")(?![\p{L}\p{N}]|-\p{L})"))
+
+
+def atoms(found: Column, pieces: Column, names: Column) -> Column:
+    """Entities of a text, the text's pieces between them and its full names -> array of structs: pre (the text before it),
+    entity, kind, gender, form. A name is one struct a word."""
 
     def of(e: Column, i: Column) -> Column:
-        before, kind = F.element_at(pieces, i + 1), kind_of(e)
-        title = F.regexp_extract(e, rf"\A(?:{_TITLE})+", 0)
-        gender = F.when(title.rlike(genders["f"]), "f").when(title.rlike(genders["m"]), "m").otherwise("x")
-        words = F.split(F.substring(e, F.length(title) + 1, F.length(e)), " ")
+        before, kind, title = F.element_at(pieces, i + 1), kind_of(e), _title(e)
+        bare = F.substring(e, F.length(title) + 1, F.length(e))
+        others = F.array_distinct(F.transform(F.filter(names, lambda x: (x["gender"] != "x") & (F.lower(x["name"]) == F.lower(bare))), lambda x: x["gender"]))
+        gender = F.when(_told(title) != "x", _told(title)).when(F.size(others) == 1, F.get(others, F.lit(0))).otherwise("x")
+        words = F.split(bare, " ")
 
         def word(w: Column, j: Column) -> Column:
             part = F.when(w.isin(PARTICLES), "literal").when(w.rlike(r"\A\p{Lu}\.\z"), "initial").when(j == F.size(words) - 1, "surname").otherwise("given")
@@ -198,12 +226,30 @@ def _finished(x: Column) -> Column:
     iban = F.concat(F.substring(changed, 1, 2), F.lpad((98 - _mod97(bare)).cast("string"), 2, "0"), F.substring(changed, F.lit(5), F.length(changed)))
     script = F.when(entity.rlike(r"\A\p{IsLatin}"), "latin").when(entity.rlike(r"\A\p{IsCyrillic}"), "cyrillic").when(entity.rlike(r"\A\p{IsGreek}"), "greek").otherwise("other")
 
+    # words between hyphens and apostrophes are replaced one by one; the last has the room of further attempts
+    parts = F.split(entity, "(?<=[-'’])|(?=[-'’])")
+
+    def by_parts(of) -> Column:
+        def part(w: Column, i: Column) -> Column:
+            made = of(i, i == F.size(parts) - 1)
+            made = F.when(F.length(w) == 1, F.substring(made, 1, 1)).otherwise(made) if of.__name__ == "syllables" else made
+            return F.when(w.rlike("[-'’]"), w).when(F.substring(w, 1, 1) == F.lower(F.substring(w, 1, 1)), F.lower(made)).otherwise(made)
+
+        return F.array_join(F.transform(parts, part), "")
+
     def surname(name: str) -> Column:
-        return F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), attempt + 4), lambda i: _pick(SYLLABLES[name], _draw(bits, i))), ""))
+        def syllables(i: Column, last: Column) -> Column:
+            n = F.when(F.size(parts) == 1, attempt + 4).when(last, attempt + 3).otherwise(2)
+            return F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), n), lambda j: _pick(SYLLABLES[name], _draw(bits, j + 100 * i))), ""))
+
+        return by_parts(syllables)
 
     def given(name: str) -> Column:
-        either = lambda i: F.when((x["gender"] == "f") | ((x["gender"] == "x") & (_draw(bits, F.lit(900)) % 2 == 0)), _pick(GIVEN[name, "f"], _draw(bits, i))).otherwise(_pick(GIVEN[name, "m"], _draw(bits, i)))
-        return F.array_join(F.transform(F.sequence(F.lit(0), attempt), either), "-")
+        def names(i: Column, last: Column) -> Column:
+            either = lambda j: F.when((x["gender"] == "f") | ((x["gender"] == "x") & (_draw(bits, F.lit(900)) % 2 == 0)), _pick(GIVEN[name, "f"], _draw(bits, j + 100 * i))).otherwise(_pick(GIVEN[name, "m"], _draw(bits, j + 100 * i)))
+            return F.array_join(F.transform(F.sequence(F.lit(0), F.when(last, attempt).otherwise(0)), either), "-")
+
+        return by_parts(names)
 
     def by_script(of) -> Column:
         made = F.when(script == "latin", of("latin")).when(script == "cyrillic", of("cyrillic")).when(script == "greek", of("greek")).otherwise(changed)
@@ -215,12 +261,15 @@ def _finished(x: Column) -> Column:
 
 
 def with_surrogates(df: DataFrame, of: str, into: str, secret: str, tries) -> DataFrame:
-    """Adds the array `into` of surrogates for an array made by `atoms`; tries(i): the attempt for its i-th entity.
+    """Adds the array `into` of surrogates for an array made by `atoms`; tries(i, x): for its i-th entity x, a struct of the
+    attempt and of the gender found out elsewhere, or null.
 
     Each step is a column of its own, so that what several expressions use is worked out once."""
     kept = lambda x: (x["entity"], x["kind"], x["gender"])
-    df = df.withColumn(into, F.transform(of, lambda x, i: F.struct(*kept(x), x["form"], tries(i).cast("int").alias("attempt"))))
-    df = df.withColumn(into, F.transform(into, lambda x: F.struct(*kept(x), x["attempt"], F.sha2(F.concat_ws("|", F.lit(secret), F.coalesce(x["form"], x["entity"]), x["attempt"].cast("string")), 256).alias("bits"))))
+    df = df.withColumn(into, F.transform(of, lambda x, i: F.struct(x["entity"], x["kind"], x["gender"].alias("own"), x["form"], tries(i, x).alias("tries"))))
+    df = df.withColumn(into, F.transform(into, lambda x: F.struct(x["entity"], x["kind"], F.coalesce(x["tries"]["gender"], x["own"]).alias("gender"), x["form"], F.coalesce(x["tries"]["attempt"], F.lit(0)).alias("attempt"))))
+    form = lambda x: F.coalesce(F.when(x["form"].isNotNull(), _form(x["kind"], x["gender"], x["entity"])), x["entity"])
+    df = df.withColumn(into, F.transform(into, lambda x: F.struct(*kept(x), x["attempt"], F.sha2(F.concat_ws("|", F.lit(secret), form(x), x["attempt"].cast("string")), 256).alias("bits"))))
     df = df.withColumn(into, F.transform(into, lambda x: F.struct(*kept(x), x["attempt"], x["bits"], _changed(x).alias("changed"))))
     return df.withColumn(into, F.transform(into, _finished))
 
@@ -229,46 +278,86 @@ def attempts(distinct: DataFrame, secret: str, rounds: int = 64) -> DataFrame:
     """distinct (form, entity, kind, gender) -> form, attempt, for those whose attempt isn't 0.
 
     Names and e-mail addresses find room in a few rounds, since attempts grow. Numbers have as many surrogates as their
-    form allows; should most of these be taken, those still clashing after all rounds keep their last attempt."""
+    form allows; should most of these be taken, those still clashing after all rounds keep their last attempt, and a warning
+    tells their number."""
     now = durable(distinct.withColumn("attempt", F.lit(0)))
-    real = distinct.select(F.col("form").alias("_made"), F.lit(True).alias("_real"))
+    # a given name's surrogate is compared whatever its gender
+    real = distinct.select(_form(F.col("kind"), F.lit("any"), F.col("entity")).alias("_made"), F.lit(True).alias("_real")).distinct()
     for _ in range(rounds):
         whole = now.withColumn("_e", F.array(F.struct("entity", "kind", "gender", "form")))
-        made = with_surrogates(whole, "_e", "_m", secret, lambda i: F.col("attempt")).select("form", "attempt", _form(F.col("kind"), F.col("gender"), F.element_at("_m", 1)).alias("_made"))
+        made = with_surrogates(whole, "_e", "_m", secret, lambda i, x: F.struct(F.col("attempt"), F.lit(None).cast("string").alias("gender"))).select("form", "attempt", _form(F.col("kind"), F.lit("any"), F.element_at("_m", 1)).alias("_made"))
         shared = made.groupBy("_made").agg(F.count("*").alias("_n"), F.min(F.struct("attempt", "form")).alias("_first")).where("_n > 1").select("_made", "_first")
         clash = made.join(shared, "_made", "left").join(real, "_made", "left")
         bad = durable(clash.where(F.col("_real") | (F.col("_first")["form"] != F.col("form"))).select(F.col("form").alias("_bad")))
         if not bad.limit(1).count():
             break
         now = durable(now.join(bad, F.col("form") == F.col("_bad"), "left").withColumn("attempt", F.col("attempt") + F.col("_bad").isNotNull().cast("int")).drop("_bad"))
+    else:
+        warnings.warn(f"after {rounds} attempts {bad.count()} entities share a surrogate or meet another entity", stacklevel=2)
     return now.where("attempt > 0").select("form", "attempt")
 
 
-def pseudonymize(docs: DataFrame, secret: str, text: str = "text", into: str = "n_entities") -> DataFrame:
+def known(told: DataFrame, secret: str) -> DataFrame:
+    """told (form, entity, kind, gender): a row for each mention -> form, attempt, gender for entities of which something was
+    found out: an attempt other than 0, or the gender of a given name that only titles of one gender go with elsewhere."""
+    listed = durable(told.groupBy("form").agg(F.min(F.struct("entity", "kind", "gender")).alias("x")).select("form", "x.*"))
+    given = listed.where("kind = 'given'").groupBy(F.lower("entity").alias("_name")).agg(F.collect_set("gender").alias("_genders"))
+    carried = given.where(F.array_contains("_genders", "x") & (F.size("_genders") == 2)).select(F.concat(F.lit("given:x:"), "_name").alias("form"), F.array_min("_genders").alias("gender"))
+    carried = durable(carried)  # x is the greatest of the three
+    tried = attempts(listed.join(carried.select("form"), "form", "left_anti"), secret)
+    alike = carried.withColumn("_as", F.concat(F.lit("given:"), "gender", F.substring("form", 8, 1 << 30)))
+    alike = alike.join(tried.withColumnRenamed("form", "_as"), "_as", "left").select("form", F.coalesce("attempt", F.lit(0)).alias("attempt"), "gender")
+    return tried.select("form", "attempt", F.lit(None).cast("string").alias("gender")).unionByName(alike)
+
+
+def lookup(entries: list, form: Column) -> Column:
+    """For a form, struct(attempt, gender) of entries (form, attempt, gender), or null: a hash table within the plan.
+
+    A slot is a line of `form attempt gender` between tabs; forms hold no blanks."""
+    slots = max(1, len(entries))
+    lines = [""] * slots
+    for e in entries:
+        at = int.from_bytes(hashlib.md5(e["form"].encode()).digest()[:4], "big") % slots
+        lines[at] += f"\t{e['form']} {e['attempt']} {e['gender'] or ''}\t"
+    slot = F.conv(F.substring(F.md5(form.cast("binary")), 1, 8), 16, 10).cast("long") % slots
+    line = F.element_at(F.split(F.lit("\n".join(lines)), "\n"), (slot + 1).cast("int"))
+    mark = F.concat(F.lit("\t"), form, F.lit(" "))
+    rest = F.split(F.substring_index(F.call_function("substring_index", line, mark, F.lit(-1)), "\t", 1), " ")
+    gender = F.get(rest, F.lit(1))
+    return F.when(line.contains(mark), F.struct(F.get(rest, F.lit(0)).cast("int").alias("attempt"), F.when(gender != "", gender).alias("gender")))
+
+
+def pseudonymize(docs: DataFrame, secret: str, text: str = "text", into: str = "n_entities", listed: int = 20_000) -> DataFrame:
     """docs with `text` replaced and a count `into` of entities added (a column of that name is replaced).
 
     Null stays null; texts without entities stay as they are; repeated rows are each treated. With the same secret an
-    entity that needs no further attempt has the same surrogate in every run and table. A given name after a title that
-    tells no gender is another entity than the same name after one that does."""
+    entity of which nothing else was found out has the same surrogate in every run and table."""
     # the row travels as one struct, so that no column of docs meets one of this function's
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != into]).alias("_row"), F.col(text).alias("_text"))
-    found = base.withColumn("_found", entities(F.col("_text"))).withColumn("_pieces", F.when(F.size("_found") > 0, F.split("_text", ANY)))
-    found = found.withColumn("_atoms", atoms(F.col("_found"), F.col("_pieces")))
-    told = found.select(F.explode("_atoms").alias("x")).where("x.form is not null")
-    listed = told.groupBy("x.form").agg(F.min(F.struct("x.entity", "x.kind", "x.gender")).alias("x")).select("form", "x.*")
-    again = durable(attempts(durable(listed), secret))
+    found = base.withColumn("_first", entities(F.col("_text"))).withColumn("_names", full_names(F.col("_first")))
+    some = F.size("_names") > 0
+    found = found.withColumn("_found", F.when(some, F.regexp_extract_all("_text", F.concat(F.lit("("), with_names(F.col("_names")), F.lit(")")), F.lit(1))).otherwise(F.col("_first")))
+    found = found.withColumn("_pieces", F.when(F.size("_found") > 0, F.when(some, F.split("_text", with_names(F.col("_names")))).otherwise(F.split("_text", ANY))))
+    found = found.withColumn("_atoms", atoms(F.col("_found"), F.col("_pieces"), F.col("_names")))
+    # a text's atoms and the rest behind them hold all of it
+    held = F.when(F.size("_found") > 0, F.lit(None)).otherwise(F.col("_text"))
+    n = F.size(F.filter("_found", lambda e: kind_of(e) != "literal")).cast("long")
+    found = found.select(F.col("_row").withField(f"`{text}`", held).alias("_row"), n.alias("_count"), "_atoms", F.element_at("_pieces", -1).alias("_rest"))
+    told = found.select(F.explode("_atoms").alias("x")).where("x.form is not null").select("x.form", "x.entity", "x.kind", "x.gender")
+    again = durable(known(told, secret))
 
     def replaced(df: DataFrame, tries) -> DataFrame:
         df = with_surrogates(df, "_atoms", "_made", secret, tries)
         woven = F.array_join(F.zip_with("_atoms", "_made", lambda x, m: F.concat(x["pre"], m)), "")
-        text_ = F.when(F.size("_found") > 0, F.concat(woven, F.element_at("_pieces", -1))).otherwise(F.col("_text"))
-        n = F.size(F.filter("_found", lambda e: kind_of(e) != "literal")).cast("long")
-        return df.select(F.col("_row").withField(f"`{text}`", text_).alias("_row"), n.alias(into)).select("_row.*", into)
-
-    if not again.limit(1).count():
-        return replaced(found, lambda i: F.lit(0))
-    # mentions of entities that have attempts are looked up; rows are told apart by a number, since keys may repeat
+        text_ = F.when(F.size("_atoms") > 0, F.concat(woven, F.col("_rest"))).otherwise(F.col(f"_row.`{text}`"))
+        return df.select(F.col("_row").withField(f"`{text}`", text_).alias("_row"), F.col("_count").alias(into)).select("_row.*", into)
+
+    entries = again.limit(listed + 1).collect()
+    if len(entries) <= listed:
+        nothing = F.lit(None).cast("struct<attempt:int,gender:string>")
+        return replaced(found, lambda i, x: lookup(entries, x["form"]) if entries else nothing)
+    # mentions are looked up by a join; rows are told apart by a number, since keys may repeat
     numbered = durable(found.withColumn("_n", F.monotonically_increasing_id()))
     mentions = numbered.select("_n", F.posexplode("_atoms").alias("_i", "x")).select("_n", "_i", "x.form")
-    tries = mentions.join(broadcast_if_small(again), "form").groupBy("_n").agg(F.map_from_entries(F.collect_list(F.struct("_i", "attempt"))).alias("_tries"))
-    return replaced(numbered.join(tries, "_n", "left"), lambda i: F.coalesce(F.element_at("_tries", i), F.lit(0)))
+    tries = mentions.join(broadcast_if_small(again), "form").groupBy("_n").agg(F.map_from_entries(F.collect_list(F.struct("_i", F.struct("attempt", "gender")))).alias("_tries"))
+    return replaced(numbered.join(tries, "_n", "left"), lambda i, x: F.element_at("_tries", i))
