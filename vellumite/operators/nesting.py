@@ -40,16 +40,16 @@ def nested_lists(items: DataFrame, by: Sequence[str], seq: str, level: str, orde
     return df.drop("_e", *[f"_l{k}" for k in range(levels)])
 
 
-def dense_grid(cells: DataFrame, by: Sequence[str], order: str) -> DataFrame:
+def dense_grid(cells: DataFrame, by: Sequence[str], order: str, ties: Sequence[str] = ()) -> DataFrame:
     """cells (by, row, col, row_span, col_span, and whatever else) -> the cells a writer lists, row by row.
 
     A table is as large as its cells reach. Places that another cell spans are left out, and so is a cell that begins in
-    such a place; of several that begin in one place the last by `order` stays; a place that none covers gets an empty
-    cell of one by one. Spans under 1 count as 1; cells without a place are left out."""
+    such a place; of several that begin in one place the last by `order` stays, of equally late ones the first by `ties`;
+    a place that none covers gets an empty cell of one by one. Spans under 1 count as 1; cells without a place are left out."""
     spans = cells.where(F.col("row").isNotNull() & F.col("col").isNotNull())
     for c in ("row_span", "col_span"):
         spans = spans.withColumn(c, F.greatest(F.coalesce(F.col(c), F.lit(1)), F.lit(1)).cast("int"))
-    last = F.row_number().over(Window.partitionBy(*by, "row", "col").orderBy(F.col(order).desc()))
+    last = F.row_number().over(Window.partitionBy(*by, "row", "col").orderBy(F.col(order).desc(), *ties))
     size = spans.groupBy(*by).agg(F.max(F.col("row") + F.col("row_span")).cast("int").alias("_rows"), F.max(F.col("col") + F.col("col_span")).cast("int").alias("_cols"))
     upto = lambda n: F.sequence(F.lit(0), n - 1)
     places = size.select(*by, "_cols", F.explode(upto(F.col("_rows"))).alias("_r")).select(*by, "_r", F.explode(upto(F.col("_cols"))).alias("_c"))
