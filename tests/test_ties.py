@@ -8,7 +8,7 @@ from vellumite.catalog import ORACLES, QUERIES
 LINE = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string"
 
 
-@pytest.mark.parametrize("name", ["table_grid"])
+@pytest.mark.parametrize("name", ["table_grid", "table_text"])
 def test_grids_keep_the_first_of_equal_line_numbers(spark, tmp_path, name):
     """Spark reads larger files first, SQL the first by name: here that is neither the first nor the last that Spark reads."""
     folder = tmp_path / "lineitem.parquet"
