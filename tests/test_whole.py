@@ -43,13 +43,16 @@ def test_overlaps_of_boxes_far_apart_in_key(spark, tmp_path):
     assert len(made) == len(want) > 500 and {(r.page, r.a, r.b): r.iou for r in made} == want
 
 
-def test_covers_far_apart_in_key(spark, tmp_path):
+def test_covers_and_rules_far_apart_in_key(spark, tmp_path):
     rows = [(k * 1013 % 30011, k * 7 % 50 + 1) for k in range(1, 900)]
     box = {i: (i % 40, i * 37 % 500, i * 91 % 700, 5 + s, 8 + s % 9) for i, s in rows}
     page = lambda i: ((j, *box[j][1:]) for j in box if box[j][0] == box[i][0])
     want = {(i, j) for i, (_, x, y, w, h) in box.items() if i % 7 for j, u, v, m, n in page(i) if j % 7 == 0 and u - 1 <= x + w / 2 <= u + 8 * m + 1 and v - 1 <= y + h / 2 <= v + 30 * n + 1}
     made = run(spark, tmp_path, "containment_join", "part", rows, "p_partkey long, p_size int")
     assert len(made) == len(want) > 200 and {(r.id, r.cover) for r in made} == want
+    want = {i for i, (_, x, y, w, _) in box.items() if any(j % 3 == 0 and abs(v - y) <= 2.5 and u <= x + 3 and u + 4 * m >= x + w - 3 for j, u, v, m, _ in page(i))}
+    made = run(spark, tmp_path, "band_semi_join", "part", rows, "p_partkey long, p_size int")
+    assert sorted(r.id for r in made) == sorted(want) and 300 < len(want) < 899 and any(i % 3 for i in want)
 
 
 def test_letters_of_code_page_1252_stay_in_pdf_files(spark, tmp_path):
