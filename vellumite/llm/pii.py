@@ -166,23 +166,23 @@ def _draw(bits: Column, i: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat(bits, i.cast("string")).cast("binary")), 1, 4), 16, 10).cast("int")
 
 
-def _pick(choices: list[str], n: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, choices)), (n % len(choices)).cast("int") + 1)
+def _pick(choices: Column, n: Column) -> Column:
+    return F.element_at(choices, (n % F.size(choices)).cast("int") + 1)
 
 
-def _letter(letters: str, n: Column) -> Column:
-    return F.substring(F.lit(letters), n % len(letters) + 1, F.lit(1))
+def _letter(letters: str | Column, n: Column) -> Column:
+    letters = F.lit(letters) if isinstance(letters, str) else letters
+    return F.substring(letters, n % F.length(letters) + 1, F.lit(1))
 
 
 def _swap(x: Column, c: Column, n: Column) -> Column:
     """A character like c, by draw n: hexadecimal digits in secrets; digits, and letters of a script and case, elsewhere."""
-    letter = None
-    for script, letters in LETTERS.items():
-        if script != "Latin":
-            of = c.rlike(rf"\p{{Is{script}}}")
-            letter = F.when(of, _letter(letters, n)) if letter is None else letter.when(of, _letter(letters, n))
-    letter = letter.otherwise(_letter(LETTERS["Latin"], n))
-    letter = F.when(c.rlike("[a-z]"), _letter(LETTERS["Latin"], n)).when(c.rlike("[A-Z]"), F.upper(_letter(LETTERS["Latin"], n))).when(c.rlike(r"\p{Lu}"), F.upper(letter)).otherwise(letter)
+    # one draw from the letters of c's script, rather than one draw for each script: the plan stays small
+    letters = F.when(F.lit(False), "")
+    for script, of in LETTERS.items():
+        letters = letters if script == "Latin" else letters.when(c.rlike(rf"\p{{Is{script}}}"), of)
+    letter = _letter(letters.otherwise(LETTERS["Latin"]), n)
+    letter = F.when(c.rlike(r"\p{Lu}"), F.upper(letter)).otherwise(letter)
     digit = _letter("0123456789abcdef", n)
     digit = F.when(F.lower(x["entity"]) != x["entity"], F.upper(digit)).otherwise(digit)
     swapped = F.when(c.rlike("[0-9]"), (n % 10).cast("string")).when(c.rlike(r"\p{L}"), letter).otherwise(c)
@@ -229,35 +229,32 @@ def _finished(x: Column) -> Column:
     # words between hyphens and apostrophes are replaced one by one; the last has the room of further attempts
     parts = F.split(entity, "(?<=[-'’])|(?=[-'’])")
 
-    def by_parts(of) -> Column:
-        def part(w: Column, i: Column) -> Column:
-            made = of(i, i == F.size(parts) - 1)
-            made = F.when(F.length(w) == 1, F.substring(made, 1, 1)).otherwise(made) if of.__name__ == "syllables" else made
+    def by_parts(of, one: bool) -> Column:
+        def part(w: Column, made: Column) -> Column:
+            made = F.when(F.length(w) == 1, F.substring(made, 1, 1)).otherwise(made) if one else made
             return F.when(w.rlike("[-'’]"), w).when(F.substring(w, 1, 1) == F.lower(F.substring(w, 1, 1)), F.lower(made)).otherwise(made)
 
-        return F.array_join(F.transform(parts, part), "")
+        return F.array_join(F.zip_with(parts, F.transform(parts, lambda w, i: of(i, i == F.size(parts) - 1)), part), "")
 
-    def surname(name: str) -> Column:
-        def syllables(i: Column, last: Column) -> Column:
-            n = F.when(F.size(parts) == 1, attempt + 4).when(last, attempt + 3).otherwise(2)
-            return F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), n), lambda j: _pick(SYLLABLES[name], _draw(bits, j + 100 * i))), ""))
+    # the script and the gender choose the list, so that the plan holds each step once
+    listed = lambda of: F.when(script == "latin", F.array(*map(F.lit, of("latin")))).when(script == "cyrillic", F.array(*map(F.lit, of("cyrillic")))).otherwise(F.array(*map(F.lit, of("greek"))))
 
-        return by_parts(syllables)
+    def syllables(i: Column, last: Column) -> Column:
+        n = F.when(F.size(parts) == 1, attempt + 4).when(last, attempt + 3).otherwise(2)
+        return F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), n), lambda j: _pick(listed(lambda name: SYLLABLES[name]), _draw(bits, j + 100 * i))), ""))
 
-    def given(name: str) -> Column:
-        def names(i: Column, last: Column) -> Column:
-            either = lambda j: F.when((x["gender"] == "f") | ((x["gender"] == "x") & (_draw(bits, F.lit(900)) % 2 == 0)), _pick(GIVEN[name, "f"], _draw(bits, j + 100 * i))).otherwise(_pick(GIVEN[name, "m"], _draw(bits, j + 100 * i)))
-            return F.array_join(F.transform(F.sequence(F.lit(0), F.when(last, attempt).otherwise(0)), either), "-")
+    def names(i: Column, last: Column) -> Column:
+        female = (x["gender"] == "f") | ((x["gender"] == "x") & (_draw(bits, F.lit(900)) % 2 == 0))
+        pool = F.when(female, listed(lambda name: GIVEN[name, "f"])).otherwise(listed(lambda name: GIVEN[name, "m"]))
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.when(last, attempt).otherwise(0)), lambda j: _pick(pool, _draw(bits, j + 100 * i))), "-")
 
-        return by_parts(names)
-
-    def by_script(of) -> Column:
-        made = F.when(script == "latin", of("latin")).when(script == "cyrillic", of("cyrillic")).when(script == "greek", of("greek")).otherwise(changed)
-        return F.when((F.length(entity) > 1) & (F.upper(entity) == entity), F.upper(made)).otherwise(made)
+    def by_script(made: Column) -> Column:
+        cased = F.transform(F.array(made), lambda m: F.when((F.length(entity) > 1) & (F.upper(entity) == entity), F.upper(m)).otherwise(m))
+        return F.when(script == "other", F.when((F.length(entity) > 1) & (F.upper(entity) == entity), F.upper(changed)).otherwise(changed)).otherwise(F.get(cased, F.lit(0)))
 
     kind = x["kind"]
     made = F.when(kind == "literal", entity).when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "iban", iban)
-    return made.when(kind == "surname", by_script(surname)).when(kind == "given", by_script(given)).otherwise(changed)
+    return made.when(kind == "surname", by_script(by_parts(syllables, True))).when(kind == "given", by_script(by_parts(names, False))).otherwise(changed)
 
 
 def with_surrogates(df: DataFrame, of: str, into: str, secret: str, tries) -> DataFrame:
