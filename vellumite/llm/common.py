@@ -1,12 +1,13 @@
-"""What the operators of this subpackage share: row hashing, sampling of labelled rows, checkpoints."""
+"""What the operators of this subpackage share: row hashing, sampling of labelled rows, checkpoints, memory of workers."""
 
 from __future__ import annotations
 
+import ctypes
 import io
 import re
 import tempfile
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,20 @@ def small_batches(spark: SparkSession, rows: int = 500):
         spark.conf.set(name, before)
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system. Python workers wait for later tasks, of other stages too, and their allocators
+    would keep it, beside an executor whose heap has grown meanwhile."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError, TypeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(made: Iterator) -> Iterator:
+    """What made, a task's batches, yields; then what it held is given back."""
+    yield from made
+    give_back()
+
+
 def durable(df: DataFrame) -> DataFrame:
     """df written to the checkpoint folder all executors share, and read from there."""
     shared_folder(df.sparkSession)
@@ -135,9 +150,9 @@ def learned(sample: DataFrame | None, features: Callable[[], Callable[[str], tup
         if packed:
             yield pa.RecordBatch.from_arrays([pa.array([train(packed, labels)], pa.binary())], names=["_model"])
 
-    rows = sample.select("_order", "_id", "_y", "_text").mapInArrow(pack, "_order long, _id long, _y int, _packed binary, _n long")
+    rows = sample.select("_order", "_id", "_y", "_text").mapInArrow(lambda b: lean(pack(b)), "_order long, _id long, _y int, _packed binary, _n long")
     with small_batches(sample.sparkSession):
-        found = rows.repartition(1).sortWithinPartitions("_order", "_id").mapInArrow(fit, "_model binary").collect()
+        found = rows.repartition(1).sortWithinPartitions("_order", "_id").mapInArrow(lambda b: lean(fit(b)), "_model binary").collect()
     return bytes(found[0]["_model"]) if found else train([], [])
 
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, durable
+from .common import broadcast_if_small, durable, lean
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
@@ -115,7 +115,7 @@ def signatures(docs: DataFrame, key: str, text: str, width: int, bands: int, row
                 rows_.append((len(hashes), xxhash.xxh3_128_digest(hashes.tobytes()), *signer.sign(hashes)) if len(hashes) else (0, None, None, None))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *[pa.array([r[i] for r in rows_], schema.field(i + 1).type) for i in range(4)]], schema=schema)
 
-    return docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")).mapInArrow(sign, "_id long, n_shingles long, _fp binary, _bands array<long>, _packed array<long>")
+    return docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")).mapInArrow(lambda b: lean(sign(b)), "_id long, n_shingles long, _fp binary, _bands array<long>, _packed array<long>")
 
 
 def shingle_sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
@@ -127,7 +127,7 @@ def shingle_sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
             values = [shingles(t, width, known).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(values, pa.list_(pa.int64()))], names=["_id", "_set"])
 
-    return docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")).mapInArrow(sets, "_id long, _set array<long>")
+    return docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")).mapInArrow(lambda b: lean(sets(b)), "_id long, _set array<long>")
 
 
 def parity_sketch(hashes: np.ndarray) -> bytes:
@@ -147,7 +147,7 @@ def sketches(docs: DataFrame, ids: DataFrame, key: str, text: str, width: int) -
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([parity_sketch(x) for x in sets], pa.binary())], names=["node", "n", "_sketch"])
 
     named = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")).join(broadcast_if_small(ids, 500_000), "_id", "left_semi")
-    return named.mapInArrow(sketch, "node long, n long, _sketch binary").where("n > 0").dropDuplicates(["node"])
+    return named.mapInArrow(lambda b: lean(sketch(b)), "node long, n long, _sketch binary").where("n > 0").dropDuplicates(["node"])
 
 
 def estimate(a: Column, b: Column, k: int, bits: int) -> Column:
@@ -199,7 +199,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 50, t
     minima are pre-aggregated, so that a node with very many links is no burden. The answer is the same."""
     now = durable(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     if now.limit(together + 1).count() <= together:
-        return durable(now.repartition(1).mapInArrow(_joined, "node long, root long"))
+        return durable(now.repartition(1).mapInArrow(lambda b: lean(_joined(b)), "node long, root long"))
     mark = None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, durable
+from .common import broadcast_if_small, durable, give_back, lean
 
 #: How byte-level BPE cuts a text before merging; a fixed value of that kind of tokenizer.
 PRE_TOKENS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -87,6 +87,7 @@ def tokenize(docs: DataFrame, key: str, text: str, source: str, tokenizer_file:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, made = Encoder(tokenizer_file), TaskContext.get().partitionId(), 0
+        give_back()  # what reading the vocabulary took
         given: dict[str | None, int] = {}
         end, size = np.array([end_id], encoder.kind).tobytes(), encoder.kind.itemsize
         for whole in batches:
@@ -104,7 +105,7 @@ def tokenize(docs: DataFrame, key: str, text: str, source: str, tokenizer_file:
                 number, of, s, ends, start, piece, n, data = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), batch.column(0).cast(pa.int64()).take(pa.array(of)), pa.array(s, pa.string()), pa.array([part] * len(of), pa.int32()), *[pa.array(x, pa.int64()) for x in (ends, start, piece, n)], pa.array(data, pa.binary())], names=names)
 
-    return docs.select(F.col(key).cast("long").alias("_id"), F.col(source).cast("string").alias("_source"), F.col(text).alias("_text")).mapInArrow(run, "_row long, _id long, _source string, _part int, _end long, _start long, _n long, _doc long, _ids binary")
+    return docs.select(F.col(key).cast("long").alias("_id"), F.col(source).cast("string").alias("_source"), F.col(text).alias("_text")).mapInArrow(lambda b: lean(run(b)), "_row long, _id long, _source string, _part int, _end long, _start long, _n long, _doc long, _ids binary")
 
 
 def served(units: DataFrame, window: int, weights: Mapping[str | None, float] | None) -> DataFrame:
@@ -145,20 +146,11 @@ def served(units: DataFrame, window: int, weights: Mapping[str | None, float] |
     return local.join(broadcast_if_small(offsets), F.col("_of") == F.col("_o")).select("_row", "_round", (F.col("_ahead") + F.col("_local")).alias("_at"))
 
 
-def pack(docs: DataFrame, tokenizer_file: str, key: str = "doc_id", text: str = "text", source: str = "source", window: int = 2048, end_id: int = 1, unit: int | None = None, weights: Mapping[str | None, float] | None = None) -> DataFrame:
-    """Per piece: key, source, start, length, ids (binary: unsigned little-endian 32-bit), doc_tokens, sequence_id, offset.
-
-    weights are the sources' target proportions, 1 for those not named; by default a source weighs as many tokens as it
-    has, so that all queues drain together. Queues that are empty leave their share to the others. unit is `window` by
-    default. Null and empty texts are documents of end_id alone. Repeated keys are packed as often as they occur. Null
-    sources have a queue of their own. Tokens are written once, two bytes each for small vocabularies."""
-    if weights is not None and not all(w > 0 for w in weights.values()):
-        raise ValueError("weights must be above 0")
-    tokens = durable(tokenize(docs, key, text, source, tokenizer_file, end_id, unit or window))
-    places = served(tokens.select("_row", "_source", "_part", "_end", "_n"), window, weights).select("_row", "_at")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+def cut(batches: Iterator[pa.RecordBatch], window: int, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Units with their place in all tokens -> their pieces, of so many units at once: Spark's batches are set by the session."""
+    for whole in batches:
+        for k in range(0, whole.num_rows, rows):
+            batch = whole.slice(k, rows)
             of, starts, lengths, ids, numbers, offsets = [], [], [], [], [], []
             for i, (n, data, start, at) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_n", "_ids", "_start", "_at")), strict=True)):
                 wide = np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4").astype("<u4").tobytes()
@@ -177,6 +169,19 @@ def pack(docs: DataFrame, tokenizer_file: str, key: str = "doc_id", text: str =
             long = [pa.array(x, pa.int64()) for x in (starts, lengths, numbers, offsets)]
             yield pa.RecordBatch.from_arrays([batch.column("_id").take(row), batch.column("_source").take(row), long[0], long[1], pa.array(ids, pa.binary()), batch.column("_doc").take(row), long[2], long[3]], names=["_id", "_source", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
+
+def pack(docs: DataFrame, tokenizer_file: str, key: str = "doc_id", text: str = "text", source: str = "source", window: int = 2048, end_id: int = 1, unit: int | None = None, weights: Mapping[str | None, float] | None = None) -> DataFrame:
+    """Per piece: key, source, start, length, ids (binary: unsigned little-endian 32-bit), doc_tokens, sequence_id, offset.
+
+    weights are the sources' target proportions, 1 for those not named; by default a source weighs as many tokens as it
+    has, so that all queues drain together. Queues that are empty leave their share to the others. unit is `window` by
+    default. Null and empty texts are documents of end_id alone. Repeated keys are packed as often as they occur. Null
+    sources have a queue of their own. Tokens are written once, two bytes each for small vocabularies."""
+    if weights is not None and not all(w > 0 for w in weights.values()):
+        raise ValueError("weights must be above 0")
+    tokens = durable(tokenize(docs, key, text, source, tokenizer_file, end_id, unit or window))
+    places = served(tokens.select("_row", "_source", "_part", "_end", "_n"), window, weights).select("_row", "_at")
+
     rows = tokens.join(places, "_row").select("_id", "_source", "_n", "_ids", "_start", "_doc", "_at")
-    pieces = rows.mapInArrow(cut, "_id long, _source string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    pieces = rows.mapInArrow(lambda b: lean(cut(b, window)), "_id long, _source string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
     return pieces.withColumnRenamed("_id", key).withColumnRenamed("_source", source)

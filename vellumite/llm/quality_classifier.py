@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, learned, packed_arrays, sliced
+from .common import labelled_sample, lean, learned, packed_arrays, sliced
 
 REPEAT = 0
 
@@ -150,10 +150,13 @@ def score(docs: DataFrame, model: SubwordModel, text: str = "text", into: str =
     A column named `into` is replaced; the model reads no column but text."""
     shared = docs.sparkSession.sparkContext.broadcast((model.vectors, model.output, model.bias, model.low, model.high))
 
-    @F.arrow_udf("double")
-    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         run = SubwordModel(*shared.value).scorer()
         for batch, lists in sliced(batches):
             yield pa.array(np.concatenate([run(texts) for texts in lists]) if len(batch) else np.empty(0))
 
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from lean(scores(batches))
+
     return docs.withColumn(into, scored(F.col(text)))
