@@ -25,11 +25,68 @@ from .common import labelled_sample, lean, learned, packed_arrays, sliced
 REPEAT = 0
 
 
-def features(word: str, buckets: int, low: int, high: int) -> list[int]:
-    """Hashed features of one word: itself and its character n-grams of low to high characters."""
-    marked, h = f"<{word}>", xxhash.xxh32_intdigest
-    grams = dict.fromkeys(marked[i : i + n] for n in range(low, high + 1) for i in range(len(marked) - n + 1))
-    return [1 + h(g.encode("utf-8", "ignore")) % (buckets - 1) for g in (f" {word}", *grams)]
+class Memo(dict):
+    """What `of` says of the keys met; all are forgotten when there are `limit`."""
+
+    def __init__(self, of: Callable, limit: int):
+        self.of, self.limit = of, limit
+
+    def __missing__(self, key):
+        made = self.of(key)
+        if len(self) >= self.limit:
+            self.clear()
+        self[key] = made
+        return made
+
+
+def ngrams(word: str, low: int, high: int) -> dict[str, None]:
+    """The distinct character n-grams of low to high characters of one word between `<` and `>`, in order."""
+    marked = f"<{word}>"
+    size = len(marked) + 1
+    return dict.fromkeys([marked[i : i + n] for n in range(low, high + 1) for i in range(size - n)])
+
+
+def bucket(feature: str, buckets: int) -> int:
+    """The hashed feature of an n-gram, or of a word behind a blank."""
+    return 1 + xxhash.xxh32_intdigest(feature.encode("utf-8", "ignore")) % (buckets - 1)
+
+
+def pieces(words: list[str], chars: int) -> Iterator[list[str]]:
+    """The words in lists of about so many characters; longer words by themselves."""
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words))) // chars
+    cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(words)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if a < b:
+            yield words[a:b]
+
+
+def summed(words: list[str], weight: np.ndarray, grams: Memo, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each word the sum of the weights of its features and their number; grams has the weights of n-grams.
+
+    The n-grams of all words are sorted, so that each is looked up once, and once for each word that has it."""
+    text = "".join([f"<{w}>" for w in words])
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    own, left = np.repeat(np.arange(len(words)), sizes), np.repeat(sizes.cumsum(), sizes) - np.arange(len(text))
+    total, number = weight[[bucket(f" {w}", len(weight)) for w in words]], np.ones(len(words))
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    at, key = np.arange(len(text)), codes
+    for n in range(1, high + 1):
+        if n > 1:
+            longer = left[at] >= n
+            at, key = at[longer], key[longer] << 21 | codes[at[longer] + n - 1]
+        if n < min(low, 3):  # three code points have 63 bits
+            continue
+        order = np.argsort(key, kind="stable")
+        new = np.diff(key[order], prepend=-1) != 0
+        rank, word = np.cumsum(new) - 1, own[at[order]]
+        if n >= low:
+            found = np.fromiter((grams[text[i : i + n]] for i in at[order[new]].tolist()), np.float64)
+            once = new | (np.diff(word, prepend=-1) != 0)
+            total += np.bincount(word[once], found[rank[once]], len(words))
+            number += np.bincount(word[once], minlength=len(words))
+        key = np.empty_like(rank)
+        key[order] = rank
+    return total, number
 
 
 @dataclass
@@ -41,38 +98,42 @@ class SubwordModel:
     bias: np.ndarray
     low: int = 3
     high: int = 4
-    cache_words: int = 400_000
+    cache_words: int = 200_000
+    cache_grams: int = 200_000
+    group_words: int = 50_000
 
     def folded(self) -> tuple[np.ndarray, float]:
         """What each feature adds to the log-odds of class 1, and what is there without any."""
         return (self.vectors @ (self.output[:, 1] - self.output[:, 0])).astype(np.float64), float(self.bias[1] - self.bias[0])
 
     def scorer(self):
-        """A function from texts to scores. It keeps the sums of words seen, and forgets them at cache_words."""
+        """A function from texts to scores. It keeps the sums of words and the weights of n-grams seen, and forgets them at
+        cache_words and cache_grams; new words of some texts are summed together."""
         weight, base = self.folded()
-        buckets, low, high, limit = len(weight), self.low, self.high, self.cache_words
-
-        class Sums(dict):
-            def __missing__(self, word):
-                # the real part sums the weights of the word's features, the imaginary part counts them
-                ids = features(word, buckets, low, high)
-                self[word] = made = complex(float(weight[ids].sum()), len(ids))
-                return made
-
-        sums = Sums()
-
-        def score(texts) -> np.ndarray:
-            out = np.empty(len(texts))
-            for k, text in enumerate(texts):
-                found = text.split() if text else []
-                if not found:
-                    out[k] = base
-                    continue
-                if len(sums) > limit:
-                    sums.clear()
+        grams = Memo(lambda g: float(weight[bucket(g, len(weight))]), self.cache_grams)
+        sums: dict[str, complex] = {}  # the real part sums the weights of the word's features, the imaginary part counts them
+
+        def settle(waiting: list[tuple[int, list[str]]], out: np.ndarray) -> None:
+            if len(sums) > self.cache_words:
+                sums.clear()
+            for some in pieces([*set().union(*(found for _, found in waiting)).difference(sums)], 1 << 18):
+                total, number = summed(some, weight, grams, self.low, self.high)
+                sums.update(zip(some, (total + 1j * number).tolist(), strict=True))
+            for k, found in waiting:
                 repeats = sum(map(str.__eq__, found, found[1:]))
                 total = sum(map(sums.__getitem__, found))
                 out[k] = base + (total.real + repeats * weight[REPEAT]) / (total.imag + repeats)
+
+        def score(texts) -> np.ndarray:
+            out, waiting, n = np.full(len(texts), base), [], 0
+            for k, text in enumerate(texts):
+                if found := text.split() if text else []:
+                    waiting.append((k, found))
+                    n += len(found)
+                if n >= self.group_words:
+                    settle(waiting, out)
+                    waiting, n = [], 0
+            settle(waiting, out)
             return 1 / (1 + np.exp(-np.clip(out, -50, 50)))
 
         return score
@@ -81,18 +142,13 @@ class SubwordModel:
 def counted(buckets: int, low: int, high: int, limit: int = 200_000) -> Callable[[str | None], tuple[bytes, int]]:
     """A function from a text to its distinct features, ascending, and their shares (32 bits each), and their number.
 
-    It keeps the features of words seen, and forgets them at `limit` words."""
-    known: dict[str, np.ndarray] = {}
+    It keeps the features of words and n-grams seen, and forgets them at `limit` each."""
+    grams = Memo(lambda g: bucket(g, buckets), limit)
+    known = Memo(lambda w: np.array([bucket(f" {w}", buckets), *map(grams.__getitem__, ngrams(w, low, high))], np.int32), limit)
 
     def of(text: str | None) -> tuple[bytes, int]:
-        if len(known) > limit:
-            known.clear()
         found = (text or "").split()
-        parts = [np.zeros(sum(map(str.__eq__, found, found[1:])), np.int32) + REPEAT]
-        for w in found:
-            if w not in known:
-                known[w] = np.array(features(w, buckets, low, high), np.int32)
-            parts.append(known[w])
+        parts = [np.zeros(sum(map(str.__eq__, found, found[1:])), np.int32) + REPEAT, *map(known.__getitem__, found)]
         unique, counts = np.unique(np.concatenate(parts), return_counts=True)
         return unique.astype(np.int32).tobytes() + (counts / max(1, counts.sum())).astype(np.float32).tobytes(), len(unique)
 
