@@ -240,7 +240,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     of more than `hot` equal texts are looked up by a broadcast, so that their rows stay where they are."""
     signed = durable(signatures(docs, key, text, width, bands, rows, bits))
     own = F.xxhash64("_fp")
-    if signed.where("_id is not null").groupBy("_id").agg(F.min(own).alias("a"), F.max(own).alias("b")).where("a <> b").limit(1).count():
+    if not signed.where("_id is not null").groupBy("_id").agg(F.min(own).alias("a"), F.max(own).alias("b")).where("a <> b").isEmpty():
         return _tied(docs, key, text, width=width, percent=percent, bands=bands, rows=rows, bits=bits, slack=slack, block=block, hot=hot)
     worded = signed.where("_fp is not null and _id is not null")
     # classes of equal sets; node: the smallest key of the class
@@ -271,26 +271,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     found = components(links)
     placed = durable(mixed(found, groups))
     named = durable(placed.select(F.col("node").alias("_id")).distinct())
-    if named.limit(1).count():
+    if not named.isEmpty():
         sketched = durable(sketches(docs, named, key, text, width))
         tried = durable(joining_pairs(placed.join(sketched, "node"), percent, block).distinct())
         sure = confirmed(tried)
         links, refuted = links.unionByName(sure), durable(tried.join(sure, ["a", "b"], "left_anti"))
-        if sure.limit(1).count():
+        if not sure.isEmpty():
             found = components(links)
-        if refuted.limit(1).count():
+        if not refuted.isEmpty():
             sides = placed.select("group", "node")
             doubtful = refuted.join(sides.withColumnRenamed("node", "a"), "a").join(sides.withColumnRenamed("node", "b"), ["b", "group"]).select("group").distinct()
             again = durable(mixed(found, groups.join(durable(doubtful), "group", "left_semi")))
             texts = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")).join(broadcast_if_small(durable(again.select(F.col("node").alias("_id")).distinct()), 500_000), "_id", "left_semi")
             sets = durable(shingle_sets(texts, "_id", "_text", width).dropDuplicates(["_id"])).withColumnRenamed("_id", "node")
             more = durable(joining_pairs(again.join(sketched, "node").join(sets, "node"), percent, block).distinct())
-            if more.limit(1).count():
+            if not more.isEmpty():
                 found = components(links.unionByName(more))
     roots = classes.join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("_fp", "copies", F.coalesce("root", "node").alias("_root"))
     large = durable(roots.where(F.col("copies") > hot).select(F.col("_fp").alias("_f"), F.col("_root").alias("_large")))
     rest, out = worded.select("_id", "n_shingles", "_fp"), []
-    if large.limit(1).count():
+    if not large.isEmpty():
         known = rest.join(broadcast_if_small(large), F.col("_fp") == F.col("_f"), "left")
         out = [known.where("_f is not null").select("_id", "n_shingles", F.col("_large").alias("_root"))]
         rest = known.where("_f is null").select("_id", "n_shingles", "_fp")
@@ -400,7 +400,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", **opti
     kept = durable(near_duplicates(docs, key, text, **options).where("kept").select(F.col(key).alias("_kept")).distinct())
     left = docs.join(broadcast_if_small(kept, 500_000), docs[key].eqNullSafe(kept["_kept"]), "left_semi")
     known = docs.where(docs[key].isNotNull())
-    if not known.groupBy(key).count().where("count > 1").limit(1).count():
+    if known.groupBy(key).count().where("count > 1").isEmpty():
         return left
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.col(text).asc_nulls_first(), F.xxhash64(*docs.columns)))
     name = "_place"

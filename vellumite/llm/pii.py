@@ -143,19 +143,25 @@ def atoms(found: Column, pieces: Column, names: Column) -> Column:
     """Entities of a text, the text's pieces between them and its full names -> array of structs: pre (the text before it),
     entity, kind, gender, form. A name is one struct a word."""
 
-    def of(e: Column, i: Column) -> Column:
-        before, kind, title = F.element_at(pieces, i + 1), kind_of(e), _title(e)
-        bare = F.substring(e, F.length(title) + 1, F.length(e))
-        others = F.array_distinct(F.transform(F.filter(names, lambda x: (x["gender"] != "x") & (F.lower(x["name"]) == F.lower(bare))), lambda x: x["gender"]))
-        gender = F.when(_told(title) != "x", _told(title)).when(F.size(others) == 1, F.get(others, F.lit(0))).otherwise("x")
-        words = F.split(bare, " ")
+    # step by step, so that the plan holds each of them once
+    kept = lambda x: (x["before"], x["entity"], x["kind"], x["title"])
+    found = F.transform(found, lambda e, i: F.struct(F.element_at(pieces, i + 1).alias("before"), e.alias("entity"), kind_of(e).alias("kind")))
+    found = F.transform(found, lambda x: F.struct(x["before"], x["entity"], x["kind"], F.when(x["kind"] == "name", _title(x["entity"])).alias("title")))
+    found = F.transform(found, lambda x: F.struct(*kept(x), F.substring(x["entity"], F.length(x["title"]) + 1, F.length(x["entity"])).alias("bare"), _told(x["title"]).alias("told")))
 
+    def others(bare: Column) -> Column:
+        return F.array_distinct(F.transform(F.filter(names, lambda n: (n["gender"] != "x") & (F.lower(n["name"]) == F.lower(bare))), lambda n: n["gender"]))
+
+    found = F.transform(found, lambda x: F.struct(*kept(x), F.split(x["bare"], " ").alias("words"), x["told"], F.when(x["told"] == "x", others(x["bare"])).alias("others")))
+    found = F.transform(found, lambda x: F.struct(*kept(x), x["words"], F.when(x["told"] != "x", x["told"]).when(F.size(x["others"]) == 1, F.get(x["others"], F.lit(0))).otherwise("x").alias("gender")))
+
+    def of(x: Column) -> Column:
         def word(w: Column, j: Column) -> Column:
-            part = F.when(w.isin(PARTICLES), "literal").when(w.rlike(r"\A\p{Lu}\.\z"), "initial").when(j == F.size(words) - 1, "surname").otherwise("given")
-            return F.struct(F.when(j == 0, F.concat(before, title)).otherwise(" ").alias("pre"), w.alias("entity"), part.alias("kind"), gender.alias("gender"))
+            part = F.when(w.isin(PARTICLES), "literal").when(w.rlike(r"\A\p{Lu}\.\z"), "initial").when(j == F.size(x["words"]) - 1, "surname").otherwise("given")
+            return F.struct(F.when(j == 0, F.concat(x["before"], x["title"])).otherwise(" ").alias("pre"), w.alias("entity"), part.alias("kind"), x["gender"])
 
-        other = F.array(F.struct(before.alias("pre"), e.alias("entity"), kind.alias("kind"), F.lit("x").alias("gender")))
-        return F.when(kind == "name", F.transform(words, word)).otherwise(other)
+        other = F.array(F.struct(x["before"].alias("pre"), x["entity"], x["kind"], F.lit("x").alias("gender")))
+        return F.when(x["kind"] == "name", F.transform(x["words"], word)).otherwise(other)
 
     split = F.flatten(F.transform(found, of))
     return F.transform(split, lambda x: F.struct(x["pre"], x["entity"], x["kind"], x["gender"], _form(x["kind"], x["gender"], x["entity"]).alias("form")))
@@ -282,11 +288,11 @@ def attempts(distinct: DataFrame, secret: str, rounds: int = 64) -> DataFrame:
     real = distinct.select(_form(F.col("kind"), F.lit("any"), F.col("entity")).alias("_made"), F.lit(True).alias("_real")).distinct()
     for _ in range(rounds):
         whole = now.withColumn("_e", F.array(F.struct("entity", "kind", "gender", "form")))
-        made = with_surrogates(whole, "_e", "_m", secret, lambda i, x: F.struct(F.col("attempt"), F.lit(None).cast("string").alias("gender"))).select("form", "attempt", _form(F.col("kind"), F.lit("any"), F.element_at("_m", 1)).alias("_made"))
+        made = durable(with_surrogates(whole, "_e", "_m", secret, lambda i, x: F.struct(F.col("attempt"), F.lit(None).cast("string").alias("gender"))).select("form", "attempt", _form(F.col("kind"), F.lit("any"), F.element_at("_m", 1)).alias("_made")))  # else joins repeat the surrogates in filters for nulls
         shared = made.groupBy("_made").agg(F.count("*").alias("_n"), F.min(F.struct("attempt", "form")).alias("_first")).where("_n > 1").select("_made", "_first")
         clash = made.join(shared, "_made", "left").join(real, "_made", "left")
         bad = durable(clash.where(F.col("_real") | (F.col("_first")["form"] != F.col("form"))).select(F.col("form").alias("_bad")))
-        if not bad.limit(1).count():
+        if bad.isEmpty():
             break
         now = durable(now.join(bad, F.col("form") == F.col("_bad"), "left").withColumn("attempt", F.col("attempt") + F.col("_bad").isNotNull().cast("int")).drop("_bad"))
     else:
@@ -340,7 +346,8 @@ def pseudonymize(docs: DataFrame, secret: str, text: str = "text", into: str = "
     held = F.when(F.size("_found") > 0, F.lit(None)).otherwise(F.col("_text"))
     n = F.size(F.filter("_found", lambda e: kind_of(e) != "literal")).cast("long")
     found = found.select(F.col("_row").withField(f"`{text}`", held).alias("_row"), n.alias("_count"), "_atoms", F.element_at("_pieces", -1).alias("_rest"))
-    told = found.select(F.explode("_atoms").alias("x")).where("x.form is not null").select("x.form", "x.entity", "x.kind", "x.gender")
+    # an inner explode would infer a filter of texts with atoms and push it down to the texts, with all that atoms are made of
+    told = found.select(F.explode_outer("_atoms").alias("x")).where("x.form is not null").select("x.form", "x.entity", "x.kind", "x.gender")
     again = durable(known(told, secret))
 
     def replaced(df: DataFrame, tries) -> DataFrame:
