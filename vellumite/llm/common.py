@@ -62,6 +62,12 @@ def lean(made: Iterator) -> Iterator:
     give_back()
 
 
+def driver_gives_back(spark: SparkSession) -> None:
+    """Between steps of many small queries: the driver's garbage goes, with the checkpoints, shuffles and broadcasts that
+    nothing uses any more. Its heap would grow with what each query's plans leave, beside all that its many threads hold."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def durable(df: DataFrame) -> DataFrame:
     """df written to the checkpoint folder all executors share, and read from there."""
     shared_folder(df.sparkSession)

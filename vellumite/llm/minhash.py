@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, durable, lean
+from .common import broadcast_if_small, driver_gives_back, durable, lean
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
@@ -196,10 +196,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 50, t
 
     At most `together` links are joined in one task, which spares a dozen small jobs. More of them alternate large-star and
     small-star steps until the links no longer change; each writes a table of at most as many links as there were, and
-    minima are pre-aggregated, so that a node with very many links is no burden. The answer is the same."""
-    now = durable(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    minima are pre-aggregated, so that a node with very many links is no burden. The answer is the same. links is read
+    twice; it had better be written already."""
+    now = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v")
     if now.limit(together + 1).count() <= together:
         return durable(now.repartition(1).mapInArrow(lambda b: lean(_joined(b)), "node long, root long"))
+    now = durable(now.distinct())
     mark = None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -249,6 +251,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     banded = classes.select("node", F.posexplode("_bands").alias("_band", "_hash")).select("node", F.xxhash64("_band", "_hash").alias("group"))
     least = banded.groupBy("group").agg(F.min("node").alias("rep"), F.count("*").alias("members")).where("members > 1")
     groups = durable(banded.join(least, "group"))
+    driver_gives_back(docs.sparkSession)
     threshold = percent / 100 - slack
 
     def likely(pairs: DataFrame) -> DataFrame:
@@ -263,34 +266,38 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     def mixed(found: DataFrame, among: DataFrame) -> DataFrame:
         """The groups that hold more than one component: group, node, members, root, stray."""
         of = among.join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("group", "node", "rep", "members", F.coalesce("root", "node").alias("root"))
-        rep_root = of.where("node = rep").select("group", F.col("root").alias("rep_root"))
-        placed = of.join(rep_root, "group").withColumn("stray", F.col("root") != F.col("rep_root"))
-        return placed.join(placed.where("stray").select("group").distinct(), "group", "left_semi").select("group", "node", "members", "root", "stray")
+        several = of.groupBy("group").agg(F.max(F.when(F.col("node") == F.col("rep"), F.col("root"))).alias("rep_root"), F.min("root").alias("_least"), F.max("root").alias("_most")).where("_least <> _most")
+        return of.join(several, "group").select("group", "node", "members", "root", (F.col("root") != F.col("rep_root")).alias("stray"))
 
     links = confirmed(durable(likely(groups.where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct())))
     found = components(links)
+    driver_gives_back(docs.sparkSession)
     placed = durable(mixed(found, groups))
     named = durable(placed.select(F.col("node").alias("_id")).distinct())
     if not named.isEmpty():
         sketched = durable(sketches(docs, named, key, text, width))
-        tried = durable(joining_pairs(placed.join(sketched, "node"), percent, block).distinct())
-        sure = confirmed(tried)
-        links, refuted = links.unionByName(sure), durable(tried.join(sure, ["a", "b"], "left_anti"))
-        if not sure.isEmpty():
+        tried = durable(joining_pairs(placed, sketched, percent, block).distinct())
+        n_tried = tried.count()
+        sure = confirmed(tried) if n_tried else tried
+        n_sure = sure.count() if n_tried else 0
+        if n_sure:
+            links = links.unionByName(sure)
             found = components(links)
-        if not refuted.isEmpty():
+        if n_sure < n_tried:
+            refuted = tried.join(sure, ["a", "b"], "left_anti")
             sides = placed.select("group", "node")
             doubtful = refuted.join(sides.withColumnRenamed("node", "a"), "a").join(sides.withColumnRenamed("node", "b"), ["b", "group"]).select("group").distinct()
             again = durable(mixed(found, groups.join(durable(doubtful), "group", "left_semi")))
             texts = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")).join(broadcast_if_small(durable(again.select(F.col("node").alias("_id")).distinct()), 500_000), "_id", "left_semi")
             sets = durable(shingle_sets(texts, "_id", "_text", width).dropDuplicates(["_id"])).withColumnRenamed("_id", "node")
-            more = durable(joining_pairs(again.join(sketched, "node").join(sets, "node"), percent, block).distinct())
+            more = durable(joining_pairs(again, sketched.join(sets, "node"), percent, block).distinct())
             if not more.isEmpty():
                 found = components(links.unionByName(more))
+        driver_gives_back(docs.sparkSession)
     roots = classes.join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("_fp", "copies", F.coalesce("root", "node").alias("_root"))
-    large = durable(roots.where(F.col("copies") > hot).select(F.col("_fp").alias("_f"), F.col("_root").alias("_large")))
     rest, out = worded.select("_id", "n_shingles", "_fp"), []
-    if not large.isEmpty():
+    if not classes.where(F.col("copies") > hot).isEmpty():
+        large = durable(roots.where(F.col("copies") > hot).select(F.col("_fp").alias("_f"), F.col("_root").alias("_large")))
         known = rest.join(broadcast_if_small(large), F.col("_fp") == F.col("_f"), "left")
         out = [known.where("_f is not null").select("_id", "n_shingles", F.col("_large").alias("_root"))]
         rest = known.where("_f is null").select("_id", "n_shingles", "_fp")
@@ -310,7 +317,7 @@ def _tied(docs: DataFrame, key: str, text: str, **options) -> DataFrame:
     placed = durable(pairs.select("_node", "_key", "_copies").join(found, "_node"))
     known = placed.where("_key is not null")
     first = known.groupBy("_key").agg(F.min("_part").alias("a"), F.max("_part").alias("b")).where("a <> b").select(F.col("_key").alias("_k"), "a")
-    joined = components(known.join(first, F.col("_key") == F.col("_k")).select("a", F.col("_part").alias("b")))
+    joined = components(durable(known.join(first, F.col("_key") == F.col("_k")).select("a", F.col("_part").alias("b")).distinct()))
     whole = placed.join(joined.withColumnRenamed("node", "_n"), F.col("_part") == F.col("_n"), "left").withColumn("_root", F.coalesce("root", "_part"))
     least = whole.groupBy(F.col("_root").alias("_r")).agg(F.min("_key").alias("component_id"))
     out = whole.join(least, F.col("_root") == F.col("_r")).withColumn("component_id", F.when(F.col("_key").isNotNull(), F.col("component_id")))
@@ -366,12 +373,12 @@ def spanning(sketch: list[bytes], n: np.ndarray, root: np.ndarray, node: np.ndar
     return found
 
 
-def joining_pairs(placed: DataFrame, percent: int, block: int, per_task: int = 5_000) -> DataFrame:
-    """Pairs (a, b) by `spanning` of each block of the groups; placed may have the column _set.
+def joining_pairs(placed: DataFrame, known: DataFrame, percent: int, block: int, per_task: int = 5_000) -> DataFrame:
+    """Pairs (a, b) by `spanning` of each block of the groups; known has each node's sketch, and may have the column _set.
 
     A group is dealt to blocks of about `block` members; strays go to every block of their group as well. Blocks are many
     and mostly tiny, so that they go in batches of about per_task rows."""
-    exact = "_set" in placed.columns
+    exact = "_set" in known.columns
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["group", "_block", "node"], kind="stable")
@@ -388,9 +395,10 @@ def joining_pairs(placed: DataFrame, percent: int, block: int, per_task: int = 5
     blocks = F.ceil(F.col("members") / F.lit(block)).cast("int")
     home = F.pmod(F.xxhash64("node"), blocks).cast("int")
     kept = ["group", "node", "n", "root", "stray", "_sketch", *(["_set"] if exact else [])]
-    rows = placed.select(*kept, home.alias("_home"), F.explode(F.when(F.col("stray"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(home))).alias("_block"))
+    rows = placed.join(known, "node").select(*kept, home.alias("_home"), F.explode(F.when(F.col("stray"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(home))).alias("_block"))
     rows = rows.withColumn("own", F.col("_home") == F.col("_block")).drop("_home")
-    batches = max(1, -(-rows.count() // per_task))
+    copies = placed.agg(F.sum(F.when(F.col("stray"), blocks).otherwise(1))).first()[0] or 0  # the rows' number
+    batches = max(1, -(-copies // per_task))
     return rows.groupBy(F.pmod(F.xxhash64("group", "_block"), F.lit(batches)).alias("_batch")).applyInPandas(compare, "a long, b long")
 
 
@@ -398,6 +406,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", **opti
     """The documents that stay: of each component the one with the smallest key, and of a repeated key the row of the
     smallest text, null first."""
     kept = durable(near_duplicates(docs, key, text, **options).where("kept").select(F.col(key).alias("_kept")).distinct())
+    driver_gives_back(docs.sparkSession)
     left = docs.join(broadcast_if_small(kept, 500_000), docs[key].eqNullSafe(kept["_kept"]), "left_semi")
     known = docs.where(docs[key].isNotNull())
     if known.groupBy(key).count().where("count > 1").isEmpty():
