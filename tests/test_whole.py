@@ -2,7 +2,10 @@
 
 import zlib
 
+from pyspark.sql import functions as F
+
 from vellumite.catalog import QUERIES
+from vellumite.operators import joins as J
 
 
 def run(spark, folder, name, table, rows, schema):
@@ -78,3 +81,20 @@ def test_counters_and_ranges_take_every_row(spark, tmp_path):
     }
     made = run(spark, tmp_path, "format_ranges", "lineitem", [(1, 1), (1, 2), (1, 3), (2, 2), (2, 6), (502, 4)], "l_orderkey long, l_linenumber int")
     assert {(r.doc_id, r.ranges) for r in made} == {(1, "2-4"), (2, "3, 5, 7")}
+
+
+def test_boxes_of_equal_place_are_measured_as_one(spark):
+    """Each two places are measured once, however many boxes lie there; lists of keys are longer than one row holds."""
+    places = [(0.0, 0.0, 10.0, 10.0), (5.0, 5.0, 10.0, 10.0), (400.0, 0.0, 9.0, 9.0), (64.0, 32.0, 8.0, 8.0)]
+    rows = [(k, k % 2, *places[k % 7 % 4]) for k in range(1, 2000)] + [(3, 1, *places[1]), (3, 1, *places[1]), (None, 1, *places[1]), (5, 1, None, 1.0, 1.0, 1.0)]
+    assert J.LISTED < 280
+    boxes, seen = spark.createDataFrame(rows, "id long, page long, x double, y double, w double, h double"), spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def measure(x, u):
+        seen.add(1)
+        return x + u
+
+    made = J.overlapping_keys(boxes, ["page"], "id", m=measure("x", "_r_x")).collect()
+    pairs = [(a[1], a[0], b[0], a[2] + b[2]) for a in rows for b in rows if None not in a and None not in b and a[1] == b[1] and a[0] < b[0] and (a[2:] == b[2:] or {a[2], b[2]} == {0.0, 5.0})]
+    assert sorted(map(tuple, made)) == sorted(pairs) and len(pairs) > 400_000 and 0 < seen.value <= 20
