@@ -96,3 +96,11 @@ def test_placing_images(spark):
 def test_quality_search_ends(spark, size, quality, fits):
     got = spark.range(1).select(I.search_quality(lambda q: q * F.lit(size), F.lit(20000.0)).alias("f")).first().f
     assert (got.quality, got.fits) == (quality, fits)
+
+
+def test_lines_of_a_paragraph_are_filtered_once(spark):
+    """Not for every line anew: paragraphs of many lines took time in the square of their number."""
+    lines = ["", "a hyphen-", "ated word", "次の", "行 ", "", "end", "of it"]
+    df = spark.createDataFrame([(lines,)], "ls array<string>").select(T.join_lines(F.col("ls")).alias("t"))
+    assert df._jdf.queryExecution().analyzed().toString().count("filter(ls") == 1
+    assert df.first().t == "a hyphenated word次の行 end of it"

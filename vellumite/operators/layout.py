@@ -51,8 +51,8 @@ def column_count(boxes: Sequence[tuple[float, float, int]], page_width: float, g
     return count
 
 
-def page_of(s: dict[str, np.ndarray], width: float, scan: bool) -> tuple[float, int, float, list[float], list[tuple]]:
-    """Values of PAGE_LINES of one page's spans: lines in reading order, with the bounds and the usual step of their region.
+def page_of(s: dict[str, np.ndarray], width: float, scan: bool) -> tuple[float, int, float, list[float], list[Sequence]]:
+    """Values of PAGE_LINES of one page's spans, the lines' as columns: lines in reading order, with the bounds and the usual step of their region.
 
     A line is bold if 0.6 of its characters are. A region with none beside it reaches to the page's last character."""
     members: list[list[int]] = []
@@ -64,22 +64,23 @@ def page_of(s: dict[str, np.ndarray], width: float, scan: bool) -> tuple[float,
     parts, sure = regions(columns, width, bands)
     em = float(np.median(size)) or 10.0
     sibling = (_overlaps(y, y + h) - 2 * np.eye(len(rows)) > SAME_ROW).any(1)
-    chars = np.array([len(t) for t in s["text"]])
+    every, first = np.array([i for m in members for i in m]), np.cumsum([0, *map(len, members[:-1])])
+    chars = np.array([len(t) for t in s["text"]])[every]
+    bold = np.add.reduceat(chars * s["bold"][every].astype(bool), first) / np.maximum(1, np.add.reduceat(chars, first)) > BOLD_SHARE
+    largest = np.maximum.reduceat(s["font_size"][every].astype(float), first)
     boxes = [(x[p].min(), (x + w)[p].max(), y[p].min(), (y + h)[p].max()) for p in parts]
     columns_ = column_count([(a, b, len(p)) for (a, b, _, _), p in zip(boxes, parts, strict=True)], width, max(em * 1.6, width * 0.035), bands)
     if columns_ > 3:
         sure = min(sure, 0.5)
-    end, out = (x + w).max(), []
+    end, of = (x + w).max(), []
     for k, (part, (left, right, top, low)) in enumerate(zip(parts, boxes, strict=True)):
         beside = any(j != k and o[0] >= right - 1 and min(o[3], low) > max(o[2], top) for j, o in enumerate(boxes))
         steps = np.diff(base[part])
         steps = np.sort(steps[steps > 0])
         usual = steps[int(np.floor((len(steps) - 1) * 0.3 + 0.5))] if len(steps) else median(size[part].tolist()) * 1.2
-        for i in part:
-            m = members[i]
-            bold = chars[m][s["bold"][m].astype(bool)].sum() / max(1, chars[m].sum()) > BOLD_SHARE
-            numbers = (float(v[i]) for v in (x, y, w, h, base, size))
-            out.append((k, rows[i][0].rstrip(), *numbers, float(s["font_size"][m].max()), bool(bold), bool(sibling[i]), float(left), float(right if beside else max(right, end)), float(usual)))
+        of += [(k, left, right if beside else max(right, end), usual)] * len(part)
+    order, (region, left, right, usual) = np.concatenate(parts), np.array(of, float).T
+    out = [region.astype(np.int32), [rows[i][0].rstrip() for i in order.tolist()], *(v[order] for v in (x, y, w, h, base, size, largest, bold, sibling)), left, right, usual]
     dominant, texts = 0.0, []
     if scan:
         weight = np.array([len(t.strip()) for t in s["text"]])
@@ -99,11 +100,11 @@ def page_lines(spans: pa.Array, width: pa.Array, scan: pa.Array) -> pa.Array:
     values = {f.name: flat.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(flat.type)}
     ends = np.concatenate([[0], np.cumsum(spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(int)
     pages = [page_of({c: v[a:b] for c, v in values.items()}, float(p), bool(q)) for a, b, p, q in zip(ends, ends[1:], width.to_pylist(), scan.to_pylist(), strict=False)]
-    lines = [r for p in pages for r in p[4]]
     kinds = [pa.int32(), pa.string(), *[pa.float64()] * 7, pa.bool_(), pa.bool_(), *[pa.float64()] * 3]
-    columns = list(zip(*lines, strict=True)) if lines else [()] * len(_LINE)
-    every = pa.StructArray.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds, strict=True)], names=_LINE)
-    offsets = pa.array(np.concatenate([[0], np.cumsum([len(p[4]) for p in pages])]).astype(np.int32))
+    held = [p[4] for p in pages if p[4]]
+    joined = [[t for c in held for t in c[k]] if k == 1 else np.concatenate([[], *(c[k] for c in held)]).astype(t.to_pandas_dtype()) for k, t in enumerate(kinds)]
+    every = pa.StructArray.from_arrays([pa.array(v, t) for v, t in zip(joined, kinds, strict=True)], names=_LINE)
+    offsets = pa.array(np.concatenate([[0], np.cumsum([len(p[4][0]) if p[4] else 0 for p in pages])]).astype(np.int32))
     first = [pa.array([p[k] for p in pages], t) for k, t in enumerate((pa.float64(), pa.int32(), pa.float64(), pa.list_(pa.float64())))]
     return pa.StructArray.from_arrays([*first, pa.ListArray.from_arrays(offsets, every)], names=["confidence", "columns", "dominant", "text_sizes", "lines"])
 
@@ -231,8 +232,11 @@ def layout(spans: DataFrame, page: Sequence[str] = PAGE, doc: str = "doc_id", wi
 
     df = df.withColumn("_blocks", F.transform("_blocks", lambda b: with_fields(b, base, kind=kind(b))))
     pitch = F.coalesce(median_of(F.flatten(F.transform(F.filter("_blocks", lambda b: b["kind"] != "heading"), lambda b: b["steps"]))), F.lit(0.0))
-    df = df.withColumn("_pitch", pitch).select(*page, "body_size", "_page.columns", "_page.confidence", "_pitch", "_blocks", F.posexplode_outer("_blocks").alias("reading_order", "b"))
-    df = df.where(F.col("b").isNotNull()).withColumn("_next", F.get(F.get("_blocks", F.col("reading_order") + 1)["ls"], F.lit(0))["baseline"]).drop("_blocks")
+    # a block's row takes the next one's first baseline with it, not the page's blocks
+    base += ["kind"]
+    following = lambda b, i: with_fields(b, base, next=F.get(F.get("_blocks", i + 1)["ls"], F.lit(0))["baseline"])
+    df = df.withColumn("_pitch", pitch).withColumn("_blocks", F.transform("_blocks", following))
+    df = df.select(*page, "body_size", "_page.columns", "_page.confidence", "_pitch", F.posexplode_outer("_blocks").alias("reading_order", "b")).where(F.col("b").isNotNull()).withColumn("_next", F.col("b.next"))
     b = F.col("b")
     head, last, listed = F.get(b["ls"], F.lit(0)), F.element_at(b["ls"], -1), b["kind"] == "list-item"
     edge = lambda f, g: g(F.transform(b["ls"], f))

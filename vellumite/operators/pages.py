@@ -27,24 +27,52 @@ GUTTER_EM, GUTTER_PT, BESIDE_EM, BESIDE, LONG_LINES, LONG_CHARS, SIDE_BY_SIDE_EM
 COLUMN_EM, COLUMN_SHARE, ROW_EM, ROW_PT, DEPTH = 1.6, 0.035, 1.35, 6.0, 8
 
 _CJK_CHAR = re.compile("[" + re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), _CJK) + "]")
+_APART = re.compile("[\\s\u1100-\U0010ffff]")
 
 
 def _is_cjk(char: str) -> bool:
     return char >= "\u1100" and _CJK_CHAR.match(char) is not None
 
 
-def join_spans(texts: Sequence[str], x: Sequence[float], w: Sequence[float], size: Sequence[float]) -> str:
-    """Spans of a line, left to right, with a space where the gap is wide for the neighbouring scripts."""
-    out = texts[0]
-    for i in range(1, len(texts)):
-        nxt = texts[i]
-        if out and nxt and not out[-1].isspace() and not nxt[0].isspace():
-            em = min(size[i - 1], size[i]) or size[i] or 10
-            share = CJK_GAP if _is_cjk(out[-1]) or _is_cjk(nxt[0]) else WORD_GAP
-            if x[i] - (x[i - 1] + w[i - 1]) > em * share:
-                out += " "
-        out += nxt
-    return out
+def _spaced(texts: Sequence[str], gap: np.ndarray, em: np.ndarray) -> np.ndarray:
+    """Has each text but the first a space before it: is the gap wide for the neighbouring scripts?"""
+    if not _APART.search("".join(texts)):
+        return gap > em * WORD_GAP
+    cjk = lambda k: np.array([_is_cjk(t[k]) for t in texts], bool)
+    blank = lambda k: np.array([t[k].isspace() for t in texts], bool)
+    share = np.where(cjk(-1)[:-1] | cjk(0)[1:], CJK_GAP, WORD_GAP)
+    return (gap > em * share) & ~blank(-1)[:-1] & ~blank(0)[1:]
+
+
+def _groups(arrays: Sequence[np.ndarray]) -> np.ndarray:
+    """Number of the line of each span (x, y, w, h, baseline, size, sorted by baseline): a span stays in the last line
+    while it is near the mean of its spans. Spans alike in all but x and w are one step: what begins a line takes them along."""
+    x, y, w, h, base, size = arrays
+    n = len(x)
+    alike = (np.diff(base) == 0) & (np.diff(y) == 0) & (np.diff(h) == 0) & (np.diff(size) == 0) & (h[1:] > 0) if n else np.zeros(0, bool)
+    bounds = np.concatenate(([0], np.flatnonzero(~alike) + 1, [n]))
+    stop = np.repeat(bounds[1:], np.diff(bounds)).tolist()
+    # plain lists: the fold below reads single numbers
+    y, h, base, scale = y.tolist(), h.tolist(), base.tolist(), np.maximum(size, h).tolist()
+    starts: list[int] = []
+    total = top = low = tall = 0.0
+    i = 0
+    while i < n:
+        if starts:
+            big, small = max(tall, scale[i]), min(tall, scale[i])
+            slack = max(1.0, big * (LOOSE if small < big * SMALLER else TIGHT))
+            shorter = min(low - top, h[i])
+            over = max(0.0, min(low, y[i] + h[i]) - max(top, y[i]))
+            if abs(base[i] - total / (i - starts[-1])) <= slack and shorter > 0 and over / shorter > LINE_OVERLAP:
+                total, tall, top, low = total + base[i], big, min(top, y[i]), max(low, y[i] + h[i])
+                i += 1
+                continue
+        starts.append(i)
+        total, tall, top, low = base[i], scale[i], y[i], y[i] + h[i]
+        for _ in range(i + 1, stop[i]):
+            total += base[i]
+        i = stop[i]
+    return np.repeat(np.arange(len(starts)), np.diff([*starts, n])) if n else np.zeros(0, int)
 
 
 def gutters(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, size: np.ndarray, chars: np.ndarray, page_width: float | None) -> list[tuple[float, float]]:
@@ -106,41 +134,30 @@ def lines_of(spans: Mapping[str, np.ndarray], members: list[list[int]] | None =
     flat = flat[np.lexsort((columns["x"][flat], columns["baseline"][flat]))]
     arrays = [columns[c][flat] for c in ("x", "y", "w", "h", "baseline", "font_size")]
     texts = [every[i] for i in flat]
-    # plain lists: the folds below read single numbers
-    x, y, w, h, base, size = (a.tolist() for a in arrays)
-    scale = [max(a, b) for a, b in zip(size, h, strict=True)]
-    groups: list[list[int]] = []
-    total = top = low = tall = 0.0
-    for i in range(len(flat)):
-        if groups:
-            big, small = max(tall, scale[i]), min(tall, scale[i])
-            slack = max(1.0, big * (LOOSE if small < big * SMALLER else TIGHT))
-            shorter = min(low - top, h[i])
-            over = max(0.0, min(low, y[i] + h[i]) - max(top, y[i]))
-            if abs(base[i] - total / len(groups[-1])) <= slack and shorter > 0 and over / shorter > LINE_OVERLAP:
-                groups[-1].append(i)
-                total, tall, top, low = total + base[i], max(tall, scale[i]), min(top, y[i]), max(low, y[i] + h[i])
-                continue
-        groups.append([i])
-        total, tall, top, low = base[i], scale[i], y[i], y[i] + h[i]
+    groups = _groups(arrays)
     width = float(spans["page_width"][0]) if "page_width" in spans and len(spans["page_width"]) else None
     bands = gutters(*arrays[:4], arrays[5], np.array([len(t.strip()) for t in texts]), width) if texts else []
-    cut: list[list[int]] = []
-    for group in groups:
-        group = sorted(group, key=x.__getitem__)
-        cut.append([group[0]])
-        for a, b in zip(group, group[1:], strict=False):
-            end = x[a] + w[a]
-            if x[b] - end > max(SPLIT_EM * (max(scale[a], scale[b]) or 10), SPLIT_PT) or any(end <= g0 + 1 and x[b] >= g1 - 1 for g0, g1 in bands):
-                cut.append([])
-            cut[-1].append(b)
     rows, places = [], []
     at = np.flatnonzero(kept)
-    for g in cut:
-        places.append([int(at[flat[i]]) for i in g])
-        joined = join_spans([texts[i] for i in g], [x[i] for i in g], [w[i] for i in g], [size[i] for i in g])
-        left, high = min(x[i] for i in g), min(y[i] for i in g)
-        rows.append((joined, left, high, max(x[i] + w[i] for i in g) - left, max(y[i] + h[i] for i in g) - high, sum(base[i] for i in g) / len(g), median(size[i] for i in g), len(g)))
+    if texts:
+        order = np.lexsort((arrays[0], groups))
+        x, y, w, h, base, size = (a[order] for a in arrays)
+        texts, end, scale = [texts[i] for i in order.tolist()], x + w, np.maximum(size, h)
+        gap, em, least = x[1:] - end[:-1], np.maximum(scale[:-1], scale[1:]), np.minimum(size[:-1], size[1:])
+        cut = (np.diff(groups[order]) != 0) | (gap > np.maximum(SPLIT_EM * np.where(em == 0, 10, em), SPLIT_PT))
+        for g0, g1 in bands:
+            cut |= (end[:-1] <= g0 + 1) & (x[1:] >= g1 - 1)
+        spaced = ~cut & _spaced(texts, gap, np.where(least != 0, least, np.where(size[1:] != 0, size[1:], 10)))
+        pieces = [texts[0], *(" " + t if apart else t for t, apart in zip(texts[1:], spaced.tolist(), strict=True))]
+        first = np.concatenate(([0], np.flatnonzero(cut) + 1))
+        left, high, wide = np.minimum.reduceat(x, first), np.minimum.reduceat(y, first), np.maximum.reduceat(end, first)
+        low, smallest = np.maximum.reduceat(y + h, first), np.minimum.reduceat(size, first)
+        alike = smallest == np.maximum.reduceat(size, first)
+        base, size, place, ends = base.tolist(), size.tolist(), at[flat[order]].tolist(), [*first[1:].tolist(), len(texts)]
+        values = zip(first.tolist(), ends, *(v.tolist() for v in (left, high, wide - left, low - high, smallest, alike)), strict=True)
+        for a, b, *box, one, same in values:
+            places.append(place[a:b])
+            rows.append(("".join(pieces[a:b]), *box, sum(base[a:b]) / (b - a), one if same else median(size[a:b]), b - a))
     for i in np.flatnonzero(turned):
         places.append([int(at[i])])
         rows.append((every[i], *(float(columns[c][i]) for c in ("x", "y", "w", "h", "baseline", "font_size")), 1))
@@ -202,23 +219,24 @@ def wrapped(text: Column, advance: float, width: float) -> Column:
     wide. A word goes on a new row if it doesn't fit behind the last one."""
     from pyspark.sql import functions as F
 
-    @F.pandas_udf("array<struct<text:string,row:int,x:double>>")
-    def fill(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            row, x, made = 0, 0.0, []
-            for word in t.split(" "):
-                if not word:
-                    continue
-                w = len(word) * advance
-                if made and x + w > width:
-                    row, x = row + 1, 0.0
-                made.append({"text": word, "row": row, "x": x})
-                x += w + advance
-            out.append(made)
-        return pd.Series(out, dtype=object)
-
-    return fill(text)
+    def fill(texts: pa.Array) -> pa.Array:
+        words, rows, places, ends = [], [], [], [0]
+        for t in texts.to_pylist():
+            row, x = 0, 0.0
+            for word in t.split(" ") if t else ():
+                if word:
+                    w = len(word) * advance
+                    if x and x + w > width:
+                        row, x = row + 1, 0.0
+                    words.append(word)
+                    rows.append(row)
+                    places.append(x)
+                    x += w + advance
+            ends.append(len(words))
+        made = pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(rows, pa.int32()), pa.array(places, pa.float64())], names=["text", "row", "x"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), made)
+
+    return F.arrow_udf(fill, "array<struct<text:string,row:int,x:double>>")(text)
 
 
 def _by_page(spans: DataFrame, page: Sequence[str], make: Callable[[dict[str, np.ndarray]], list[tuple]], schema: str) -> DataFrame:
